@@ -1,0 +1,40 @@
+"""Joins that stay balanced when one key holds a large share of the rows."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+DEFAULT_SALTS = 16
+
+
+def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
+
+
+def salted_join(
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    how: str,
+    spread: Sequence[str],
+    salts: int = DEFAULT_SALTS,
+) -> DataFrame:
+    """Join with ``right`` (one row per key) when ``left`` may have hot keys.
+
+    Each left row goes to one of ``salts`` groups by a hash of its ``spread``
+    columns and the right rows are repeated once per group, so a hot key is
+    divided among ``salts`` tasks. The hash is fixed by the row, so a task that
+    runs again after a lost executor sends every row to the same place. When the
+    right side turns out small, adaptive execution still broadcasts it.
+    """
+    if how not in ("left", "inner", "left_semi", "left_anti"):
+        raise ValueError(f"{how!r} would repeat right rows once per salt")
+    salted = left.withColumn(
+        "_salt", F.pmod(F.xxhash64(*[F.col(c) for c in spread]), F.lit(salts)).cast("int")
+    )
+    repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
