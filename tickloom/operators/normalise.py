@@ -305,3 +305,22 @@ def known_payloads(payloads: DataFrame, wanted: DataFrame, spread: Sequence[str]
     """Payloads of the wanted ``(exchange, symbol, timeframe)`` sets."""
     keys = ["exchange", "symbol", "timeframe"]
     return salted_join(payloads, wanted.select(*keys).distinct(), keys, "left_semi", spread)
+
+
+def latest_payload_wins(
+    rows: DataFrame, key: Sequence[str], order: Sequence[str], spread: Sequence[str]
+) -> DataFrame:
+    """Drop rows of a key that a later payload sends again.
+
+    Copies inside one payload stay, for the duplicate rule to report. Keys of a
+    single payload are the rule, so the joined side is small.
+    """
+    sent = F.struct(*order)
+    again = (
+        rows.groupBy(*key)
+        .agg(F.min(sent).alias("_first"), F.max(sent).alias("_last"))
+        .where(F.col("_first") != F.col("_last"))
+        .select(*key, "_last")
+    )
+    joined = salted_join(rows, again, key, "left", spread)
+    return joined.where(F.col("_last").isNull() | (sent == F.col("_last"))).drop("_last")

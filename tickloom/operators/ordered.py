@@ -63,34 +63,53 @@ def _attach(sliced: DataFrame, carried: DataFrame, keys: Sequence[str]) -> DataF
     return sliced.join(right, condition, "left").drop(*[f"_r_{k}" for k in [*keys, _SLICE]])
 
 
-def running_sum(
+def running_sums(
     df: DataFrame,
     keys: Sequence[str],
     order: str,
-    value: Column,
-    name: str,
+    values: dict[str, Column],
     rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
-    """Sum of ``value`` over the rows of the key up to and including this one."""
+    """Sums over the rows of the key up to and including this one, by new column name."""
     upto = (Window.unboundedPreceding, Window.currentRow)
     sliced = add_slice(df, order, rows_per_slice)
     if sliced is None:
         window = Window.partitionBy(*keys).orderBy(order).rowsBetween(*upto)
-        return df.withColumn(name, F.sum(value).over(window))
-    totals = sliced.groupBy(*keys, _SLICE).agg(F.sum(value).alias("_total"))
+        return df.withColumns({name: F.sum(v).over(window) for name, v in values.items()})
+    totals = sliced.groupBy(*keys, _SLICE).agg(
+        *[F.sum(v).alias(f"_total_{name}") for name, v in values.items()]
+    )
     before = Window.partitionBy(*keys).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    carried = (
-        totals.withColumn("_before", F.sum("_total").over(before))
-        .where(F.col("_before").isNotNull())
-        .drop("_total")
+    carried = totals.select(
+        *keys,
+        _SLICE,
+        F.count(F.lit(1)).over(before).alias("_earlier"),
+        *[F.sum(f"_total_{name}").over(before).alias(f"_before_{name}") for name in values],
     )
+    carried = carried.where(F.col("_earlier") > 0).drop("_earlier")
     local = Window.partitionBy(*keys, _SLICE).orderBy(order).rowsBetween(*upto)
-    summed = sliced.withColumn("_local", F.sum(value).over(local))
-    joined = _attach(summed, carried, keys)
-    total = F.when(F.col("_before").isNull(), F.col("_local")).otherwise(
-        F.col("_before") + F.coalesce(F.col("_local"), F.lit(0))
+    summed = sliced.withColumns(
+        {f"_local_{name}": F.sum(v).over(local) for name, v in values.items()}
     )
-    return joined.withColumn(name, total).drop("_local", "_before", _SLICE)
+    joined = _attach(summed, carried, keys)
+
+    def total(name: str) -> Column:
+        here, earlier = F.col(f"_local_{name}"), F.col(f"_before_{name}")
+        return F.coalesce(here + earlier, here, earlier)
+
+    done = joined.withColumns({name: total(name) for name in values})
+    return done.drop(_SLICE, *[f"_{side}_{n}" for side in ("local", "before") for n in values])
+
+
+def running_sum(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    value: Column,
+    name: str,
+    rows_per_slice: int = ROWS_PER_SLICE,
+) -> DataFrame:
+    return running_sums(df, keys, order, {name: value}, rows_per_slice)
 
 
 def position(
@@ -130,4 +149,4 @@ def previous(
     )
 
 
-__all__ = ["add_slice", "cut_points", "position", "previous", "running_sum"]
+__all__ = ["add_slice", "cut_points", "position", "previous", "running_sum", "running_sums"]

@@ -23,7 +23,7 @@ def mark_ingest(results: DataFrame, root: str) -> None:
     stamped = results.select(
         *columns, F.date_trunc("second", F.localtimestamp()).cast("timestamp_ntz").alias("ingested_at")
     )
-    stamped.coalesce(1).write.mode("append").parquet(_log(root))
+    stamped.write.mode("append").parquet(_log(root))
 
 
 def ingest_log(spark: SparkSession, root: str) -> DataFrame:

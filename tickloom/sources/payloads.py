@@ -30,7 +30,16 @@ def write_payloads(payloads: DataFrame, root: str) -> None:
 def landed_payloads(spark: SparkSession, root: str, whole_files: bool = False) -> DataFrame:
     """Payloads ``(exchange, symbol, timeframe, body)``; one per line, or per file."""
     reader = spark.read.schema(_VALUE_SCHEMA).option("wholetext", whole_files)
-    return reader.text(root).select(*KEY, F.col("value").alias("body"))
+    return _named(reader.text(root))
+
+
+def _named(texts: DataFrame) -> DataFrame:
+    return texts.select(
+        *KEY,
+        F.col("value").alias("body"),
+        F.col("_metadata.file_modification_time").alias("landed_at"),
+        F.col("_metadata.file_path").alias("file"),
+    )
 
 
 def stream_payloads(
@@ -43,4 +52,4 @@ def stream_payloads(
     reader = spark.readStream.schema(_VALUE_SCHEMA).option("wholetext", whole_files)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.text(root).select(*KEY, F.col("value").alias("body"))
+    return _named(reader.text(root))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from urllib.parse import unquote, urlparse
 
@@ -104,21 +105,30 @@ def discover_datasets(spark: SparkSession, root: str) -> DataFrame:
 def inspect_scan(
     spark: SparkSession, path: str, start: str | None = None, end: str | None = None
 ) -> DataFrame:
-    """One Parquet file or a whole tree, optionally cut to ``[start, end)``."""
+    """One Parquet file or a whole tree, optionally cut to ``[start, end)``.
+
+    Below ``key=value`` folders the keys become columns; other trees are read as
+    one table of their files.
+    """
     if not path_exists(spark, path):
         raise FileNotFoundError(f"Path does not exist: {path}")
-    status = spark._jvm.org.apache.hadoop.fs.Path(path)
-    file_system = status.getFileSystem(spark._jsc.hadoopConfiguration())
-    if file_system.getFileStatus(status).isFile():
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    file_system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    example = path
+    if file_system.getFileStatus(target).isFile():
         if not path.endswith(".parquet"):
             raise ValueError(f"Not a parquet file: {path}")
-    elif list_files(spark, path).isEmpty():
-        raise ValueError(f"No parquet files found under {path}")
-    rows = (
-        spark.read.option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.parquet")
-        .parquet(path)
-    )
+    else:
+        first = list_files(spark, path).select("path").first()
+        if first is None:
+            raise ValueError(f"No parquet files found under {path}")
+        example = first["path"]
+    reader = spark.read.option("pathGlobFilter", "*.parquet")
+    hive = re.search(r"/[^/=]+=[^/]*/", example)
+    if hive:
+        rows = reader.option("basePath", example[: hive.start()]).parquet(path)
+    else:
+        rows = reader.option("recursiveFileLookup", True).parquet(path)
     if start:
         rows = rows.where(F.col("timestamp") >= bound_literal(start, "start"))
     if end:
