@@ -43,16 +43,23 @@ def _fraction_digits(value: Column) -> Column:
     return F.when(F.contains(value, F.lit(".")), F.substring_index(value, ".", -1)).otherwise("")
 
 
+def decimal_key(value: Column) -> Column:
+    """A struct that orders unsigned decimal text of any length by value.
+
+    Digits before the point without leading zeros (longer means larger), then those
+    after it without trailing zeros.
+    """
+    whole = _integer_digits(value)
+    return F.struct(
+        F.length(whole).alias("size"),
+        whole.alias("whole"),
+        F.rtrim(_fraction_digits(value), F.lit("0")).alias("part"),
+    )
+
+
 def decimal_gte(a: Column, b: Column) -> Column:
     """Exact ``a >= b`` on unsigned decimal text of any length."""
-    whole_a, whole_b = _integer_digits(a), _integer_digits(b)
-    part_a, part_b = _fraction_digits(a), _fraction_digits(b)
-    width = F.greatest(F.length(part_a), F.length(part_b))
-    return (
-        F.when(F.length(whole_a) != F.length(whole_b), F.length(whole_a) > F.length(whole_b))
-        .when(whole_a != whole_b, whole_a > whole_b)
-        .otherwise(F.rpad(part_a, width, F.lit("0")) >= F.rpad(part_b, width, F.lit("0")))
-    )
+    return decimal_key(a) >= decimal_key(b)
 
 
 def integer_digit_count(value: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -37,27 +38,56 @@ INDEX = "record_index"
 ISSUE_COLUMNS = (INDEX, "severity", "code", "field", "message", "rule_ord")
 
 
+@dataclass(frozen=True)
 class Check:
-    """One condition on one record; ``broken`` is true where an issue is due."""
+    """One condition on one record; ``broken`` is true where an issue is due.
 
-    def __init__(self, code: str, severity: str, field: str, broken: Column, message: Column):
-        self.code, self.severity, self.field = code, severity, field
-        self.broken = F.coalesce(broken, F.lit(False))
-        self.message = message
+    ``template`` is the message, with ``%s`` for the values of the ``shown`` fields.
+    """
+
+    code: str
+    severity: str
+    field: str
+    broken: Column
+    template: str
+    shown: tuple[str, ...] = ()
 
 
 def _value(field: str) -> Column:
     return F.coalesce(F.col(field), F.lit(""))
 
 
-def _say(template: str, *fields: str) -> Column:
-    return F.format_string(template, *[_value(f) for f in fields])
+def _text(field: str) -> Column:
+    return F.col(f"_t_{field}")
+
+
+def _is_decimal(field: str) -> Column:
+    return F.col(f"_d_{field}")
+
+
+def _key(field: str) -> Column:
+    return F.col(f"_k_{field}")
+
+
+def prepare(batch: DataFrame, kind: RecordKind) -> DataFrame:
+    """Add what several checks look at: null-free text, decimal shape, ordering key.
+
+    In two steps, so that Spark computes each once per row and compiles the steps to
+    separate small methods.
+    """
+    texts = batch.withColumns({f"_t_{f}": _value(f) for f in kind.fields})
+    compared = [f for f in kind.decimals if f != "volume"]
+    shapes = {f"_d_{f}": text.is_decimal(_text(f)) for f in kind.decimals}
+    keys = {
+        f"_k_{f}": text.decimal_key(F.ltrim(_text(f), F.lit("-"))) for f in compared
+    }
+    return texts.withColumns({**shapes, **keys})
 
 
 def empty_checks(kind: RecordKind) -> list[Check]:
     ordered = [*kind.decimals, *[f for f in kind.fields if f not in kind.decimals]]
     return [
-        Check(EMPTY_FIELD, ERROR, f, text.is_blank(_value(f)), F.lit(f"Field '{f}' is empty."))
+        Check(EMPTY_FIELD, ERROR, f, text.is_blank(_text(f)), f"Field '{f}' is empty.")
         for f in ordered
     ]
 
@@ -65,25 +95,12 @@ def empty_checks(kind: RecordKind) -> list[Check]:
 def decimal_checks(kind: RecordKind) -> list[Check]:
     checks = []
     for f in kind.decimals:
-        valid = text.is_decimal(_value(f))
-        checks.append(
-            Check(
-                INVALID_DECIMAL,
-                ERROR,
-                f,
-                ~valid,
-                _say(f"Field '{f}' is not a valid decimal string: '%s'.", f),
-            )
-        )
-        checks.append(
-            Check(
-                PRECISION_OVERFLOW,
-                WARNING,
-                f,
-                valid & (text.digit_count(_value(f)) > MAX_DIGITS),
-                _say(f"Field '{f}' exceeds {MAX_DIGITS}-digit precision: '%s'.", f),
-            )
-        )
+        invalid = f"Field '{f}' is not a valid decimal string: '%s'."
+        long = f"Field '{f}' exceeds {MAX_DIGITS}-digit precision: '%s'."
+        # Shorter text cannot have that many digits, so the count is seldom made.
+        digits = (F.length(_text(f)) > MAX_DIGITS) & (text.digit_count(_text(f)) > MAX_DIGITS)
+        checks.append(Check(INVALID_DECIMAL, ERROR, f, ~_is_decimal(f), invalid, (f,)))
+        checks.append(Check(PRECISION_OVERFLOW, WARNING, f, _is_decimal(f) & digits, long, (f,)))
     return checks
 
 
@@ -93,20 +110,21 @@ def negative_checks(kind: RecordKind = CANDLE) -> list[Check]:
             NEGATIVE_VALUE,
             ERROR,
             f,
-            F.startswith(_value(f), F.lit("-")),
-            _say(f"Field '{f}' is negative: '%s'.", f),
+            F.startswith(_text(f), F.lit("-")),
+            f"Field '{f}' is negative: '%s'.",
+            (f,),
         )
         for f in kind.decimals
     ]
 
 
 def time_checks(kind: RecordKind) -> list[Check]:
-    def message(field: str) -> Column:
+    def message(field: str) -> str:
         subject = "Timestamp" if kind is CANDLE else f"Field '{field}'"
-        return _say(f"{subject} is not a valid ISO-8601 string: '%s'.", field)
+        return f"{subject} is not a valid ISO-8601 string: '%s'."
 
     return [
-        Check(INVALID_TIMESTAMP, ERROR, f, ~text.is_iso_time(_value(f)), message(f))
+        Check(INVALID_TIMESTAMP, ERROR, f, ~text.is_iso_time(_text(f)), message(f), (f,))
         for f in kind.times
     ]
 
@@ -119,52 +137,56 @@ def ohlc_checks() -> list[Check]:
         ("low", "open", "low", "'low' (%s) exceeds 'open' (%s)."),
         ("low", "close", "low", "'low' (%s) exceeds 'close' (%s)."),
     ]
-    comparable = reduce(
-        lambda a, b: a & b,
-        [text.is_unsigned_decimal(_value(f)) for f in ("open", "high", "low", "close")],
-    )
+    unsigned = [
+        _is_decimal(f) & ~F.startswith(_text(f), F.lit("-"))
+        for f in ("open", "high", "low", "close")
+    ]
+    comparable = reduce(lambda a, b: a & b, unsigned)
     checks = []
     for field, larger, smaller, template in pairs:
         other = smaller if field == larger else larger
-        broken = comparable & ~text.decimal_gte(_value(larger), _value(smaller))
-        checks.append(Check(OHLC_INVARIANT, ERROR, field, broken, _say(template, field, other)))
+        broken = (_key(larger) < _key(smaller)) & comparable
+        checks.append(Check(OHLC_INVARIANT, ERROR, field, broken, template, (field, other)))
     return checks
 
 
 def rate_range_checks() -> list[Check]:
-    checks = []
-    for f in FUNDING.decimals:
-        size = F.ltrim(_value(f), F.lit("-"))
-        broken = F.when(
-            text.is_decimal(_value(f)), text.decimal_gte(size, F.lit(FUNDING_RATE_CAP))
+    cap = text.decimal_key(F.lit(FUNDING_RATE_CAP))
+    return [
+        Check(
+            FUNDING_RATE_OUT_OF_RANGE,
+            WARNING,
+            f,
+            _is_decimal(f) & (_key(f) >= cap),
+            f"Field '{f}' (%s) exceeds typical ±0.5%% range.",
+            (f,),
         )
-        message = _say(f"Field '{f}' (%s) exceeds typical ±0.5%% range.", f)
-        checks.append(Check(FUNDING_RATE_OUT_OF_RANGE, WARNING, f, broken, message))
-    return checks
+        for f in FUNDING.decimals
+    ]
 
 
 def next_after_checks() -> list[Check]:
-    now, later = _value("timestamp"), _value("next_funding_time")
-    broken = text.is_iso_time(now) & text.is_iso_time(later) & (now >= later)
-    message = _say(
-        "next_funding_time (%s) is not after timestamp (%s).", "next_funding_time", "timestamp"
-    )
-    return [Check(FUTURE_BEFORE_CURRENT, ERROR, "next_funding_time", broken, message)]
+    now, later = _text("timestamp"), _text("next_funding_time")
+    broken = (now >= later) & text.is_iso_time(now) & text.is_iso_time(later)
+    template = "next_funding_time (%s) is not after timestamp (%s)."
+    shown = ("next_funding_time", "timestamp")
+    return [Check(FUTURE_BEFORE_CURRENT, ERROR, "next_funding_time", broken, template, shown)]
 
 
 def storage_checks(kind: RecordKind) -> list[Check]:
     """Values that satisfy every rule and still have no place in the stored types."""
     checks = []
     for f in kind.decimals:
-        digits = text.integer_digit_count(_value(f))
-        broken = text.is_decimal(_value(f)) & (digits > MAX_STORED_INTEGER_DIGITS)
-        message = _say(f"Field '{f}' does not fit decimal(38,10): '%s'.", f)
-        checks.append(Check(DECIMAL_OUT_OF_RANGE, ERROR, f, broken, message))
+        value, limit = _text(f), MAX_STORED_INTEGER_DIGITS
+        digits = (F.length(value) > limit) & (text.integer_digit_count(value) > limit)
+        template = f"Field '{f}' does not fit decimal(38,10): '%s'."
+        broken = _is_decimal(f) & digits
+        checks.append(Check(DECIMAL_OUT_OF_RANGE, ERROR, f, broken, template, (f,)))
     for f in kind.times:
-        parsed = _value(f).try_cast("timestamp_ntz")
-        broken = text.is_iso_time(_value(f)) & parsed.isNull()
-        message = _say(f"Field '{f}' is no real time: '%s'.", f)
-        checks.append(Check(UNPARSEABLE_TIMESTAMP, ERROR, f, broken, message))
+        unreal = _text(f).try_cast("timestamp_ntz").isNull()
+        template = f"Field '{f}' is no real time: '%s'."
+        broken = unreal & text.is_iso_time(_text(f))
+        checks.append(Check(UNPARSEABLE_TIMESTAMP, ERROR, f, broken, template, (f,)))
     return checks
 
 
@@ -193,33 +215,64 @@ def checks_for(kind: RecordKind, storage: bool = False) -> list[Check]:
     return rules + (storage_checks(kind) if storage else [])
 
 
+_BROKEN = "_broken"
+
+
+def _bits(checks: Sequence[Check]) -> Column:
+    """One bit per check, set where it is broken."""
+    bits = reduce(
+        lambda a, b: a.bitwiseOR(b),
+        [
+            F.when(c.broken, F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long"))
+            for i, c in enumerate(checks)
+        ],
+    )
+    # Always true, but not known to the optimizer to be so: it must not copy the
+    # checks into a filter on their result, which would evaluate them twice.
+    return F.when(F.spark_partition_id() >= 0, bits)
+
+
 def row_issues(
-    batch: DataFrame, checks: Sequence[Check], keep: Sequence[str] = ()
+    batch: DataFrame, kind: RecordKind, checks: Sequence[Check], keep: Sequence[str] = ()
 ) -> DataFrame:
     """One row per broken check. A single pass with no shuffle.
 
-    Clean rows are dropped by a plain filter before any issue is built.
+    The checks are evaluated once, into the bits of a number; clean rows are dropped
+    by that number. What an issue says comes from constant arrays, by rule number.
     """
-    any_broken = reduce(lambda a, b: a | b, [c.broken for c in checks])
-    found = F.array(
+    marked = prepare(batch, kind).select(
+        INDEX, *keep, *[f"_t_{f}" for f in kind.fields], _bits(checks).alias(_BROKEN)
+    )
+    numbers = F.array(
         *[
-            F.when(
-                c.broken,
-                F.struct(
-                    F.lit(c.severity).alias("severity"),
-                    F.lit(c.code).alias("code"),
-                    F.lit(c.field).alias("field"),
-                    c.message.alias("message"),
-                    F.lit(i).alias("rule_ord"),
-                ),
-            )
-            for i, c in enumerate(checks)
+            F.when(F.col(_BROKEN).bitwiseAND(F.lit(1 << i).cast("long")) != 0, i)
+            for i in range(len(checks))
         ]
     )
-    issues = batch.where(any_broken).select(
-        INDEX, *keep, F.explode(F.filter(found, lambda x: x.isNotNull())).alias("issue")
+    found = (
+        marked.where(F.col(_BROKEN) != 0)
+        .withColumn("rule_ord", F.explode(numbers))
+        .where(F.col("rule_ord").isNotNull())
+    )
+    at = F.col("rule_ord") + 1
+    values = F.array(*[_text(f) for f in kind.fields])
+
+    def constant(entries: Sequence) -> Column:
+        return F.element_at(F.array(*[F.lit(e) for e in entries]), at)
+
+    def shown(place: int) -> Column:
+        fields = [c.shown[place] if len(c.shown) > place else kind.fields[0] for c in checks]
+        return F.element_at(values, constant([kind.fields.index(f) + 1 for f in fields]))
+
+    return found.select(
+        INDEX,
+        *keep,
+        constant([c.severity for c in checks]).alias("severity"),
+        constant([c.code for c in checks]).alias("code"),
+        constant([c.field for c in checks]).alias("field"),
+        F.printf(constant([c.template for c in checks]), shown(0), shown(1)).alias("message"),
+        "rule_ord",
     )
-    return issues.select(INDEX, *keep, "issue.*")
 
 
 def repeated_keys(batch: DataFrame, kind: RecordKind) -> DataFrame:
@@ -265,7 +318,7 @@ def validate(
 ) -> DataFrame:
     """All issues of a batch with a unique ``record_index`` column."""
     checks = checks_for(kind, storage)
-    return row_issues(batch, checks, keep).unionByName(
+    return row_issues(batch, kind, checks, keep).unionByName(
         duplicate_issues(batch, kind, rule_ord=len(checks), keep=keep)
     )
 
@@ -285,13 +338,11 @@ def batch_verdict(batch: DataFrame, kind: RecordKind, storage: bool = False) ->
     per-key totals, so no join back to the batch is needed.
     """
     checks = checks_for(kind, storage)
-
-    def broken_count(wanted: Sequence[Check]) -> Column:
-        return reduce(lambda a, b: a + b, [c.broken.cast("int") for c in wanted])
-
-    in_rows = batch.agg(
-        F.sum(broken_count([c for c in checks if c.severity == ERROR])).alias("errors"),
-        F.sum(broken_count(checks)).alias("issues"),
+    error_bits = sum(1 << i for i, c in enumerate(checks) if c.severity == ERROR)
+    errors = F.col(_BROKEN).bitwiseAND(F.lit(error_bits).cast("long"))
+    in_rows = prepare(batch, kind).select(_bits(checks).alias(_BROKEN)).agg(
+        F.sum(F.bit_count(errors)).alias("errors"),
+        F.sum(F.bit_count(F.col(_BROKEN))).alias("issues"),
         F.count(F.lit(1)).alias("records"),
     )
     extra = F.sum(F.col("copies") - 1)

@@ -1,6 +1,6 @@
 """Jobs composed of the operators, and the query catalog."""
 
-from tickloom.plans import read_queries, write_queries  # noqa: F401
+from tickloom.plans import read_queries, run_queries, write_queries  # noqa: F401
 from tickloom.plans.catalog import QUERIES
 
 __all__ = ["QUERIES"]

@@ -238,7 +238,7 @@ def _rule(name: str, code: str, sql: list[str], kind=CANDLE) -> None:
     @query(name, _all(sql), (source,))
     def run(spark, sf_dir):
         batch = getattr(views, source)(spark, sf_dir)
-        return _shown(validate.row_issues(batch, _only(validate.checks_for(kind), code)))
+        return _shown(validate.row_issues(batch, kind, _only(validate.checks_for(kind), code)))
 
 
 _rule("v_empty", validate.EMPTY_FIELD, _sql_empty("candles_dirty", CANDLE_FIELDS))
@@ -705,10 +705,10 @@ def timeframe_to_native(spark, sf_dir):
     "decimal_normalise",
     """
 SELECT event_id, CASE WHEN k = 0 THEN d ELSE rtrim(rtrim(concat(
-  substr(lpad(d, greatest(length(d), k + 1), '0'), 1, greatest(length(d), k + 1) - k), '.',
-  right(lpad(d, greatest(length(d), k + 1), '0'), k)), '0'), '.') END AS plain, d AS untouched
-FROM (SELECT event_id, CAST(event_id % 9 AS INTEGER) AS k,
-  CAST(CAST(ROUND(value * 100) AS BIGINT) + 1 AS VARCHAR) AS d FROM events) t""",
+  substr(p, 1, length(p) - k), '.', right(p, k)), '0'), '.') END AS plain, d AS untouched
+FROM (SELECT *, lpad(d, CAST(greatest(length(d), k + 1) AS INTEGER), '0') AS p FROM (
+  SELECT event_id, CAST(event_id % 9 AS INTEGER) AS k,
+  CAST(CAST(ROUND(value * 100) AS BIGINT) + 1 AS VARCHAR) AS d FROM events) e) t""",
 )
 def decimal_normalise(spark, sf_dir):
     digits = (F.round(F.col("value") * 100).cast("long") + 1).cast("string")
