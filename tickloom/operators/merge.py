@@ -71,17 +71,21 @@ def classify_changes(
         F.count_if("stored").alias("n_old"),
         F.count_if(~F.col("stored")).alias("n_new"),
     )
+    repeated = (F.col("n_old") > 1) | (F.col("n_new") > 1)
+    refusal = F.raise_error(F.lit("a merge input holds a key more than once"))
+    # The guard is part of both results, as a caller may drop either.
     action = (
-        F.when(
-            (F.col("n_old") > 1) | (F.col("n_new") > 1),
-            F.raise_error(F.lit("a merge input holds a key more than once")).cast("string"),
-        )
+        F.when(repeated, refusal.cast("string"))
         .when(F.col("n_old") == 0, INSERT)
         .when(F.col("n_new") == 0, KEEP)
         .when(F.col("old").eqNullSafe(F.col("new")), UNCHANGED)
         .otherwise(UPDATE)
     )
-    row = F.when(F.col("n_new") == 0, F.col("old")).otherwise(F.col("new"))
+    row = (
+        F.when(repeated, refusal.cast(_struct_type(incoming, data)))
+        .when(F.col("n_new") == 0, F.col("old"))
+        .otherwise(F.col("new"))
+    )
     rows = per_key.select(*key, action.alias("action"), row.alias("row"))
     return rows.select("action", *[c if c in key else f"row.{c}" for c in incoming.columns])
 
