@@ -33,7 +33,8 @@ def test_running_sum_position_and_previous(data, per_slice):
     )
     got = ordered.running_sum(data, ["key"], "at", F.col("v"), "total", per_slice)
     got = ordered.position(got, ["key"], "at", "pos", per_slice)
-    got = ordered.previous(got, ["key"], "at", "v", "before", per_slice)
+    got = ordered.previous(got, ["key"], "at", "v", "before", "pos2", per_slice)
+    assert got.where("pos <> pos2 or pos2 is null").count() == 0
     got = got.select("key", "at", "total", "pos", "before")
     assert got.exceptAll(expected).count() == 0
     assert expected.exceptAll(got).count() == 0

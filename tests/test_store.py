@@ -360,3 +360,22 @@ def test_charts(spark):
         ("BTC/USDT", 1704067200, 2.0), ("BTC/USDT", 1704067201, 3.0), ("other", 1704067200, 11.0),
     }
     assert as_set(charts.largest_dataset(rows), "symbol") == {("BTC/USDT",)}
+
+
+def test_plain_trees_can_be_read_and_taken_over(spark, root, tmp_path):
+    typed = typed_cast(candles(spark, at(1), at(2)).drop("record_index"), CANDLE)
+    rates_typed = typed_cast(rates(spark, at(1)).drop("record_index"), FUNDING)
+    for rows, place in (
+        (typed.where("day(timestamp) = 1"), "x/BTC/USDT/1h/2024-01-01.parquet"),
+        (typed.where("day(timestamp) = 2"), "x/BTC/USDT/1h/2024-01-02.parquet"),
+        (rates_typed, "x/BTC/funding_rate/2024-01-01.parquet"),
+    ):
+        path = tmp_path / "plain" / place
+        path.parent.mkdir(parents=True, exist_ok=True)
+        pq.write_table(rows.toArrow(), path)
+    plain = str(tmp_path / "plain")
+    assert store.scan_plain(spark, plain, CANDLE).count() == 2
+    assert store.scan_plain(spark, plain, FUNDING).count() == 1
+    sinks.write_candles(store.scan_plain(spark, plain, CANDLE), root)
+    moved = result_strings(store.scan_candles(spark, root).drop("date"))
+    assert moved.exceptAll(result_strings(typed)).count() == 0 and moved.count() == 2

@@ -13,8 +13,11 @@ BLANK = r"(?U)^[\s\x1c-\x1f]*$"
 
 
 def is_blank(value: Column) -> Column:
-    """Nothing but (Unicode) white space."""
-    return value.rlike(BLANK)
+    """Nothing but (Unicode) white space.
+
+    A first character that prints settles nearly all values without the pattern.
+    """
+    return ~F.ascii(value).between(33, 126) & value.rlike(BLANK)
 
 
 def is_decimal(value: Column) -> Column:

@@ -129,24 +129,41 @@ def previous(
     order: str,
     value: str,
     name: str,
+    position_name: str | None = None,
     rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
-    """``value`` of the row before this one in its key; null for the first."""
+    """``value`` of the row before this one in its key; null for the first.
+
+    With ``position_name`` also the 1-based position, at no further shuffle.
+    """
+    whole = Window.partitionBy(*keys).orderBy(order)
     sliced = add_slice(df, order, rows_per_slice)
     if sliced is None:
-        return df.withColumn(name, F.lag(value).over(Window.partitionBy(*keys).orderBy(order)))
+        columns = {name: F.lag(value).over(whole)}
+        if position_name:
+            columns[position_name] = F.row_number().over(whole).cast("long")
+        return df.withColumns(columns)
     last = sliced.groupBy(*keys, _SLICE).agg(
-        F.max_by(F.struct(F.col(value).alias("v")), F.col(order)).alias("_last")
+        F.max_by(F.struct(F.col(value).alias("v")), F.col(order)).alias("_last"),
+        F.count(F.lit(1)).alias("_rows"),
     )
-    carried = last.withColumn(
-        "_carried", F.lag("_last").over(Window.partitionBy(*keys).orderBy(_SLICE))
-    ).drop("_last")
-    local = Window.partitionBy(*keys, _SLICE).orderBy(order)
-    lagged = sliced.withColumn("_prev", F.lag(F.struct(F.col(value).alias("v"))).over(local))
-    joined = _attach(lagged, carried, keys)
-    return joined.withColumn(name, F.coalesce(F.col("_prev"), F.col("_carried"))["v"]).drop(
-        "_prev", "_carried", _SLICE
+    by_slice = Window.partitionBy(*keys).orderBy(_SLICE)
+    before = by_slice.rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select(
+        *keys,
+        _SLICE,
+        F.lag("_last").over(by_slice).alias("_carried"),
+        F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"),
     )
+    local = Window.partitionBy(*keys, _SLICE).orderBy(order)
+    columns = {"_prev": F.lag(F.struct(F.col(value).alias("v"))).over(local)}
+    if position_name:
+        columns["_at"] = F.row_number().over(local).cast("long")
+    joined = _attach(sliced.withColumns(columns), carried, keys)
+    done = joined.withColumn(name, F.coalesce(F.col("_prev"), F.col("_carried"))["v"])
+    if position_name:
+        done = done.withColumn(position_name, F.col("_at") + F.col("_offset"))
+    return done.drop("_prev", "_carried", "_offset", "_at", _SLICE)
 
 
 __all__ = ["add_slice", "cut_points", "position", "previous", "running_sum", "running_sums"]

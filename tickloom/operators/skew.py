@@ -3,18 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_SALTS = 16
 
 
-def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
-
-
 def salted_join(
     left: DataFrame,
     right: DataFrame,
@@ -23,7 +18,7 @@ def salted_join(
     spread: Sequence[str],
     salts: int = DEFAULT_SALTS,
 ) -> DataFrame:
-    """Join with ``right`` (one row per key) when ``left`` may have hot keys.
+    """Join with ``right`` (few rows per key) when ``left`` may have hot keys.
 
     Each left row goes to one of ``salts`` groups by a hash of its ``spread``
     columns and the right rows are repeated once per group, so a hot key is

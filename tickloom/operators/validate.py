@@ -65,23 +65,47 @@ def _is_decimal(field: str) -> Column:
     return F.col(f"_d_{field}")
 
 
-def _key(field: str) -> Column:
-    return F.col(f"_k_{field}")
+def _less(larger: str, smaller: str) -> Column:
+    """Whether the field that should be larger is less."""
 
+    def below(prefix: str) -> Column:
+        return F.col(f"{prefix}{larger}") < F.col(f"{prefix}{smaller}")
 
-def prepare(batch: DataFrame, kind: RecordKind) -> DataFrame:
-    """Add what several checks look at: null-free text, decimal shape, ordering key.
+    return F.when(F.col(_LONG), below("_k_")).otherwise(below("_n_"))
 
-    In two steps, so that Spark computes each once per row and compiles the steps to
-    separate small methods.
+
+# Decimal text up to this length orders the same as doubles.
+EXACT_LENGTH = 15
+_LONG = "_long"
+
+
+def prepare(batch: DataFrame, kind: RecordKind, carry: Sequence[str] = ()) -> DataFrame:
+    """What several checks look at: null-free text, decimal shape, a number.
+
+    Short decimals are compared as doubles, which is exact for up to 15 digits; a row
+    with a longer one gets keys that order text of any length. The steps follow one
+    another and each uses all that the one before gives, so that Spark computes a
+    value once per row and compiles every step to a small method of its own.
     """
-    texts = batch.withColumns({f"_t_{f}": _value(f) for f in kind.fields})
     compared = [f for f in kind.decimals if f != "volume"]
-    shapes = {f"_d_{f}": text.is_decimal(_text(f)) for f in kind.decimals}
-    keys = {
-        f"_k_{f}": text.decimal_key(F.ltrim(_text(f), F.lit("-"))) for f in compared
+    texts = [F.col(f"_t_{f}") for f in kind.fields]
+    long = F.greatest(*[F.length(_text(f)) for f in compared]) > EXACT_LENGTH
+    shaped = batch.select(*carry, *[_value(f).alias(f"_t_{f}") for f in kind.fields]).select(
+        *carry,
+        *texts,
+        *[text.is_decimal(_text(f)).alias(f"_d_{f}") for f in kind.decimals],
+        long.alias(_LONG),
+    )
+
+    def size(f: str) -> Column:
+        return F.ltrim(_text(f), F.lit("-"))
+
+    numbers = {
+        f"_n_{f}": F.when(~F.col(_LONG) & _is_decimal(f), size(f).cast("double"))
+        for f in compared
     }
-    return texts.withColumns({**shapes, **keys})
+    keys = {f"_k_{f}": F.when(F.col(_LONG), text.decimal_key(size(f))) for f in compared}
+    return shaped.withColumns({**numbers, **keys})
 
 
 def empty_checks(kind: RecordKind) -> list[Check]:
@@ -145,19 +169,24 @@ def ohlc_checks() -> list[Check]:
     checks = []
     for field, larger, smaller, template in pairs:
         other = smaller if field == larger else larger
-        broken = (_key(larger) < _key(smaller)) & comparable
+        broken = comparable & _less(larger, smaller)
         checks.append(Check(OHLC_INVARIANT, ERROR, field, broken, template, (field, other)))
     return checks
 
 
 def rate_range_checks() -> list[Check]:
-    cap = text.decimal_key(F.lit(FUNDING_RATE_CAP))
+    def below_cap(f: str) -> Column:
+        cap = F.lit(FUNDING_RATE_CAP)
+        return F.when(F.col(_LONG), F.col(f"_k_{f}") < text.decimal_key(cap)).otherwise(
+            F.col(f"_n_{f}") < cap.cast("double")
+        )
+
     return [
         Check(
             FUNDING_RATE_OUT_OF_RANGE,
             WARNING,
             f,
-            _is_decimal(f) & (_key(f) >= cap),
+            _is_decimal(f) & ~below_cap(f),
             f"Field '{f}' (%s) exceeds typical ±0.5%% range.",
             (f,),
         )
@@ -240,8 +269,9 @@ def row_issues(
     The checks are evaluated once, into the bits of a number; clean rows are dropped
     by that number. What an issue says comes from constant arrays, by rule number.
     """
-    marked = prepare(batch, kind).select(
-        INDEX, *keep, *[f"_t_{f}" for f in kind.fields], _bits(checks).alias(_BROKEN)
+    carried = list(dict.fromkeys([INDEX, *keep]))
+    marked = prepare(batch, kind, carried).select(
+        *carried, *[f"_t_{f}" for f in kind.fields], _bits(checks).alias(_BROKEN)
     )
     numbers = F.array(
         *[
@@ -249,11 +279,10 @@ def row_issues(
             for i in range(len(checks))
         ]
     )
-    found = (
-        marked.where(F.col(_BROKEN) != 0)
-        .withColumn("rule_ord", F.explode(numbers))
-        .where(F.col("rule_ord").isNotNull())
-    )
+    # The higher-order filter ends a compiled stage, so that the checks and the texts
+    # become two methods small enough for the JVM to optimise.
+    rules = F.explode(F.filter(numbers, lambda n: n.isNotNull()))
+    found = marked.where(F.col(_BROKEN) != 0).withColumn("rule_ord", rules)
     at = F.col("rule_ord") + 1
     values = F.array(*[_text(f) for f in kind.fields])
 

@@ -31,6 +31,23 @@ def scan_funding(spark: SparkSession, root: str) -> DataFrame:
     return scan(spark, root, FUNDING)
 
 
+def scan_plain(spark: SparkSession, root: str, kind: RecordKind) -> DataFrame:
+    """Rows of plain ``exchange/symbol/anchor/date.parquet`` trees, where the files
+    themselves hold all columns; for reading stores laid out that way.
+
+    The path condition is on a file attribute, so files of the other kind are
+    skipped before they are opened.
+    """
+    funding = F.col("_metadata.file_path").rlike(f"/{FUNDING.name}/[^/]+$")
+    return (
+        spark.read.schema(kind.typed_schema)
+        .option("recursiveFileLookup", True)
+        .option("pathGlobFilter", "*.parquet")
+        .parquet(root)
+        .where(funding if kind is FUNDING else ~funding)
+    )
+
+
 def list_files(spark: SparkSession, root: str) -> DataFrame:
     """``(path, length)`` of the Parquet files under a folder; contents are not read."""
     return (
@@ -201,4 +218,5 @@ __all__ = [
     "scan",
     "scan_candles",
     "scan_funding",
+    "scan_plain",
 ]
