@@ -379,3 +379,27 @@ def test_plain_trees_can_be_read_and_taken_over(spark, root, tmp_path):
     sinks.write_candles(store.scan_plain(spark, plain, CANDLE), root)
     moved = result_strings(store.scan_candles(spark, root).drop("date"))
     assert moved.exceptAll(result_strings(typed)).count() == 0 and moved.count() == 2
+
+
+def test_a_hot_partition_is_written_by_several_tasks(spark, root):
+    """All rows are of one day; the partition is split instead of one huge file."""
+    rows = spark.range(60_000).select(
+        F.lit("x").alias("exchange"),
+        F.concat(F.lit("S"), F.col("id")).alias("symbol"),
+        F.lit("1h").alias("timeframe"),
+        F.lit("2024-01-01T00:00:00").alias("timestamp"),
+        *[F.lit("1").alias(f) for f in CANDLE.decimals],
+        F.lit("x").alias("source"),
+    )
+    setting = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "256KB")
+    try:
+        sinks.write_candles(rows.repartition(8), root)
+    finally:
+        spark.conf.set(setting, before)
+    assert store.list_files(spark, root).count() > 1
+    assert store.scan_candles(spark, root).count() == 60_000
+    sinks.write_candles(rows.limit(10).withColumn("close", F.lit("0.5")), root)
+    assert store.scan_candles(spark, root).count() == 60_000
+    assert store.scan_candles(spark, root).where("close = 0.5").count() == 10

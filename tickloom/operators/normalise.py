@@ -301,12 +301,6 @@ def native_requests(requests: DataFrame) -> DataFrame:
     return native_timeframes(named).withColumnRenamed("native", "native_timeframe")
 
 
-def known_payloads(payloads: DataFrame, wanted: DataFrame, spread: Sequence[str]) -> DataFrame:
-    """Payloads of the wanted ``(exchange, symbol, timeframe)`` sets."""
-    keys = ["exchange", "symbol", "timeframe"]
-    return salted_join(payloads, wanted.select(*keys).distinct(), keys, "left_semi", spread)
-
-
 def latest_payload_wins(
     rows: DataFrame, key: Sequence[str], order: Sequence[str], spread: Sequence[str]
 ) -> DataFrame:

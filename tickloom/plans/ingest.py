@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tickloom.operators.coverage import resume_points
 from tickloom.operators.merge import UPSERT
-from tickloom.operators.normalise import known_payloads, parse_payloads, payload_candles
+from tickloom.operators.normalise import parse_payloads, payload_candles
 from tickloom.operators.skew import salted_join
 from tickloom.operators.summary import ingest_counts
 from tickloom.operators.validate import ERROR, INDEX, batch_verdict, validate
@@ -71,13 +71,14 @@ def validated_ingest(
     write read the source once. ``mark`` adds the written sets to the ingest log.
     """
     batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
+    cached = [batch]
     try:
         verdict = batch_verdict(batch, kind, storage=True).first()
         good, held = batch, 0
         if not verdict["passed"]:
             if scope is None and quarantine is None:
                 raise IngestRejected(verdict["issues"])
-            good, held = _hold_back(batch, kind, scope, quarantine, batch_id)
+            good, held = _hold_back(batch, kind, scope, quarantine, batch_id, cached)
         # No error means no repeated key, so the merge can rely on that.
         upsert(good, root, kind, layout, strategy, resolution, incoming_unique=True)
         written = verdict["records"] - held
@@ -85,7 +86,8 @@ def validated_ingest(
             mark_ingest(ingest_counts(good, kind), root)
         return IngestResult(written, held, verdict["issues"])
     finally:
-        batch.unpersist()
+        for frame in cached:
+            frame.unpersist()
 
 
 def _hold_back(
@@ -94,6 +96,7 @@ def _hold_back(
     scope: Sequence[str] | None,
     quarantine: str | None,
     batch_id: int,
+    cached: list[DataFrame],
 ) -> tuple[DataFrame, int]:
     """Split off the sets with errors; without scope the whole batch is one set."""
     sets = [c for c in (scope or ()) if c in kind.fields]
@@ -101,6 +104,7 @@ def _hold_back(
     if sets:
         faulty = issues.where(F.col("severity") == ERROR).select(*sets).distinct()
         faulty = faulty.persist(StorageLevel.MEMORY_AND_DISK)
+        cached.append(faulty)
         good = salted_join(batch, faulty, sets, "left_anti", spread=[INDEX]).select(*batch.columns)
         bad = salted_join(batch, faulty, sets, "left_semi", spread=[INDEX]).select(*batch.columns)
     else:
@@ -118,18 +122,26 @@ def _hold_back(
     return good, held
 
 
+# Up to this many requested sets become a partition filter on the landed payloads.
+MAX_LISTED_SETS = 500
+
+
 def incremental_backfill(
     spark: SparkSession, requests: DataFrame, payloads: DataFrame, root: str, **options
 ) -> IngestResult:
     """Ingest landed payloads of the requested sets from where the store ends.
 
-    Sets without stored rows are left out; ``resume_points`` names them.
+    Sets without stored rows are left out; ``resume_points`` names them. The requested
+    names prune the payload folders if there are few; the join decides in any case.
     """
     starts = resume_points(requests, scan(spark, root, CANDLE)).where(F.col("problem").isNull())
-    starts = starts.select(*SET, "start").persist(StorageLevel.MEMORY_AND_DISK)
+    starts = starts.select(*SET, "start").distinct().persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        wanted = known_payloads(payloads, starts, spread=["body"])
-        rows = number_records(payload_candles(parse_payloads(wanted)))
+        listed = starts.limit(MAX_LISTED_SETS + 1).collect()
+        if len(listed) <= MAX_LISTED_SETS:
+            for column in SET:
+                payloads = payloads.where(F.col(column).isin(sorted({r[column] for r in listed})))
+        rows = number_records(payload_candles(parse_payloads(payloads)))
         fresh = salted_join(rows, starts, SET, "inner", spread=[INDEX]).where(
             F.col("timestamp").cast("timestamp_ntz") >= F.col("start")
         )
