@@ -7,7 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_SALTS = 16
+# A key is hot if it has more than this share of the left rows, so there are at most
+# 10,000 hot keys at any size of the table: few enough to broadcast.
+HOT_SHARE = 1 / 10_000
+# Keys with fewer rows are never worth splitting.
+HOT_ROWS = 500_000
 
 
 def salted_join(
@@ -16,20 +20,35 @@ def salted_join(
     keys: Sequence[str],
     how: str,
     spread: Sequence[str],
-    salts: int = DEFAULT_SALTS,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Join with ``right`` (few rows per key) when ``left`` may have hot keys.
 
-    Each left row goes to one of ``salts`` groups by a hash of its ``spread``
-    columns and the right rows are repeated once per group, so a hot key is
-    divided among ``salts`` tasks. The hash is fixed by the row, so a task that
-    runs again after a lost executor sends every row to the same place. When the
-    right side turns out small, adaptive execution still broadcasts it.
+    The rows of a hot key are divided, by a hash of their ``spread`` columns, into
+    groups of about ``HOT_SHARE`` of the table, and its right rows are repeated once
+    per group; all hot keys together add at most 20,000 repetitions. Other keys are
+    joined as they are. The hash is fixed by the row, so a task that runs again after
+    a lost executor sends every row to the same place. It is all one lazy plan; the
+    keys are counted with a partial aggregate before their shuffle.
     """
     if how not in ("left", "inner", "left_semi", "left_anti"):
-        raise ValueError(f"{how!r} would repeat right rows once per salt")
-    salted = left.withColumn(
-        "_salt", F.pmod(F.xxhash64(*[F.col(c) for c in spread]), F.lit(salts)).cast("int")
+        raise ValueError(f"{how!r} would repeat right rows once per group")
+    keys = list(keys)
+    counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    share = F.greatest(
+        F.lit(hot_rows).cast("double"), left.agg(F.count(F.lit(1))).scalar() * HOT_SHARE
     )
-    repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
+    hot = counts.where((F.col("_rows") > hot_rows) & (F.col("_rows") > share)).select(
+        *keys, F.ceil(F.col("_rows") / share).cast("int").alias("_groups")
+    )
+    group = F.pmod(F.xxhash64(*[F.col(c) for c in spread]), F.col("_groups")).cast("int")
+    divided = left.join(F.broadcast(hot), keys, "left").select(
+        *[left[c] for c in left.columns], F.coalesce(group, F.lit(0)).alias("_salt")
+    )
+    repeated = right.join(F.broadcast(hot), keys, "left").select(
+        *[right[c] for c in right.columns],
+        F.explode(
+            F.sequence(F.lit(0), F.coalesce(F.col("_groups"), F.lit(1)) - F.lit(1))
+        ).alias("_salt"),
+    )
+    return divided.join(repeated, [*keys, "_salt"], how).drop("_salt")

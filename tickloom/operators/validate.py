@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import text
 from tickloom.operators.ordered import ROWS_PER_SLICE, position
-from tickloom.operators.skew import salted_join
 from tickloom.schemas import CANDLE, FUNDING, RecordKind
 
 # Issue codes, in the order the rules run.
@@ -305,14 +304,14 @@ def row_issues(
 
 
 def repeated_keys(batch: DataFrame, kind: RecordKind) -> DataFrame:
-    """``(key..., first_index, copies)`` of keys that occur more than once.
+    """``(key..., copies)`` of keys that occur more than once.
 
     A partial aggregate runs before the shuffle, so however many copies a key
     has, each map task sends one row for it.
     """
     return (
         batch.groupBy(*kind.key)
-        .agg(F.min(INDEX).alias("first_index"), F.count(F.lit(1)).alias("copies"))
+        .agg(F.count(F.lit(1)).alias("copies"))
         .where(F.col("copies") > 1)
     )
 
@@ -320,12 +319,15 @@ def repeated_keys(batch: DataFrame, kind: RecordKind) -> DataFrame:
 def duplicate_issues(
     batch: DataFrame, kind: RecordKind, rule_ord: int = 0, keep: Sequence[str] = ()
 ) -> DataFrame:
-    """An issue for every occurrence of a key but the one with the lowest index."""
+    """An issue for every occurrence of a key but the one with the lowest index.
+
+    The first indices come from a partial aggregate, and the join is by the index,
+    which is distinct: no task gets more rows for a key with many copies.
+    """
     shown = kind.key[:-1]
     columns = list(dict.fromkeys([INDEX, *kind.key, *keep]))
-    again = salted_join(
-        batch.select(*columns), repeated_keys(batch, kind), kind.key, "inner", spread=[INDEX]
-    ).where(F.col(INDEX) > F.col("first_index"))
+    firsts = batch.groupBy(*kind.key).agg(F.min(INDEX).alias("_first")).select("_first")
+    again = batch.select(*columns).join(firsts, F.col(INDEX) == F.col("_first"), "left_anti")
     message = F.format_string(
         "Duplicate timestamp '%s' for " + "/".join(["%s"] * len(shown)) + ".",
         F.col("timestamp"),
