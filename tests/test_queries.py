@@ -9,6 +9,7 @@ import pytest
 sys.path.insert(0, str(pathlib.Path(__file__).resolve().parent.parent))
 
 import __spark_entry__ as entry  # noqa: E402
+from tickloom.plans import QUERIES  # noqa: E402
 from tools.check import TABLES, rows_of  # noqa: E402
 
 
@@ -20,7 +21,7 @@ def db(sf_dir):
     return connection
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, db, sf_dir, name):
     frame = entry.queries()[name](spark, sf_dir)
     got = rows_of(frame.columns, [tuple(r) for r in frame.collect()])
