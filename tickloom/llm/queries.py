@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import exact, mixing, quality, sharding
+from tickloom.llm import bpe, exact, jaccard, mixing, quality, secret_scan, sharding, windows
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -42,6 +43,39 @@ def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# MD5 places and orders the records; the checksum is built from its polynomial.
+ORACLES["op2_shards"] = f"""
+WITH crc AS MATERIALIZED (
+  SELECT list(v ORDER BY i) AS step FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k:
+             CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+    FROM range(256) AS r(i))),
+d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(CAST(doc_id AS VARCHAR), 'null') AS key,
+         octet_length(encode(coalesce(text, ''))) AS n, hex(encode(coalesce(text, ''))) AS h
+  FROM documents),
+b AS MATERIALIZED (
+  SELECT r, doc_id, key, n + 16 AS size,
+         xor(list_reduce(list_prepend(4294967295, list_transform(range(n), lambda k:
+               CAST('0x' || h[2 * k + 1 : 2 * k + 2] AS BIGINT))), lambda a, x:
+               xor(a >> 8, step[(xor(a, x) & 255) + 1])), 4294967295) AS text_crc32
+  FROM d, crc),
+s AS (
+  SELECT r, j, CAST('0x' || md5(key || ':' || j)[1:13] AS BIGINT) AS u
+  FROM b, range({SHARDS + 1}) AS x(j)),
+p AS (
+  SELECT r, arg_max(j, (u, -j)) FILTER (j < {SHARDS}) AS shard, arg_max(j, (u, -j)) AS grown_shard
+  FROM s GROUP BY r)
+SELECT doc_id, size, text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard,
+       row_number() OVER (
+         PARTITION BY shard
+         ORDER BY md5(key || ':' || text_crc32 || ':' || size)[1:13], doc_id, text_crc32, size
+       ) - 1 AS slot,
+       CAST(grown_shard AS INTEGER) AS grown_shard
+FROM b JOIN p USING (r)
+"""
+
+
 @query
 def op6_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact.classify(table(spark, sf_dir, "documents"))
@@ -58,3 +92,30 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 @query
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+# The vocabulary file of the installed tokenizers.
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+@query
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.token_table(table(spark, sf_dir, "documents"), VOCABULARY)
+
+
+@query
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_table(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op3_secrets"] = secret_scan.oracle()
+
+
+@query
+def op10_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.window_table(table(spark, sf_dir, "documents"))

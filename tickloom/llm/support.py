@@ -32,15 +32,30 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
 
 
+def text_key(text: Column) -> Column:
+    """16 bytes that stand for a text."""
+    return F.unhex(F.md5(text.cast("binary")))
+
+
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(frame: DataFrame, purpose: str) -> DataFrame:
     """The rows of a frame, written once to the shared folder and read back.
 
     This cuts the lineage: whatever is lost later is read again, not computed again,
-    and several readers share one computation.
+    and several readers share one computation. As nothing needs them any more, Spark
+    removes the shuffle files of the job when the table is written.
     """
-    path = shared_dir(frame.sparkSession, purpose)
-    frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+    spark = frame.sparkSession
+    path = shared_dir(spark, purpose)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        frame.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(frame.schema).parquet(path)
 
 
 def spread_join(
