@@ -311,11 +311,12 @@ def classes(docs: DataFrame, row_id: str = "doc_id", text: str = "text") -> Data
 def keep_one(docs: DataFrame, row_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without all but one of each class, with their columns as they are.
 
-    The text with the least id stays, the least node between equal ids; rows that repeat
-    its id and text stay with it, and so do all texts without a word.
+    The text with the least id stays, the least node between equal ids. Rows with that very
+    text stay with it, as exact copies are not sought here; so do texts without a word.
     """
     near = written(near_texts(docs, row_id, text), "near")
-    best = near.groupBy("label").agg(F.min(F.struct(F.col("rep").isNull(), "rep", "node")).alias("_b"))
+    order = F.struct(F.col("rep").isNull(), "rep", "node")
+    best = near.groupBy("label").agg(F.min(order).alias("_b"))
     drop = (
         near.join(best, "label")
         .where((F.col("node") != F.col("_b.node")) & ~F.col("empty"))
