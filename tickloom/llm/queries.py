@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import bpe, exact, jaccard, mixing, quality, secret_scan, sharding, windows
+from tickloom.llm import bpe, exact, html_slots, jaccard, mixing, quality, secret_scan, sharding, windows
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -119,3 +119,8 @@ def op10_near(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.window_table(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_slots.text_table(table(spark, sf_dir, "pages"))
