@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import bpe, exact, html_slots, jaccard, mixing, quality, secret_scan, sharding, windows
+from tickloom.llm import (
+    bpe,
+    exact,
+    html_slots,
+    jaccard,
+    line_runs,
+    mixing,
+    quality,
+    secret_scan,
+    sharding,
+    windows,
+)
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -124,3 +135,11 @@ def op7_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_slots.text_table(table(spark, sf_dir, "pages"))
+
+
+@query
+def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_runs.line_table(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op5_lines"] = line_runs.ORACLE
