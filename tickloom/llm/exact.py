@@ -27,18 +27,21 @@ def sha256_hex(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def combine(docs: DataFrame, digest: Column, text: Column, best: Column) -> DataFrame:
-    """One row per distinct text: _digest, _text, _best (the largest), _rows."""
+def combine(
+    docs: DataFrame, digest: Column, text: Column, best: Column, order: str = "_best"
+) -> DataFrame:
+    """One row per distinct text: _digest, _text, _best (the largest by order), _rows."""
     # Which task a row is in decides only where it is combined, never the outcome.
     salt = F.pmod(F.spark_partition_id(), F.lit(SALTS))
     dealt = docs.select(
         digest.alias("_digest"), text.alias("_text"), salt.alias("_salt"), best.alias("_best")
     )
+    first = F.max("_best") if order == "_best" else F.max_by("_best", order)
     salted = dealt.groupBy("_digest", "_text", "_salt").agg(
-        F.max("_best").alias("_best"), F.count(F.lit(1)).alias("_rows")
+        first.alias("_best"), F.count(F.lit(1)).alias("_rows")
     )
     return salted.groupBy("_digest", "_text").agg(
-        F.max("_best").alias("_best"), F.sum("_rows").alias("_rows")
+        first.alias("_best"), F.sum("_rows").alias("_rows")
     )
 
 
@@ -107,13 +110,12 @@ def keep_one(docs: DataFrame, row_id: str = "doc_id", text: str = "text") -> Dat
     others = [c for c in docs.columns if c != text]
     hashed = [f.name for f in docs.schema if "map<" not in f.dataType.simpleString()]
     best = F.struct(
-        F.col(row_id).alias("id"),
-        F.xxhash64(*hashed).alias("tie"),
+        F.struct(F.col(row_id).alias("id"), F.xxhash64(*hashed).alias("tie")).alias("order"),
         F.col(text).isNull().alias("null"),
         F.struct(*others).alias("row"),
     )
     content = whole(text)
-    classes = combine(docs, sha256_hex(content), content, best)
+    classes = combine(docs, sha256_hex(content), content, best, "_best.order")
     value = F.when(~F.col("_best.null"), F.col("_text"))
     return classes.select(
         *[

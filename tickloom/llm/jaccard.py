@@ -322,5 +322,4 @@ def keep_one(docs: DataFrame, row_id: str = "doc_id", text: str = "text") -> Dat
         .where((F.col("node") != F.col("_b.node")) & ~F.col("empty"))
         .select(F.col("key").alias("_key"))
     )
-    content = whole(text)
-    return docs.withColumn("_key", text_key(content)).join(drop, "_key", "left_anti").drop("_key")
+    return docs.join(drop, text_key(whole(text)) == drop["_key"], "left_anti")

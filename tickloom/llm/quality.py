@@ -101,70 +101,66 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     )
 
 
-def repeated_words(tokens: Column) -> Column:
+def repeated_words(w: Column) -> Column:
     """How many words are in windows of ``WINDOW`` words that the text has twice or more.
 
     Window hashes show quickly that no window repeats; only where some do are windows
-    sorted and compared in full.
+    sorted and compared in full. ``w`` is used often and should be bound or a column.
     """
-
-    def count(w: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.size(w) - (WINDOW - 1))
-        hashes = F.transform(starts, lambda i: F.xxhash64(F.slice(w, i, WINDOW)))
-        distinct = bound(hashes, lambda h: F.size(F.array_distinct(h)) == F.size(h))
-        ordered = F.array_sort(
-            F.transform(
-                starts,
-                lambda i: F.struct(
-                    F.array_join(F.slice(w, i, WINDOW), " ").alias("window"), i.alias("at")
-                ),
-            )
+    starts = F.sequence(F.lit(1), F.size(w) - (WINDOW - 1))
+    hashes = F.transform(starts, lambda i: F.xxhash64(F.slice(w, i, WINDOW)))
+    distinct = bound(hashes, lambda h: F.size(F.array_distinct(h)) == F.size(h))
+    ordered = F.array_sort(
+        F.transform(
+            starts,
+            lambda i: F.struct(
+                F.array_join(F.slice(w, i, WINDOW), " ").alias("window"), i.alias("at")
+            ),
         )
+    )
 
-        def covered(s: Column) -> Column:
-            n = F.size(s)
-            same = F.zip_with(
-                F.slice(s, 1, n - 1), F.slice(s, 2, n - 1), lambda a, b: a.window == b.window
-            )
-            return bound(
-                same,
-                lambda e: bound(
-                    F.array_sort(
-                        F.transform(
-                            F.filter(
+    def covered(s: Column) -> Column:
+        n = F.size(s)
+        same = F.zip_with(
+            F.slice(s, 1, n - 1), F.slice(s, 2, n - 1), lambda a, b: a.window == b.window
+        )
+        return bound(
+            same,
+            lambda e: bound(
+                F.array_sort(
+                    F.transform(
+                        F.filter(
+                            F.zip_with(
+                                s,
                                 F.zip_with(
-                                    s,
-                                    F.zip_with(
-                                        F.concat(F.array(F.lit(False)), e),
-                                        F.concat(e, F.array(F.lit(False))),
-                                        lambda a, b: a | b,
-                                    ),
-                                    lambda x, twice: F.struct(x.at.alias("at"), twice.alias("t")),
+                                    F.concat(F.array(F.lit(False)), e),
+                                    F.concat(e, F.array(F.lit(False))),
+                                    lambda a, b: a | b,
                                 ),
-                                lambda x: x.t,
+                                lambda x, twice: F.struct(x.at.alias("at"), twice.alias("t")),
                             ),
-                            lambda x: x.at,
-                        )
-                    ),
-                    # A window adds its words up to where the next one starts.
-                    lambda p: F.aggregate(
-                        F.zip_with(
-                            F.slice(p, 1, F.size(p) - 1),
-                            F.slice(p, 2, F.size(p) - 1),
-                            lambda a, b: F.least(b - a, F.lit(WINDOW)),
+                            lambda x: x.t,
                         ),
-                        F.lit(WINDOW),
-                        lambda total, x: total + x,
+                        lambda x: x.at,
+                    )
+                ),
+                # A window adds its words up to where the next one starts.
+                lambda p: F.aggregate(
+                    F.zip_with(
+                        F.slice(p, 1, F.size(p) - 1),
+                        F.slice(p, 2, F.size(p) - 1),
+                        lambda a, b: F.least(b - a, F.lit(WINDOW)),
                     ),
+                    F.lit(WINDOW),
+                    lambda total, x: total + x,
                 ),
-            )
-
-        return F.when(
-            F.size(w) > WINDOW,
-            F.when(distinct, F.lit(0)).otherwise(bound(ordered, covered)),
-        ).otherwise(F.lit(0))
+            ),
+        )
 
-    return bound(tokens, count).cast("long")
+    return F.when(
+        F.size(w) > WINDOW,
+        F.when(distinct, F.lit(0)).otherwise(bound(ordered, covered)),
+    ).otherwise(F.lit(0))
 
 
 def base_counts(docs: DataFrame, row_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -184,7 +180,7 @@ def base_counts(docs: DataFrame, row_id: str = "doc_id", text: str = "text") ->
         F.length(F.regexp_replace("_text", GAP, "")).cast("long").alias("word_chars"),
         (F.size(F.split("_text", SYMBOLS, -1)) - 1).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("_words")).alias("n_repeat_words"),
+        repeated_words(F.col("_words")).cast("long").alias("n_repeat_words"),
     )
 
 
@@ -224,12 +220,9 @@ def keep_good(
     """The documents that pass, with their columns as they are."""
     ratios = log_ratios(docs, trusted_ids(labels), row_id, text)
     content = whole(text)
-    tokens = words(content)
-    counted = docs.withColumn("_words", F.size(tokens))
-    repeats = repeated_words(tokens)
-    passes = (
-        (F.col("_words") >= LEAST_WORDS)
-        & (100 * repeats <= MOST_REPEATED * F.col("_words"))
-        & (mean_ratio(content, ratios) >= THRESHOLD)
+    base = bound(
+        words(content),
+        lambda w: (F.size(w) >= LEAST_WORDS)
+        & (100 * repeated_words(w) <= MOST_REPEATED * F.size(w)),
     )
-    return counted.where(passes).drop("_words")
+    return docs.where(base & (mean_ratio(content, ratios) >= THRESHOLD))
