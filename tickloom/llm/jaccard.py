@@ -149,7 +149,9 @@ def components(edges: DataFrame) -> DataFrame:
 
     Every round ties the neighbours of a node to the least of them, first those above it,
     then those below, until nothing changes; then all edges point to the least node. Each
-    round is written to the shared folder, and only a count and a checksum come back.
+    step is written to the shared folder, and only a count and a checksum come back. As the
+    least neighbours are a table of their own, adaptive execution can split the many edges of
+    one node in the join.
     """
 
     def fingerprint(e: DataFrame):
@@ -159,10 +161,10 @@ def components(edges: DataFrame) -> DataFrame:
     before, now = None, fingerprint(edges)
     while now != before:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("_m"))
+        least = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("_m")), "least")
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), "_m")
-        large = large.where("a > _m").withColumnRenamed("_m", "b").distinct()
-        below = large.groupBy("a").agg(F.min("b").alias("_m"))
+        large = written(large.where("a > _m").withColumnRenamed("_m", "b").distinct(), "edges")
+        below = written(large.groupBy("a").agg(F.min("b").alias("_m")), "least")
         tied = large.join(below, "a")
         small = tied.where("b > _m").select(F.col("b").alias("a"), F.col("_m").alias("b"))
         small = small.unionByName(below.withColumnRenamed("_m", "b")).distinct()
