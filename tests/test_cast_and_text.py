@@ -74,12 +74,27 @@ def test_schema_align(spark):
         ("2E3", "2000"),
         ("42.50", "42.50"),
         ("1e99", "1e99"),
+        ("1e-20", "0.00000000000000000001"),
+        ("1.2e+21", "1200000000000000000000"),
+        ("-1.50e-1", "-0.15"),
+        ("-0.0e3", "0"),
+        (".5e1", "5"),
+        ("e5", "e5"),
     ],
 )
 def test_plain_decimal(spark, value, plain):
     assert one(spark, text.plain_decimal(F.lit(value))) == plain
 
 
+def test_only_one_final_newline_may_follow(spark):
+    for end, fine in (("", True), ("\n", True), ("\r", False), ("\n\n", False), ("\u0085", False)):
+        for value, accepts in (
+            ("1.5", text.is_decimal), ("1.5", text.is_unsigned_decimal),
+            ("2024-01-01T00:00:00", text.is_iso_time),
+        ):
+            assert one(spark, accepts(F.lit(value + end))) is fine
+
+
 def test_small_text_functions(spark):
     assert one(spark, text.day_month_year_to_iso(F.lit("31/12/2024"))) == "2024-12-31"
     assert one(spark, text.day_month_year_to_iso(F.lit("1/12/2024"))) is None
@@ -149,5 +164,5 @@ def test_native_timeframes(spark):
 
 def test_every_native_timeframe_has_a_length(spark):
     known = {r["timeframe"] for r in times.timeframe_lengths(spark).collect()}
-    used = {pair.split("=")[0] for codes in TIMEFRAME_CODES.values() for pair in codes.split()}
+    used = {code for codes in TIMEFRAME_CODES.values() for code in codes}
     assert used <= known

@@ -153,6 +153,39 @@ def test_bad_rows_reject_the_whole_payload(spark):
     assert reasons(spark, ("nowhere", [])) == [("UNKNOWN_EXCHANGE", 0)]
 
 
+@pytest.mark.parametrize("exchange", sorted(FORMATS))
+@pytest.mark.parametrize("stray", [5, "x", None, {"a": 1}])
+def test_a_stray_element_rejects_the_page(spark, exchange, stray):
+    body = json.loads(json.dumps(BODIES[exchange]))
+    rows = body
+    while not isinstance(rows, list):
+        names = [k for k in rows if k in ("data", "ohlc", "result", "list") or k.startswith("X")]
+        rows = rows[names[0]] if names else next(v for v in rows.values() if isinstance(v, list) and v)
+    rows.append(stray)
+    assert reasons(spark, (exchange, body)) == [("BAD_ROW", 0)]
+    outcome = normalise.ingest_outcome(normalise.parse_payloads(pages(spark, (exchange, body))))
+    assert not outcome.first()["ok"]
+
+
+@pytest.mark.parametrize("exchange", sorted(FORMATS))
+def test_text_behind_the_body_rejects_it(spark, exchange):
+    body = json.dumps(BODIES[exchange])
+    close = body[-1]
+    rows = [(exchange, body + end) for end in (" trailing", close, close * 2, ",0" + close)]
+    assert reasons(spark, *rows) == [("INVALID_JSON", 0)] * len(rows)
+    assert reasons(spark, (exchange, f" {body}\n")) == [(None, 2)]
+
+
+def test_kraken_errors_of_any_shape(spark):
+    errors = ["down", {"code": 1}, 7, True, ["E"]]
+    got = reasons(spark, *[("kraken", {"error": e, "result": {}}) for e in errors])
+    assert got == [("API_ERROR", 0)] * len(errors)
+    none = [[], None, "", {}, 0, False]
+    assert reasons(spark, *[("kraken", {"error": e, "result": {}}) for e in none]) == [
+        (None, 0)
+    ] * len(none)
+
+
 def test_rejects_and_candles_cover_all_payloads(spark):
     rows = [*BODIES.items(), ("okx", "<html>"), ("kucoin", {"code": "1"})]
     parsed = normalise.parse_payloads(pages(spark, *rows))
@@ -205,5 +238,5 @@ def test_a_later_payload_replaces_an_earlier_one(spark):
         [("k1", 1, "old", 0), ("k1", 2, "new", 1), ("k2", 1, "a", 2), ("k2", 1, "b", 3)],
         "key string, landed int, value string, n int",
     )
-    kept = normalise.latest_payload_wins(rows, ["key"], ["landed"], spread=["n"])
+    kept = normalise.latest_payload_wins(rows, ["key"], ["landed"])
     assert as_set(kept, "value") == {("new",), ("a",), ("b",)}

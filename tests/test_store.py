@@ -57,15 +57,20 @@ def test_only_changed_partitions_are_rewritten(spark, root):
     assert as_set(store.list_files(spark, root), "path") == after
 
 
-def test_many_partitions_are_merged_without_listing_them(spark, root, monkeypatch):
-    monkeypatch.setattr(sinks, "MAX_LISTED_PARTITIONS", 1)
-    for strategy in (UPSERT, CHANGES):
-        sinks.write_candles(candles(spark, at(1), at(2), at(3), at(9)), root, strategy=strategy)
-        batch = candles(spark, at(1, close="10"), at(2, close="10"), at(4))
-        sinks.write_candles(batch, root, strategy=strategy)
-        rows = store.scan_candles(spark, root)
-        assert rows.count() == 5
-        assert rows.where("close = 10").count() == 2
+def test_many_partitions(spark, root):
+    """The changed partitions are returned, also where there are many of them."""
+    days = spark.range(620).select(
+        F.date_format(F.expr("date_add(DATE '2024-01-01', CAST(id AS INT))"), "yyyy-MM-dd").alias("d")
+    )
+    base = candles(spark, {}).drop("timestamp", "record_index").crossJoin(F.broadcast(days))
+    first = base.withColumn("timestamp", F.concat("d", F.lit("T00:00:00")))
+    sinks.write_candles(first, root)
+    again = first.withColumn("close", F.when(F.col("d") < "2025-06-04", "10").otherwise(F.col("close")))
+    written = sinks.write_candles(again, root, strategy=CHANGES)
+    assert written.count() == 520
+    assert written.agg(F.max("date")).first()[0] == "2025-06-03"
+    rows = store.scan_candles(spark, root)
+    assert (rows.count(), rows.where("close = 10").count()) == (620, 520)
 
 
 def test_empty_batch_writes_nothing(spark, root):
@@ -105,7 +110,8 @@ def test_scope_and_quarantine(spark, root, tmp_path):
     side = str(tmp_path / "side")
     for _ in range(2):  # a batch that runs again leaves the same side tables
         result = validated_ingest(
-            batch, root, CANDLE, scope=["symbol"], quarantine=side, batch_id=7, mark=True
+            batch, root, CANDLE, scope=["symbol"], quarantine=side, batch_id=7, mark=True,
+            run="nightly",
         )
         assert (result.written, result.held_back) == (1, 2)
         assert as_set(store.scan_candles(spark, root), "symbol") == {("BTC/USDT",)}
@@ -115,9 +121,31 @@ def test_scope_and_quarantine(spark, root, tmp_path):
         }
     log = markers.ingest_log(spark, root)
     assert as_set(log, "provider", "symbol", "records") == {("x", "BTC/USDT", 1)}
+    assert log.count() == 1
     assert markers.last_ingest(spark, root).first()[0] <= datetime.datetime.now()
 
 
+def test_calls_without_a_run_keep_each_others_records(spark, root, tmp_path):
+    side = str(tmp_path / "side")
+    for day in (1, 2):
+        validated_ingest(candles(spark, at(day, volume="x")), root, CANDLE, quarantine=side)
+    held = spark.read.parquet(f"{side}/records")
+    assert as_set(held, "timestamp") == {("2024-01-01T00:00:00",), ("2024-01-02T00:00:00",)}
+
+
+def test_fraction_of_a_second_is_held_back(spark, root, tmp_path):
+    side = str(tmp_path / "side")
+    odd = at(2, symbol="bad") | {"timestamp": "2024-01-02T00:00:00.5"}
+    even = at(3, symbol="ok") | {"timestamp": "2024-01-03T00:00:00.000"}
+    batch = candles(spark, at(1), odd, even)
+    result = validated_ingest(batch, root, CANDLE, scope=["symbol"], quarantine=side)
+    assert (result.written, result.held_back) == (2, 1)
+    codes = as_set(spark.read.parquet(f"{side}/issues"), "code", "field")
+    assert codes == {("FRACTION_OF_SECOND", "timestamp")}
+    whole = validated_ingest(batch, root, CANDLE, resolution="us")
+    assert whole.written == 3
+
+
 def test_quarantine_without_scope_holds_everything(spark, root, tmp_path):
     batch = candles(spark, at(1), at(2, volume="x"))
     result = validated_ingest(batch, root, CANDLE, quarantine=str(tmp_path / "side"))

@@ -190,7 +190,7 @@ def test_a_key_with_a_third_of_all_rows(spark):
     assert issues.count() == n // 3 - 1
     assert issues.where("record_index = 0").count() == 0
     assert batch_verdict(rows, CANDLE).first()["errors"] == n // 3 - 1
-    ranked = validate.duplicate_rank(rows, CANDLE, rows_per_slice=5_000).where(hot_key())
+    ranked = validate.duplicate_rank(rows, CANDLE).where(hot_key())
     assert ranked.where(F.col("occurrence") != F.col("record_index") / 3 + 1).count() == 0
 
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accepted text shapes.
-SIGNED_DECIMAL = r"^-?[0-9]+(\.[0-9]+)?$"
-UNSIGNED_DECIMAL = r"^[0-9]+(\.[0-9]+)?$"
-ISO_SECONDS = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?$"
+# Accepted text shapes. One final newline may follow, and nothing else.
+SIGNED_DECIMAL = r"^-?[0-9]+(\.[0-9]+)?\n?\z"
+UNSIGNED_DECIMAL = r"^[0-9]+(\.[0-9]+)?\n?\z"
+ISO_SECONDS = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?\n?\z"
 BLANK = r"(?U)^[\s\x1c-\x1f]*$"
 
 
@@ -70,12 +70,41 @@ def integer_digit_count(value: Column) -> Column:
     return F.length(_integer_digits(F.ltrim(value, F.lit("-"))))
 
 
+# Text of a number with an exponent, and the largest exponent that is written out: what
+# lies beyond it fits no stored type.
+WITH_EXPONENT = r"^([+-]?)([0-9]*)\.?([0-9]*)[eE]([+-]?[0-9]{1,3})\z"
+LARGEST_EXPONENT = 60
+
+
 def plain_decimal(value: Column) -> Column:
-    """Expand an exponent to plain digits; other text is returned as it is."""
-    digits = value.try_cast("decimal(38,18)")
-    expanded = F.regexp_replace(digits.cast("string"), r"(\.[0-9]*?)0+$", "$1")
-    expanded = F.regexp_replace(expanded, r"\.$", "")
-    return F.when(value.rlike("[eE]"), F.coalesce(expanded, value)).otherwise(value)
+    """Write a number with an exponent in plain digits; other text is returned as it is.
+
+    The point moves in the text, so no digit is lost or added. Zeros at the ends of the
+    result are cut.
+    """
+
+    def group(n: int) -> Column:
+        return F.regexp_extract(value, WITH_EXPONENT, n)
+
+    digits = F.concat(group(2), group(3))
+    point = F.length(group(2)) + group(4).try_cast("int")
+    zeros = F.lit("0")
+    whole = F.when(point <= 0, "").otherwise(
+        F.rpad(F.substring(digits, F.lit(1), point), F.greatest(point, F.lit(0)), "0")
+    )
+    part = F.when(point < 0, F.concat(F.repeat(zeros, -point), digits)).otherwise(
+        F.substring(digits, point + 1, F.length(digits))
+    )
+    whole, part = F.ltrim(whole, zeros), F.rtrim(part, zeros)
+    number = F.concat(
+        F.when((group(1) == "-") & (F.concat(whole, part) != ""), "-").otherwise(""),
+        F.when(whole == "", "0").otherwise(whole),
+        F.when(part == "", "").otherwise(F.concat(F.lit("."), part)),
+    )
+    fits = value.rlike(WITH_EXPONENT) & (digits != "") & (
+        F.abs(group(4).try_cast("int")) <= LARGEST_EXPONENT
+    )
+    return F.when(value.rlike("[eE]"), F.when(fits, number).otherwise(value)).otherwise(value)
 
 
 def cut_fraction(value: Column, digits: int = 10) -> Column:

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.times import step_after, timeframe_lengths
-from tickloom.operators.skew import salted_join
 
 KEY = ("exchange", "symbol", "timeframe")
 
@@ -19,7 +18,7 @@ def resume_points(requests: DataFrame, stored: DataFrame) -> DataFrame:
     """
     last = stored.groupBy(*KEY).agg(F.max("timestamp").alias("last_timestamp"))
     lengths = F.broadcast(timeframe_lengths(requests.sparkSession))
-    asked = salted_join(requests, last, KEY, "left", spread=requests.columns)
+    asked = requests.join(last, list(KEY), "left")
     joined = asked.join(lengths, "timeframe", "left")
     known = F.coalesce(F.col("resumable"), F.lit(False))
     problem = F.when(~known, "unknown timeframe").when(
@@ -41,7 +40,7 @@ def coverage_check(requests: DataFrame, stored: DataFrame) -> DataFrame:
     first = stored.groupBy(*KEY).agg(F.min("timestamp").alias("first_timestamp"))
     first_day = F.date_format("first_timestamp", "yyyy-MM-dd")
     start_day = F.substring("start", 1, 10)
-    joined = salted_join(requests, first, KEY, "left", spread=requests.columns)
+    joined = requests.join(first, list(KEY), "left")
     return joined.select(
         *KEY,
         start_day.alias("start_date"),

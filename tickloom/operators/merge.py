@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.operators.cast import schema_align
-from tickloom.operators.skew import salted_join
 
 UPSERT, CHANGES = "upsert", "changes"
 STRATEGIES = (UPSERT, CHANGES)
@@ -23,20 +22,16 @@ def upsert_merge(
 ) -> DataFrame:
     """Stored rows whose key is not incoming, and all incoming rows.
 
-    The incoming side of the anti join is keys only. Where the caller knows that
-    they are unique (the validation gate guarantees it) both join inputs are
-    plain shuffles, which adaptive execution can broadcast or split. Otherwise the
-    keys are made distinct, with a partial aggregate before the shuffle, and the
-    stored side is salted.
+    The incoming side of the anti join is keys only. Where the caller does not know
+    that they are unique (the validation gate guarantees it), they are made distinct
+    first, with a partial aggregate before the shuffle. Adaptive execution broadcasts
+    the keys or splits a hot one.
     """
     aligned = schema_align(existing, incoming.schema)
     keys = incoming.select(*key)
-    if incoming_unique:
-        kept = aligned.join(keys, list(key), "left_anti").select(*incoming.columns)
-    else:
-        kept = salted_join(
-            aligned, keys.distinct(), key, "left_anti", spread=aligned.columns
-        ).select(*incoming.columns)
+    if not incoming_unique:
+        keys = keys.distinct()
+    kept = aligned.join(keys, list(key), "left_anti").select(*incoming.columns)
     return kept.unionByName(incoming)
 
 

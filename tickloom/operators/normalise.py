@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from tickloom.functions.native import native_symbol, native_timeframes
 from tickloom.functions.text import plain_decimal
 from tickloom.functions.times import bound_literal, epoch_to_iso, iso_to_epoch
-from tickloom.operators.skew import salted_join
 from tickloom.schemas import CANDLE_FIELDS
 
 VALUES = ("t", "open", "high", "low", "close", "volume")
@@ -51,6 +50,13 @@ class Format:
     def is_list(self) -> bool:
         return self.schema == _LISTS
 
+    @property
+    def list_text(self) -> str:
+        """SQL of the row list as JSON text, for bodies that hold it in an object."""
+        if self.rows.startswith("from_json("):
+            return self.rows[len("from_json(") :].rsplit(",", 1)[0]
+        return f"get_json_object(body, '$.{self.rows.removeprefix('b.')}')"
+
 
 # Payload layouts.
 FORMATS = {
@@ -92,7 +98,8 @@ FORMATS = {
         (0, 1, 2, 3, 4, 6),
         "s",
         "empty",
-        fails="size(b.error) > 0",
+        fails="coalesce(get_json_object(body, '$.error'), '') NOT IN "
+        "('', '[]', '{}', 'false', '0')",
     ),
     "kucoin": Format(
         f"struct<code:string,data:{_LISTS}>",
@@ -134,8 +141,11 @@ def _outcome(fmt: Format) -> Column:
         text = f"'{reason}'" if reason else "CAST(NULL AS STRING)"
         return f"named_struct('reason', {text}, 'rows', {rows})"
 
-    is_array = "json_array_length(body) IS NOT NULL"
-    is_object = "json_object_keys(body) IS NOT NULL"
+    # Spark's parsers stop after the first value; followed by another one inside a list, a
+    # body with anything behind its value is no list of the two.
+    alone = "get_json_object(concat('[', body, ',\"~end~\"]'), '$[1]') <=> '~end~'"
+    is_array = f"json_array_length(body) IS NOT NULL AND {alone}"
+    is_object = f"json_object_keys(body) IS NOT NULL AND {alone}"
     expected, other = (is_array, is_object) if fmt.is_list else (is_object, is_array)
     otherwise = done(API_ERROR, no_rows) if fmt.other == "fail" else done(None, no_rows)
     if fmt.rows == "b" and fmt.other == "empty":
@@ -155,8 +165,9 @@ def _outcome(fmt: Format) -> Column:
     )
     # transform() over a one-element array binds a name without evaluating twice.
     inner = f"transform(array(coalesce({_picked(fmt)}, {no_rows})), rows -> {checked})[0]"
-    if fmt.is_list:
-        inner = f"CASE WHEN b IS NULL THEN {done(BAD_ROW, no_rows)} ELSE {inner} END"
+    # A list with an element that is no row parses to null, as does what is no list.
+    lost = "b IS NULL" if fmt.is_list else f"{fmt.rows} IS NULL AND {fmt.list_text} LIKE '[%'"
+    inner = f"CASE WHEN {lost} THEN {done(BAD_ROW, no_rows)} ELSE {inner} END"
     if fmt.fails:
         inner = f"CASE WHEN {fmt.fails} THEN {done(API_ERROR, no_rows)} ELSE {inner} END"
     parsed = f"transform(array(from_json(body, '{fmt.schema}')), b -> {inner})[0]"
@@ -302,7 +313,7 @@ def native_requests(requests: DataFrame) -> DataFrame:
 
 
 def latest_payload_wins(
-    rows: DataFrame, key: Sequence[str], order: Sequence[str], spread: Sequence[str]
+    rows: DataFrame, key: Sequence[str], order: Sequence[str]
 ) -> DataFrame:
     """Drop rows of a key that a later payload sends again.
 
@@ -316,5 +327,5 @@ def latest_payload_wins(
         .where(F.col("_first") != F.col("_last"))
         .select(*key, "_last")
     )
-    joined = salted_join(rows, again, key, "left", spread)
+    joined = rows.join(again, list(key), "left")
     return joined.where(F.col("_last").isNull() | (sent == F.col("_last"))).drop("_last")

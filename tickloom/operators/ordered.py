@@ -1,53 +1,45 @@
 """Row numbers, running sums and previous values within keys of any size.
 
 A window over a key runs in one task, which fails when the key holds a third of
-a large table. Here the rows of a key are cut into slices along the order column,
-at quantiles of the whole table. The heavy window runs per ``(key, slice)``; only
-one row per key and slice enters the second window that carries values across
-slices. The order column must be numeric and distinct within a key. Inputs of up
-to ``rows_per_slice`` rows get a plain window.
+a large table. Here the rows of a key are cut into slices along the order column. The
+slice is a fixed function of the value, the logarithm in steps, so it needs no look at
+the data: every power of two has ``STEPS`` slices, wherever the values are. The heavy
+window runs per ``(key, slice)``; only one row per key and slice enters the second window
+that carries values across slices. The order column must be numeric and distinct within
+a key. There is one path at any size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_SLICE = 1_000_000
-MAX_SLICES = 2_000
+# Slices per power of two. Doubles span about 2,100 powers on either side of zero.
+STEPS = 1 << 16
+_END = 1 << 28
 
 _SLICE = "_slice"
-_ORDER = "_order"
-
-
-def cut_points(df: DataFrame, order: str, rows_per_slice: int) -> list[float]:
-    """Quantiles of the order column; at most ``MAX_SLICES - 1`` numbers."""
-    probabilities = [i / MAX_SLICES for i in range(1, MAX_SLICES)]
-    found = df.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.percentile_approx(F.col(order).cast("double"), probabilities, 4 * MAX_SLICES).alias("q"),
-    ).first()
-    wanted = min(MAX_SLICES, -(-found["n"] // rows_per_slice))
-    if wanted <= 1:
-        return []
-    quantiles = found["q"]
-    picks = [quantiles[round(i * MAX_SLICES / wanted) - 1] for i in range(1, wanted)]
-    return sorted(set(picks))
-
-
-def add_slice(df: DataFrame, order: str, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame | None:
-    """Add the slice number, or return None if one slice is enough."""
-    cuts = cut_points(df, order, rows_per_slice)
-    if not cuts:
-        return None
-    bucketizer = Bucketizer(
-        splits=[-float("inf"), *cuts, float("inf")], inputCol=_ORDER, outputCol=_SLICE
+
+
+def slice_of(value: Column) -> Column:
+    """A number that never falls as the value grows; null is the least, NaN the largest."""
+    number = value.cast("double")
+    size = F.abs(number)
+    step = F.floor(F.log2(F.when((size > 0) & (size < float("inf")), size)) * STEPS)
+    step = F.coalesce(step, F.lit(_END)) + _END
+    return (
+        F.when(number.isNull(), -4 * _END)
+        .when(F.isnan(number), 4 * _END)
+        .when(number == 0, 0)
+        .otherwise(F.when(number > 0, step).otherwise(-step))
+        .cast("long")
     )
-    numbered = bucketizer.transform(df.withColumn(_ORDER, F.col(order).cast("double")))
-    return numbered.withColumn(_SLICE, F.col(_SLICE).cast("int")).drop(_ORDER)
+
+
+def add_slice(df: DataFrame, order: str) -> DataFrame:
+    return df.withColumn(_SLICE, slice_of(F.col(order)))
 
 
 def _attach(sliced: DataFrame, carried: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -63,64 +55,28 @@ def _attach(sliced: DataFrame, carried: DataFrame, keys: Sequence[str]) -> DataF
     return sliced.join(right, condition, "left").drop(*[f"_r_{k}" for k in [*keys, _SLICE]])
 
 
-def running_sums(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: str,
-    values: dict[str, Column],
-    rows_per_slice: int = ROWS_PER_SLICE,
+def running_sum(
+    df: DataFrame, keys: Sequence[str], order: str, value: Column, name: str
 ) -> DataFrame:
-    """Sums over the rows of the key up to and including this one, by new column name."""
-    upto = (Window.unboundedPreceding, Window.currentRow)
-    sliced = add_slice(df, order, rows_per_slice)
-    if sliced is None:
-        window = Window.partitionBy(*keys).orderBy(order).rowsBetween(*upto)
-        return df.withColumns({name: F.sum(v).over(window) for name, v in values.items()})
-    totals = sliced.groupBy(*keys, _SLICE).agg(
-        *[F.sum(v).alias(f"_total_{name}") for name, v in values.items()]
-    )
+    """Sum over the rows of the key up to and including this one."""
+    sliced = add_slice(df, order)
+    totals = sliced.groupBy(*keys, _SLICE).agg(F.sum(value).alias("_total"))
     before = Window.partitionBy(*keys).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select(
-        *keys,
-        _SLICE,
-        F.count(F.lit(1)).over(before).alias("_earlier"),
-        *[F.sum(f"_total_{name}").over(before).alias(f"_before_{name}") for name in values],
+    carried = totals.select(*keys, _SLICE, F.sum("_total").over(before).alias("_before"))
+    local = (
+        Window.partitionBy(*keys, _SLICE)
+        .orderBy(order)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    carried = carried.where(F.col("_earlier") > 0).drop("_earlier")
-    local = Window.partitionBy(*keys, _SLICE).orderBy(order).rowsBetween(*upto)
-    summed = sliced.withColumns(
-        {f"_local_{name}": F.sum(v).over(local) for name, v in values.items()}
-    )
-    joined = _attach(summed, carried, keys)
-
-    def total(name: str) -> Column:
-        here, earlier = F.col(f"_local_{name}"), F.col(f"_before_{name}")
-        return F.coalesce(here + earlier, here, earlier)
-
-    done = joined.withColumns({name: total(name) for name in values})
-    return done.drop(_SLICE, *[f"_{side}_{n}" for side in ("local", "before") for n in values])
+    joined = _attach(sliced.withColumn("_local", F.sum(value).over(local)), carried, keys)
+    here, earlier = F.col("_local"), F.col("_before")
+    done = joined.withColumn(name, F.coalesce(here + earlier, here, earlier))
+    return done.drop(_SLICE, "_local", "_before")
 
 
-def running_sum(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: str,
-    value: Column,
-    name: str,
-    rows_per_slice: int = ROWS_PER_SLICE,
-) -> DataFrame:
-    return running_sums(df, keys, order, {name: value}, rows_per_slice)
-
-
-def position(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: str,
-    name: str,
-    rows_per_slice: int = ROWS_PER_SLICE,
-) -> DataFrame:
+def position(df: DataFrame, keys: Sequence[str], order: str, name: str) -> DataFrame:
     """1-based position of the row within its key, as long."""
-    return running_sum(df, keys, order, F.lit(1).cast("long"), name, rows_per_slice)
+    return running_sum(df, keys, order, F.lit(1).cast("long"), name)
 
 
 def previous(
@@ -130,19 +86,12 @@ def previous(
     value: str,
     name: str,
     position_name: str | None = None,
-    rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
     """``value`` of the row before this one in its key; null for the first.
 
     With ``position_name`` also the 1-based position, at no further shuffle.
     """
-    whole = Window.partitionBy(*keys).orderBy(order)
-    sliced = add_slice(df, order, rows_per_slice)
-    if sliced is None:
-        columns = {name: F.lag(value).over(whole)}
-        if position_name:
-            columns[position_name] = F.row_number().over(whole).cast("long")
-        return df.withColumns(columns)
+    sliced = add_slice(df, order)
     last = sliced.groupBy(*keys, _SLICE).agg(
         F.max_by(F.struct(F.col(value).alias("v")), F.col(order)).alias("_last"),
         F.count(F.lit(1)).alias("_rows"),
@@ -166,4 +115,4 @@ def previous(
     return done.drop("_prev", "_carried", "_offset", "_at", _SLICE)
 
 
-__all__ = ["add_slice", "cut_points", "position", "previous", "running_sum", "running_sums"]
+__all__ = ["add_slice", "position", "previous", "running_sum", "slice_of"]

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions import text
-from tickloom.operators.ordered import ROWS_PER_SLICE, position
+from tickloom.operators.ordered import position
 from tickloom.schemas import CANDLE, FUNDING, RecordKind
 
 # Issue codes, in the order the rules run.
@@ -26,6 +26,7 @@ DUPLICATE_TIMESTAMP = "DUPLICATE_TIMESTAMP"
 # Our own codes for values that pass the rules but cannot be stored.
 DECIMAL_OUT_OF_RANGE = "DECIMAL_OUT_OF_RANGE"
 UNPARSEABLE_TIMESTAMP = "UNPARSEABLE_TIMESTAMP"
+FRACTION_OF_SECOND = "FRACTION_OF_SECOND"
 
 # Limits.
 MAX_DIGITS = 38
@@ -201,8 +202,11 @@ def next_after_checks() -> list[Check]:
     return [Check(FUTURE_BEFORE_CURRENT, ERROR, "next_funding_time", broken, template, shown)]
 
 
-def storage_checks(kind: RecordKind) -> list[Check]:
-    """Values that satisfy every rule and still have no place in the stored types."""
+def storage_checks(kind: RecordKind, resolution: str) -> list[Check]:
+    """Values that satisfy every rule and still have no place in the stored types.
+
+    At the resolution of seconds (``s``) a time with a fraction has none either.
+    """
     checks = []
     for f in kind.decimals:
         value, limit = _text(f), MAX_STORED_INTEGER_DIGITS
@@ -215,6 +219,11 @@ def storage_checks(kind: RecordKind) -> list[Check]:
         template = f"Field '{f}' is no real time: '%s'."
         broken = unreal & text.is_iso_time(_text(f))
         checks.append(Check(UNPARSEABLE_TIMESTAMP, ERROR, f, broken, template, (f,)))
+        if resolution == "s":
+            # Digits beyond the microsecond are cut off in any case.
+            broken = text.is_iso_time(_text(f)) & _text(f).rlike(r"\.[0-9]{0,5}[1-9]")
+            template = f"Field '{f}' has a fraction of a second: '%s'."
+            checks.append(Check(FRACTION_OF_SECOND, ERROR, f, broken, template, (f,)))
     return checks
 
 
@@ -238,9 +247,10 @@ def funding_checks() -> list[Check]:
     ]
 
 
-def checks_for(kind: RecordKind, storage: bool = False) -> list[Check]:
+def checks_for(kind: RecordKind, storage: str | None = None) -> list[Check]:
+    """The rules of a kind, and what storage at a resolution demands beyond them."""
     rules = candle_checks() if kind is CANDLE else funding_checks()
-    return rules + (storage_checks(kind) if storage else [])
+    return rules + (storage_checks(kind, storage) if storage else [])
 
 
 _BROKEN = "_broken"
@@ -345,7 +355,7 @@ def duplicate_issues(
 
 
 def validate(
-    batch: DataFrame, kind: RecordKind, storage: bool = False, keep: Sequence[str] = ()
+    batch: DataFrame, kind: RecordKind, storage: str | None = None, keep: Sequence[str] = ()
 ) -> DataFrame:
     """All issues of a batch with a unique ``record_index`` column."""
     checks = checks_for(kind, storage)
@@ -362,7 +372,7 @@ def validate_funding(batch: DataFrame) -> DataFrame:
     return validate(batch, FUNDING)
 
 
-def batch_verdict(batch: DataFrame, kind: RecordKind, storage: bool = False) -> DataFrame:
+def batch_verdict(batch: DataFrame, kind: RecordKind, storage: str | None = None) -> DataFrame:
     """One row ``(passed, errors, issues, records)`` without building the issues.
 
     Broken checks are counted in the scan; copies of a key are counted from the
@@ -413,8 +423,6 @@ def issue_counts(issues: DataFrame) -> DataFrame:
     return issues.groupBy("code", "severity", "field").agg(F.count(F.lit(1)).alias("issues"))
 
 
-def duplicate_rank(
-    batch: DataFrame, kind: RecordKind, rows_per_slice: int = ROWS_PER_SLICE
-) -> DataFrame:
+def duplicate_rank(batch: DataFrame, kind: RecordKind) -> DataFrame:
     """Occurrence number of each record within its key, in record order."""
-    return position(batch, kind.key, INDEX, "occurrence", rows_per_slice)
+    return position(batch, kind.key, INDEX, "occurrence")

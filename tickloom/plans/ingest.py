@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -11,13 +12,13 @@ from pyspark.sql import functions as F
 
 from tickloom.operators.coverage import resume_points
 from tickloom.operators.merge import UPSERT
-from tickloom.operators.normalise import parse_payloads, payload_candles
-from tickloom.operators.skew import salted_join
+from tickloom.operators.normalise import FORMATS, parse_payloads, payload_candles
 from tickloom.operators.summary import ingest_counts
 from tickloom.operators.validate import ERROR, INDEX, batch_verdict, validate
 from tickloom.schemas import CANDLE, RecordKind
+from tickloom.session import shared_dir
 from tickloom.sources.layout import MARKET_DAY, Layout
-from tickloom.sources.markers import mark_ingest
+from tickloom.sources.markers import mark_ingest, write_batch
 from tickloom.sources.sinks import upsert
 from tickloom.sources.store import scan
 
@@ -61,6 +62,7 @@ def validated_ingest(
     quarantine: str | None = None,
     batch_id: int = 0,
     mark: bool = False,
+    run: str | None = None,
 ) -> IngestResult:
     """Write a batch of raw records if no rule finds an error.
 
@@ -69,21 +71,27 @@ def validated_ingest(
     go to ``quarantine`` if it is given; without scope and quarantine the job raises.
     The batch, which needs a distinct ``record_index``, is cached, so verdict and
     write read the source once. ``mark`` adds the written sets to the ingest log.
+    Side tables and log are kept per ``run`` and batch: repeating a batch of a named run
+    replaces its entries, and a call without a name is a run of its own.
     """
+    run = run or uuid.uuid4().hex
     batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
     cached = [batch]
     try:
-        verdict = batch_verdict(batch, kind, storage=True).first()
+        verdict = batch_verdict(batch, kind, storage=resolution).first()
         good, held = batch, 0
         if not verdict["passed"]:
             if scope is None and quarantine is None:
                 raise IngestRejected(verdict["issues"])
-            good, held = _hold_back(batch, kind, scope, quarantine, batch_id, cached)
+            issues = validate(
+                batch, kind, storage=resolution, keep=[c for c in scope or () if c in kind.fields]
+            )
+            good, held = _hold_back(batch, issues, scope, quarantine, (run, batch_id), cached)
         # No error means no repeated key, so the merge can rely on that.
         upsert(good, root, kind, layout, strategy, resolution, incoming_unique=True)
         written = verdict["records"] - held
         if mark and written:
-            mark_ingest(ingest_counts(good, kind), root)
+            mark_ingest(ingest_counts(good, kind), root, run, batch_id)
         return IngestResult(written, held, verdict["issues"])
     finally:
         for frame in cached:
@@ -92,60 +100,47 @@ def validated_ingest(
 
 def _hold_back(
     batch: DataFrame,
-    kind: RecordKind,
+    issues: DataFrame,
     scope: Sequence[str] | None,
     quarantine: str | None,
-    batch_id: int,
+    writer: tuple[str, int],
     cached: list[DataFrame],
 ) -> tuple[DataFrame, int]:
     """Split off the sets with errors; without scope the whole batch is one set."""
-    sets = [c for c in (scope or ()) if c in kind.fields]
-    issues = validate(batch, kind, storage=True, keep=sets)
+    sets = [c for c in (scope or ()) if c in issues.columns]
     if sets:
         faulty = issues.where(F.col("severity") == ERROR).select(*sets).distinct()
         faulty = faulty.persist(StorageLevel.MEMORY_AND_DISK)
         cached.append(faulty)
-        good = salted_join(batch, faulty, sets, "left_anti", spread=[INDEX]).select(*batch.columns)
-        bad = salted_join(batch, faulty, sets, "left_semi", spread=[INDEX]).select(*batch.columns)
+        good = batch.join(faulty, sets, "left_anti").select(*batch.columns)
+        bad = batch.join(faulty, sets, "left_semi").select(*batch.columns)
     else:
         good, bad = batch.limit(0), batch
     held = bad.count()
     if quarantine:
         for rows, name in ((bad, "records"), (issues, "issues")):
-            (
-                rows.withColumn("batch_id", F.lit(batch_id).cast("long"))
-                .write.mode("overwrite")
-                .option("partitionOverwriteMode", "dynamic")
-                .partitionBy("batch_id")
-                .parquet(f"{quarantine.rstrip('/')}/{name}")
-            )
+            write_batch(rows, f"{quarantine.rstrip('/')}/{name}", *writer)
     return good, held
 
 
-# Up to this many requested sets become a partition filter on the landed payloads.
-MAX_LISTED_SETS = 500
-
-
 def incremental_backfill(
     spark: SparkSession, requests: DataFrame, payloads: DataFrame, root: str, **options
 ) -> IngestResult:
     """Ingest landed payloads of the requested sets from where the store ends.
 
-    Sets without stored rows are left out; ``resume_points`` names them. The requested
-    names prune the payload folders if there are few; the join decides in any case.
+    Sets without stored rows are left out; ``resume_points`` names them. The points are
+    written to the shared folder before the store changes. The exchanges among them, of
+    which there are no more than formats, prune the payload folders.
     """
     starts = resume_points(requests, scan(spark, root, CANDLE)).where(F.col("problem").isNull())
-    starts = starts.select(*SET, "start").distinct().persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        listed = starts.limit(MAX_LISTED_SETS + 1).collect()
-        if len(listed) <= MAX_LISTED_SETS:
-            for column in SET:
-                payloads = payloads.where(F.col(column).isin(sorted({r[column] for r in listed})))
-        rows = number_records(payload_candles(parse_payloads(payloads)))
-        fresh = salted_join(rows, starts, SET, "inner", spread=[INDEX]).where(
-            F.col("timestamp").cast("timestamp_ntz") >= F.col("start")
-        )
-        batch = fresh.select(*CANDLE.fields, INDEX)
-        return validated_ingest(batch, root, CANDLE, **options)
-    finally:
-        starts.unpersist()
+    starts = starts.select(*SET, "start").distinct()
+    path = shared_dir(spark, "starts")
+    starts.write.parquet(path)
+    starts = spark.read.schema(starts.schema).parquet(path)
+    known = starts.where(F.col("exchange").isin(*FORMATS)).select("exchange").distinct().collect()
+    asked = payloads.where(F.col("exchange").isin(sorted(row["exchange"] for row in known)))
+    rows = number_records(payload_candles(parse_payloads(asked)))
+    fresh = rows.join(starts, list(SET)).where(
+        F.col("timestamp").cast("timestamp_ntz") >= F.col("start")
+    )
+    return validated_ingest(fresh.select(*CANDLE.fields, INDEX), root, CANDLE, **options)

@@ -465,7 +465,9 @@ def ingest_marker(spark, sf_dir):
     batch = views.candles_indexed(spark, sf_dir)
     validated_ingest(batch, root, CANDLE, mark=True)
     log = markers.ingest_log(spark, root)
-    return log.withColumn("marked", F.col("ingested_at").isNotNull()).drop("ingested_at")
+    return log.withColumn("marked", F.col("ingested_at").isNotNull()).drop(
+        "ingested_at", *markers.WRITER
+    )
 
 
 # --- generated records -----------------------------------------------------------

@@ -14,6 +14,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.ansi.enabled": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Split the rows of a hot key in a join even where that costs another shuffle.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # The JVM does not optimise methods above this size; Spark then compiles the
     # operators of the stage one by one instead.

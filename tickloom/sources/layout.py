@@ -65,9 +65,3 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
-
-
-def partition_path(spark: SparkSession, base: str, values: dict[str, str]) -> str:
-    """Folder of one partition, escaped the way the Parquet writer escapes it."""
-    utils = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
-    return "/".join([base, *[utils.getPartitionPathString(k, v) for k, v in values.items()]])

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickloom.operators.cast import typed_cast
 from tickloom.operators.merge import (
@@ -16,25 +16,19 @@ from tickloom.operators.merge import (
     classify_changes,
     upsert_merge,
 )
-from tickloom.operators.skew import salted_join
 from tickloom.schemas import CANDLE, FUNDING, RecordKind
+from tickloom.session import shared_dir
 from tickloom.sources.layout import (
     DATE,
     MARKET_DAY,
     Layout,
     folder,
-    partition_path,
     path_exists,
     stored_schema,
     with_date,
 )
 from tickloom.sources.store import scan
 
-# Up to this many touched partitions are read by path, without listing the store.
-# Their values (a few short strings each) are the only data the driver sees.
-MAX_LISTED_PARTITIONS = 500
-
-
 def touched_partitions(batch: DataFrame, kind: RecordKind, layout: Layout) -> DataFrame:
     return batch.select(*layout.partitions(kind)).distinct()
 
@@ -44,28 +38,24 @@ def stored_in_touched(
 ) -> tuple[DataFrame | None, bool]:
     """Stored rows of the partitions a batch touches, and whether it touches any.
 
-    None stands for "nothing stored there yet".
+    None stands for "nothing stored there yet". The scan is pruned to the batch's days and
+    markets, of which only the first and last come to the driver; a semi join keeps
+    exactly the touched partitions, however many there are.
     """
-    spark, base = batch.sparkSession, folder(root, kind)
+    spark = batch.sparkSession
     columns = layout.partitions(kind)
-    touched = touched_partitions(batch, kind, layout)
-    listed = touched.limit(MAX_LISTED_PARTITIONS + 1).collect()
-    if not listed:
+    bounds = batch.agg(
+        *[f(c).alias(f"{name}_{c}") for c in columns for f, name in ((F.min, "min"), (F.max, "max"))]
+    ).first()
+    if all(value is None for value in bounds):
         return None, False
-    if not path_exists(spark, base):
+    if not path_exists(spark, folder(root, kind)):
         return None, True
-    schema = stored_schema(kind)
-    if len(listed) <= MAX_LISTED_PARTITIONS:
-        paths = [partition_path(spark, base, row.asDict()) for row in listed]
-        present = [p for p in paths if path_exists(spark, p)]
-        if not present:
-            return None, True
-        rows = spark.read.schema(schema).option("basePath", base).parquet(*present)
-        return rows.select(*schema.names), True
-    # Many partitions: prune by the batch's date range, then keep the exact set.
-    first, last = batch.agg(F.min(DATE), F.max(DATE)).first()
-    rows = scan(spark, root, kind).where(F.col(DATE).between(first, last))
-    return salted_join(rows, touched, columns, "left_semi", spread=kind.key), True
+    rows = scan(spark, root, kind)
+    for c in columns:
+        if bounds[f"min_{c}"] is not None:
+            rows = rows.where(F.col(c).between(bounds[f"min_{c}"], bounds[f"max_{c}"]))
+    return rows.join(touched_partitions(batch, kind, layout), list(columns), "left_semi"), True
 
 
 def write_partitions(rows: DataFrame, root: str, kind: RecordKind, layout: Layout) -> None:
@@ -132,21 +122,21 @@ def _write_changes(
     key: list[str],
     columns: list[str],
 ) -> DataFrame:
-    classified = classify_changes(existing, incoming, key).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        changed = (
-            classified.where(F.col("action").isin(INSERT, UPDATE)).select(*columns).distinct()
-        )
-        listed = changed.limit(MAX_LISTED_PARTITIONS + 1).collect()
-        if listed:
-            rows = salted_join(classified, changed, columns, "left_semi", spread=key)
-            write_partitions(rows.select(*incoming.columns), root, kind, layout)
-        if len(listed) <= MAX_LISTED_PARTITIONS:
-            return incoming.sparkSession.createDataFrame(listed, changed.schema)
-        # The stored side is rewritten by now, so report the touched set instead.
-        return touched_partitions(incoming, kind, layout)
-    finally:
-        classified.unpersist()
+    spark = incoming.sparkSession
+    # Both are written before the store changes: nothing is computed from it again.
+    path = shared_dir(spark, "classified")
+    classify_changes(existing, incoming, key).write.parquet(path)
+    classified = spark.read.schema(
+        T.StructType([T.StructField("action", T.StringType()), *incoming.schema.fields])
+    ).parquet(path)
+    names = classified.where(F.col("action").isin(INSERT, UPDATE)).select(*columns).distinct()
+    path = shared_dir(spark, "changed")
+    names.write.parquet(path)
+    changed = spark.read.schema(names.schema).parquet(path)
+    if not changed.isEmpty():
+        rows = classified.join(changed, columns, "left_semi")
+        write_partitions(rows.select(*incoming.columns), root, kind, layout)
+    return changed
 
 
 def write_candles(batch: DataFrame, root: str, **options) -> DataFrame:

@@ -18,6 +18,7 @@ from tickloom.operators.validate import INDEX
 from tickloom.plans.ingest import SET, number_records, validated_ingest
 from tickloom.schemas import CANDLE
 from tickloom.sources.layout import MARKET_DAY, Layout
+from tickloom.sources.markers import write_batch
 from tickloom.sources.payloads import stream_payloads
 
 _ORDER = ("landed_at", "file", "payload_no")
@@ -30,25 +31,21 @@ def ingest_cycle(
     quarantine: str,
     layout: Layout = MARKET_DAY,
     strategy: str = UPSERT,
+    run: str = "follow",
 ) -> None:
     """One micro-batch: normalise, hold faulty sets back, upsert the rest, mark.
 
     Running a batch again ends in the same store: the upsert is by key, and the
-    side tables are overwritten per batch.
+    side tables and the log are overwritten per run and batch.
     """
     numbered = payloads.withColumn("payload_no", F.monotonically_increasing_id())
     parsed = parse_payloads(numbered).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        (
-            payload_rejects(parsed)
-            .withColumn("batch_id", F.lit(batch_id).cast("long"))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch_id")
-            .parquet(f"{quarantine.rstrip('/')}/rejects")
+        write_batch(
+            payload_rejects(parsed), f"{quarantine.rstrip('/')}/rejects", run, batch_id
         )
         rows = number_records(payload_candles(parsed, keep=_ORDER))
-        current = latest_payload_wins(rows, CANDLE.key, _ORDER, spread=[INDEX])
+        current = latest_payload_wins(rows, CANDLE.key, _ORDER)
         validated_ingest(
             current.select(*CANDLE.fields, INDEX),
             root,
@@ -59,6 +56,7 @@ def ingest_cycle(
             quarantine=quarantine,
             batch_id=batch_id,
             mark=True,
+            run=run,
         )
     finally:
         parsed.unpersist()
@@ -83,7 +81,9 @@ def follow(
     payloads = stream_payloads(spark, landing, max_files_per_trigger)
 
     def cycle(batch: DataFrame, batch_id: int) -> None:
-        ingest_cycle(batch, batch_id, root, quarantine, layout, strategy)
+        # Batch numbers start again with a new checkpoint, and so does the query's id.
+        run = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or checkpoint
+        ingest_cycle(batch, batch_id, root, quarantine, layout, strategy, run)
 
     writer = payloads.writeStream.foreachBatch(cycle).option("checkpointLocation", checkpoint)
     trigger = {"processingTime": every} if every else {"availableNow": True}
