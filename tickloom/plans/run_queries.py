@@ -127,11 +127,27 @@ SELECT *, CASE WHEN {_FAILS} THEN 'FAIL' WHEN {_WARNS}
 FROM (SELECT *, (new - old) / nullif(abs(old), 0) AS pct FROM ({_TALL}) t) c"""
 
 
-@query("run_compare", _CHANGES, ("run_totals", "run_pairs"))
+_GROWTH = "printf('%+.1f%%', round(pct * 100, 1))"
+_LABELS = " ".join(f"WHEN '{m}' THEN '{label}'" for m, label in runs.LABELS.items())
+
+
+@query(
+    "run_compare",
+    f"""
+SELECT *, CASE metric {_LABELS} END AS label,
+  CASE WHEN {_FAILS} OR {_WARNS} THEN 'regressed ' || {_GROWTH}
+    WHEN metric = 'gc_g2' AND old = 0 AND new > 0
+    THEN printf('GC gen-2 appeared: %d → %d', CAST(old AS BIGINT), CAST(new AS BIGINT))
+    ELSE '' END AS reason
+FROM ({_CHANGES}) v""",
+    ("run_totals", "run_pairs"),
+)
 def run_compare(spark, sf_dir):
     stages = views.run_stages(spark, sf_dir)
     changes = runs.metric_changes(runs.run_summary(stages), views.run_pairs(stages))
-    return changes.select("pair_id", "metric", "old", "new", "pct", "verdict")
+    return changes.select(
+        "pair_id", "metric", "old", "new", "pct", "verdict", "label", "reason"
+    )
 
 
 @query(
@@ -171,7 +187,10 @@ def key_union(spark, sf_dir):
 @query(
     "top_stage_deltas",
     f"""
-SELECT pair_id, stage, old_wall, new_wall, delta, rank FROM (
+SELECT pair_id, stage, old_wall, new_wall, delta, rank,
+  COALESCE(printf('%+.1f%%', round((new_wall - old_wall) / nullif(abs(old_wall), 0) * 100, 1)), 'new')
+    AS pct_text
+FROM (
   SELECT *, CAST(row_number() OVER (PARTITION BY pair_id ORDER BY abs(delta) DESC, stage) AS INTEGER)
     AS rank
   FROM (SELECT *, new_wall - old_wall AS delta FROM ({_STAGE_CHANGES}) s) d WHERE abs(delta) >= 0.1
@@ -181,57 +200,85 @@ SELECT pair_id, stage, old_wall, new_wall, delta, rank FROM (
 def top_stage_deltas(spark, sf_dir):
     stages = views.run_stages(spark, sf_dir)
     changes = runs.stage_changes(stages, views.run_pairs(stages))
-    return runs.top_stage_deltas(changes).drop("pct_text")
+    return runs.top_stage_deltas(changes)
 
 
-# Ratings as CASE expressions over run totals, by rule name.
+# Ratings and messages as CASE expressions over run totals, by rule name.
 _MB = "(last_file_kb / 1024.0)"
 
 
-def _band(value: str, undefined: str, *steps: tuple[str, str]) -> str:
-    cases = " ".join(f"WHEN {value} < {limit} THEN '{rating}'" for limit, rating in steps)
-    return f"CASE WHEN {undefined} THEN 'PASS' {cases} ELSE 'FAIL' END"
+def _said(value: str, digits: int, unit: str, note: str) -> str:
+    """Java rounds halves up where printf looks at the binary value."""
+    return f"printf('%.{digits}f', round({value}, {digits})) || '{unit} — {note}'"
+
+
+def _band(value: str, digits: int, unit: str, undefined: str, excuse: str, steps) -> tuple:
+    def cases(shown) -> str:
+        return " ".join(
+            f"WHEN {value} < {limit} THEN {shown(rating, note)}"
+            if limit is not None
+            else f"ELSE {shown(rating, note)}"
+            for limit, rating, note in steps
+        )
+
+    rating = cases(lambda rating, note: f"'{rating}'")
+    message = cases(lambda rating, note: _said(value, digits, unit, note))
+    return (
+        f"CASE WHEN {undefined} THEN 'PASS' {rating} END",
+        f"CASE WHEN {undefined} THEN '{runs.EXCUSES[excuse]}' {message} END",
+    )
+
+
+def _collections() -> tuple:
+    few, some = "GREATEST(5, count // 5000)", "GREATEST(20, count // 1000)"
+    says = {k: f"printf('{v}', CAST(gc_g2 AS BIGINT))" for k, v in runs.GC2_NOTES.items() if "%" in v}
+    return (
+        f"CASE WHEN count <= 0 OR gc_g2 <= {few} THEN 'PASS' "
+        f"WHEN gc_g2 <= {some} THEN 'WARN' ELSE 'FAIL' END",
+        f"CASE WHEN count <= 0 THEN '{runs.GC2_NOTES['empty']}' "
+        f"WHEN gc_g2 = 0 THEN '{runs.GC2_NOTES['zero']}' WHEN gc_g2 <= {few} THEN {says['few']} "
+        f"WHEN gc_g2 <= {some} THEN {says['some']} ELSE {says['many']} END",
+    )
 
 
 _RATINGS = {
     "rule_compression": (
         "MemΔ vs file size",
-        _band(f"mem_mb / {_MB}", f"mem_mb <= 0 OR {_MB} <= 0", ("15", "PASS"), ("30", "WARN")),
+        *_band(f"(mem_mb / {_MB})", 1, "×", f"mem_mb <= 0 OR {_MB} <= 0", "file", runs.COMPRESSION),
     ),
     "rule_cpu_wall": (
         "CPU/Wall ratio",
-        "CASE WHEN wall_ms <= 0 OR cpu_ms / wall_ms >= 0.8 THEN 'PASS' "
-        "WHEN cpu_ms / wall_ms >= 0.5 THEN 'WARN' ELSE 'FAIL' END",
-    ),
-    "rule_gc2": (
-        "GC gen-2 count",
-        "CASE WHEN count <= 0 OR gc_g2 <= GREATEST(5, count // 5000) THEN 'PASS' "
-        "WHEN gc_g2 <= GREATEST(20, count // 1000) THEN 'WARN' ELSE 'FAIL' END",
+        *_band("(cpu_ms / wall_ms)", 2, "", "wall_ms <= 0", "wall", runs.CPU_WALL),
     ),
+    "rule_gc2": ("GC gen-2 count", *_collections()),
     "rule_write_share": (
         "Parquet write dominance",
-        _band("write_ms / wall_ms * 100", "wall_ms <= 0", ("60", "PASS"), ("80", "WARN")),
+        *_band("(write_ms / wall_ms * 100)", 0, "%", "wall_ms <= 0", "wall", runs.WRITE_SHARE),
     ),
     "rule_peak_ratio": (
         "Peak vs total allocated",
-        _band("peak_mb / mem_mb", "mem_mb <= 0", ("2.5", "PASS"), ("4", "WARN")),
+        *_band("(peak_mb / mem_mb)", 1, "×", "mem_mb <= 0", "allocation", runs.PEAK_RATIO),
     ),
     "rule_validation_share": (
         "Validation overhead",
-        _band(
-            "validation_ms / wall_ms * 100",
+        *_band(
+            "(validation_ms / wall_ms * 100)",
+            1,
+            "%",
             "wall_ms <= 0 OR validation_ms <= 0",
-            ("5", "PASS"),
-            ("10", "WARN"),
+            "validation",
+            runs.VALIDATION_SHARE,
         ),
     ),
     "rule_conversion_share": (
         "Column conversion cost",
-        _band(
-            "conversion_ms / wall_ms * 100",
+        *_band(
+            "(conversion_ms / wall_ms * 100)",
+            1,
+            "%",
             "wall_ms <= 0 OR conversion_ms <= 0",
-            ("20", "PASS"),
-            ("35", "WARN"),
+            "conversion",
+            runs.CONVERSION_SHARE,
         ),
     ),
 }
@@ -239,7 +286,8 @@ _RATINGS = {
 
 def _outcomes(names) -> str:
     return " UNION ALL ".join(
-        f"SELECT run_id, '{_RATINGS[n][0]}' AS rule, {_RATINGS[n][1]} AS rating FROM run_totals"
+        f"SELECT run_id, '{_RATINGS[n][0]}' AS rule, {_RATINGS[n][1]} AS rating, "
+        f"{_RATINGS[n][2]} AS message FROM run_totals"
         for n in names
     )
 
@@ -249,7 +297,7 @@ _DEFAULT = [f.__name__ for f in runs.DEFAULT_RULES]
 
 @query("rule_outcomes", _outcomes(_RATINGS), ("run_totals",))
 def rule_outcomes(spark, sf_dir):
-    return runs.rule_outcomes(_summary(spark, sf_dir), runs.VERBOSE_RULES).drop("message")
+    return runs.rule_outcomes(_summary(spark, sf_dir), runs.VERBOSE_RULES)
 
 
 def _one_rule(name: str) -> None:
@@ -257,7 +305,7 @@ def _one_rule(name: str) -> None:
 
     @query(name, _outcomes([name]), ("run_totals",))
     def run(spark, sf_dir):
-        return runs.rule_outcomes(_summary(spark, sf_dir), [rule]).drop("message")
+        return runs.rule_outcomes(_summary(spark, sf_dir), [rule])
 
 
 for _rule in _RATINGS:
