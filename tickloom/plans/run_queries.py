@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.functions.times import iso_text, step_after, timeframe_lengths
-from tickloom.operators import runs
+from tickloom.operators import logged, runs
 from tickloom.plans import views
 from tickloom.plans.catalog import query
 from tickloom.session import shared_dir
@@ -448,6 +448,68 @@ def list_runs(spark, sf_dir):
     return runs.list_runs(runlog.scan_runs(spark, _written_log(spark, sf_dir)))
 
 
+def _records(spark: SparkSession, sf_dir: str, rules=runs.VERBOSE_RULES) -> DataFrame:
+    """Log records of all runs, written to a log and read back, with their run's number."""
+    start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    zero = F.lit(0)
+    seconds = F.make_dt_interval(zero, zero, zero, F.col("run_id").cast("decimal(18,6)"))
+    sha = F.concat(F.lit("sha"), F.lpad(F.col("run_id").cast("string"), 7, "0"))
+    path = shared_dir(spark, "records")
+    records = logged.run_records(
+        views.run_stages(spark, sf_dir), iso_text(start + seconds), rules, git_sha=sha
+    )
+    runlog.append_runs(records, path)
+    number = F.substring("git_sha", 4, 20).cast("long")
+    return runlog.scan_runs(spark, path).withColumn("run_id", number)
+
+
+@query(
+    "run_records",
+    f"""
+SELECT run_id, {_STAMP} AS timestamp, runner, count, 7 AS rules, metric,
+  round(CAST(median AS DOUBLE), 2) AS median
+FROM ({" UNION ALL ".join(
+        f"SELECT run_id, runner, count, '{m}' AS metric, CAST({m} AS DOUBLE) AS median FROM run_totals"
+        for m in logged.LOGGED)}) t""",
+    ("run_totals",),
+)
+def run_records(spark, sf_dir):
+    log = _records(spark, sf_dir)
+    return log.select(
+        "run_id", "timestamp", "runner", "count", F.size("rules").alias("rules"),
+        F.explode("summary").alias("metric", "m"),
+    ).select("run_id", "timestamp", "runner", "count", "rules", "metric", "m.median")
+
+
+@query("logged_compare", _CHANGES, ("run_totals", "run_pairs"))
+def logged_compare(spark, sf_dir):
+    pairs = views.run_pairs(views.run_stages(spark, sf_dir))
+    found = logged.logged_compare(_records(spark, sf_dir), pairs)["summary"]
+    return found.select("pair_id", "metric", "old", "new", "pct", "verdict")
+
+
+@query(
+    "logged_rule_changes",
+    f"WITH outcomes AS ({_outcomes(_RATINGS)}) {_RULE_CHANGES}",
+    ("run_totals", "run_pairs"),
+)
+def logged_rule_changes(spark, sf_dir):
+    pairs = views.run_pairs(views.run_stages(spark, sf_dir))
+    return logged.logged_compare(_records(spark, sf_dir), pairs)["rule_changes"]
+
+
+@query(
+    "logged_trend",
+    f"""
+SELECT runner, index, {_STAMP} AS timestamp, 'sha' || lpad(CAST(run_id AS VARCHAR), 7, '0') AS git_sha,
+  value, pct, COALESCE(abs(pct) > 0.05, FALSE) AS flagged
+FROM ({_TREND.format('run_totals')}) t""",
+    ("run_totals",),
+)
+def logged_trend(spark, sf_dir):
+    return logged.logged_trend(_records(spark, sf_dir, runs.DEFAULT_RULES), "cpu_ms")
+
+
 @query(
     "timeframe_steps",
     """

@@ -470,6 +470,28 @@ def ingest_marker(spark, sf_dir):
     )
 
 
+@query(
+    "last_ingest",
+    """
+SELECT COUNT(DISTINCT (exchange, symbol, timeframe)) AS sets, TRUE AS is_last FROM candles_raw""",
+    ("candles_raw",),
+)
+def last_ingest(spark, sf_dir):
+    """The time of the last ingest against the log of two ingests."""
+    root = shared_dir(spark, "marker")
+    batch = views.candles_indexed(spark, sf_dir)
+    for part in (batch.where("symbol < 'S5'"), batch):
+        validated_ingest(part, root, CANDLE, mark=True)
+    last = markers.last_ingest(spark, root)
+    log = markers.ingest_log(spark, root).groupBy("run").agg(
+        F.count(F.lit(1)).alias("sets"), F.max("ingested_at").alias("ingested_at")
+    )
+    newest = log.orderBy(F.desc("ingested_at"), F.desc("sets")).limit(1)
+    return newest.join(F.broadcast(last), F.col("ingested_at") <= F.col("last_ingest")).select(
+        "sets", (F.col("ingested_at") == F.col("last_ingest")).alias("is_last")
+    )
+
+
 # --- generated records -----------------------------------------------------------
 
 
