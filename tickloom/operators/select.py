@@ -34,7 +34,7 @@ def filter_time_range(
     """``start <= timestamp < end``.
 
     On stored rows the same bounds are put on the ``date`` partition column, so
-    that days outside the range are not even listed for reading.
+    that files of days outside the range are not read.
     """
     dated = "date" in df.columns
     if start:

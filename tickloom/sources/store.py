@@ -10,9 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.functions.times import bound_literal
+from tickloom.functions.times import bound_literal, check_bound
 from tickloom.schemas import CANDLE, FUNDING, RecordKind
-from tickloom.sources.layout import MARKET_DAY, Layout, folder, path_exists, stored_schema
+from tickloom.sources.layout import DATE, MARKET_DAY, Layout, folder, path_exists, stored_schema
 
 
 def scan(spark: SparkSession, root: str, kind: RecordKind) -> DataFrame:
@@ -146,10 +146,16 @@ def inspect_scan(
         rows = reader.option("basePath", example[: hive.start()]).parquet(path)
     else:
         rows = reader.option("recursiveFileLookup", True).parquet(path)
+    # Below ``date=`` folders the days outside the bounds are not read.
+    dated = hive and DATE in rows.columns
     if start:
         rows = rows.where(F.col("timestamp") >= bound_literal(start, "start"))
+        if dated:
+            rows = rows.where(F.col(DATE) >= check_bound(start, "start")[:10])
     if end:
         rows = rows.where(F.col("timestamp") < bound_literal(end, "end"))
+        if dated:
+            rows = rows.where(F.col(DATE) <= check_bound(end, "end")[:10])
     return rows
 
 
