@@ -212,6 +212,12 @@ def test_conformance(spark):
         "exchange string, symbol string, timeframe string, attempt int, body string",
     )
     found = normalise.payload_conformance(attempts, ["symbol"])
+    # Only the row listed last is judged.
+    rows = BODIES["okx"]["data"]
+    odd = [["x"] * len(rows[0]), *rows], [*rows, ["x"] * len(rows[0])]
+    pages_of = [("okx", "s", "1h", n + 1, json.dumps({"code": "0", "data": d})) for n, d in enumerate(odd)]
+    last = normalise.payload_conformance(spark.createDataFrame(pages_of, attempts.schema), ["symbol"])
+    assert as_set(last, "successes", "failures") == {(1, 1)}
     assert as_set(found, "symbol", "successes", "failures", "passed") == {
         ("a", 2, 1, True),
         ("b", 1, 2, False),

@@ -182,6 +182,9 @@ def test_filters(spark, small):
     assert [r["timestamp"].hour for r in ranged.collect()] == [0, 2, 1]
     newest = select.get_candles(rows, exchange="x", limit=1).first()
     assert newest["timestamp"] == datetime.datetime(2024, 1, 2, 1)
+    for limit in (0, 10_001):
+        with pytest.raises(ValueError, match="limit"):
+            select.get_candles(rows, limit=limit)
     oldest = select.get_candles(rows, exchange="x", limit=1, order="ASC").first()
     assert oldest["timestamp"] == datetime.datetime(2024, 1, 1)
 

@@ -133,8 +133,11 @@ def _picked(fmt: Format) -> str:
     return f"reverse({rows})" if fmt.newest_first else rows
 
 
-def _outcome(fmt: Format) -> Column:
-    """``struct<reason, rows>`` of a body in this format."""
+def _outcome(fmt: Format, last_only: bool) -> Column:
+    """``struct<reason, rows>`` of a body in this format.
+
+    All its rows have to be complete, or with ``last_only`` the one listed last.
+    """
     no_rows = f"CAST(array() AS array<{_ROW}>)"
 
     def done(reason: str | None, rows: str) -> str:
@@ -159,8 +162,10 @@ def _outcome(fmt: Format) -> Column:
     complete = " AND ".join(["try_cast(x.t AS DECIMAL(38,6)) IS NOT NULL"] + [
         f"x.{v} IS NOT NULL" for v in VALUES[1:]
     ])
+    # Rows are in the order of time by now, so the last one listed may be the first.
+    judged = f"slice(rows, {1 if fmt.newest_first else -1}, 1)" if last_only else "rows"
     checked = (
-        f"CASE WHEN forall(rows, x -> {complete}) THEN {done(None, 'rows')} "
+        f"CASE WHEN forall({judged}, x -> {complete}) THEN {done(None, 'rows')} "
         f"ELSE {done(BAD_ROW, no_rows)} END"
     )
     # transform() over a one-element array binds a name without evaluating twice.
@@ -177,15 +182,18 @@ def _outcome(fmt: Format) -> Column:
     )
 
 
-def parse_payloads(payloads: DataFrame, exchanges: Sequence[str] | None = None) -> DataFrame:
+def parse_payloads(
+    payloads: DataFrame, exchanges: Sequence[str] | None = None, last_only: bool = False
+) -> DataFrame:
     """Add ``reason`` (null unless rejected) and ``rows`` to every payload.
 
-    ``exchanges`` limits the plan to the formats that can occur.
+    ``exchanges`` limits the plan to the formats that can occur. With ``last_only`` a
+    page is judged by the row it lists last; its rows are then no candles yet.
     """
     outcome = None
     for name in exchanges or FORMATS:
         when = F.col("exchange") == name
-        branch = _outcome(FORMATS[name])
+        branch = _outcome(FORMATS[name], last_only)
         outcome = F.when(when, branch) if outcome is None else outcome.when(when, branch)
     unknown = F.expr(
         f"named_struct('reason', '{UNKNOWN_EXCHANGE}', 'rows', CAST(array() AS array<{_ROW}>))"
@@ -272,7 +280,7 @@ def payload_conformance(
     An attempt is good when its page has rows and the last one listed is usable.
     Only counts cross the shuffle.
     """
-    parsed = parse_payloads(attempts.where(F.col("attempt") <= 3), exchanges)
+    parsed = parse_payloads(attempts.where(F.col("attempt") <= 3), exchanges, last_only=True)
     good = F.col("reason").isNull() & (F.size("rows") > 0)
     return parsed.groupBy(*scope).agg(
         F.count_if(good).alias("successes"),

@@ -13,6 +13,8 @@ from tickloom.functions.times import bound_literal, check_bound
 TIE_BREAKERS = ("exchange", "symbol", "timeframe", "source")
 ORDERS = ("ASC", "DESC")
 DEFAULT_LIMIT = 100
+# Most rows that one typed read returns.
+LARGEST_LIMIT = 10_000
 
 
 def filter_exchange(df: DataFrame, exchange: str | None) -> DataFrame:
@@ -61,6 +63,12 @@ def order_limit(df: DataFrame, order: str = "DESC", limit: int = DEFAULT_LIMIT)
     return df.orderBy(*time_order(df, order)).limit(limit)
 
 
+def check_limit(limit: int) -> int:
+    if not 1 <= limit <= LARGEST_LIMIT:
+        raise ValueError(f"limit must be between 1 and {LARGEST_LIMIT}, got {limit}")
+    return limit
+
+
 def get_candles(
     candles: DataFrame,
     exchange: str | None = None,
@@ -74,7 +82,7 @@ def get_candles(
     rows = filter_timeframe(
         filter_symbol(filter_exchange(candles, exchange), symbol), timeframe
     )
-    return order_limit(filter_time_range(rows, start, end), order, limit)
+    return order_limit(filter_time_range(rows, start, end), order, check_limit(limit))
 
 
 def get_funding_rates(
@@ -87,7 +95,7 @@ def get_funding_rates(
     order: str = "DESC",
 ) -> DataFrame:
     rows = filter_symbol(filter_exchange(rates, exchange), symbol)
-    return order_limit(filter_time_range(rows, start, end), order, limit)
+    return order_limit(filter_time_range(rows, start, end), order, check_limit(limit))
 
 
 def hide_fake(df: DataFrame) -> DataFrame:
