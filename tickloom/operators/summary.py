@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.schemas import CANDLE, FUNDING, RecordKind
 from tickloom.sources.layout import folder, path_exists, stored_schema
+from tickloom.sources.store import list_files
 
 DATASET = ("type", "exchange", "symbol", "timeframe")
 
@@ -32,9 +35,9 @@ def dataset_rows(df: DataFrame, kind: RecordKind) -> DataFrame:
 def dataset_summary(spark: SparkSession, root: str) -> DataFrame:
     """``(type, exchange, symbol, timeframe, files, rows)`` of the whole store.
 
-    The scan reads key columns only, and unreadable files count as empty instead
-    of failing the others. Counting per file first keeps the shuffle at one row
-    per dataset and file.
+    The scan reads key columns only, and an unreadable file does not fail the others: files
+    that give no row are counted with 0 rows, under what their folders tell about them.
+    Counting per file first keeps the shuffle at one row per dataset and file.
     """
     parts = []
     for kind in (CANDLE, FUNDING):
@@ -51,12 +54,43 @@ def dataset_summary(spark: SparkSession, root: str) -> DataFrame:
                 F.count(F.lit(1)).alias("files"), F.sum("n").alias("rows")
             )
         )
+        parts.append(_rowless(list_files(spark, base), per_file, kind))
     if not parts:
         return spark.createDataFrame(
             [],
             "type string, exchange string, symbol string, timeframe string, files long, rows long",
         )
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _rowless(listing: DataFrame, read: DataFrame, kind: RecordKind) -> DataFrame:
+    """Files of a listing that gave no rows, per dataset as far as their path names it."""
+
+    def plain(path: Column) -> Column:
+        return F.regexp_replace(path, "^[a-zA-Z0-9]+:/+", "/")
+
+    # The scan's paths are escaped once more than those of the listing.
+    seen = read.select(
+        plain(F.try_url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))).alias("_path")
+    ).distinct()
+
+    def folder_value(name: str) -> Column:
+        value = F.regexp_extract("path", f"/{name}=([^/]+)/", 1)
+        return F.try_url_decode(F.when(value != "", F.replace(value, F.lit("+"), F.lit("%2B"))))
+
+    timeframe = folder_value("timeframe") if kind is CANDLE else F.lit(None).cast("string")
+    return (
+        listing.withColumn("_path", plain(F.col("path")))
+        .join(seen, "_path", "left_anti")
+        .select(
+            F.lit(kind.name).alias("type"),
+            folder_value("exchange").alias("exchange"),
+            folder_value("symbol").alias("symbol"),
+            timeframe.alias("timeframe"),
+        )
+        .groupBy(*DATASET)
+        .agg(F.count(F.lit(1)).alias("files"), F.lit(0).cast("long").alias("rows"))
+    )
 
 
 def listing_summary(listing: DataFrame, counts: DataFrame) -> DataFrame:
