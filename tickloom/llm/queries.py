@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -54,23 +55,32 @@ def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# MD5 places and orders the records; the checksum is built from its polynomial.
+
+
+def _crc_entry(byte: int) -> int:
+    """The checksum table at a byte, from the polynomial of CRC-32."""
+    for _ in range(8):
+        byte = byte >> 1 ^ (0xEDB88320 if byte & 1 else 0)
+    return byte
+
+
+# The checksum table is linear: an entry is the sum, without carry, of its bits' entries.
+_CRC_STEP = reduce(
+    lambda left, right: f"xor({left}, {right})",
+    [f"(xor(a, x) >> {bit} & 1) * {_crc_entry(1 << bit)}" for bit in range(8)],
+)
+# MD5 places and orders the records.
 ORACLES["op2_shards"] = f"""
-WITH crc AS MATERIALIZED (
-  SELECT list(v ORDER BY i) AS step FROM (
-    SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k:
-             CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
-    FROM range(256) AS r(i))),
-d AS MATERIALIZED (
+WITH d AS MATERIALIZED (
   SELECT row_number() OVER () AS r, doc_id, coalesce(CAST(doc_id AS VARCHAR), 'null') AS key,
          octet_length(encode(coalesce(text, ''))) AS n, hex(encode(coalesce(text, ''))) AS h
   FROM documents),
 b AS MATERIALIZED (
   SELECT r, doc_id, key, n + 16 AS size,
-         xor(list_reduce(list_prepend(4294967295, list_transform(range(n), lambda k:
-               CAST('0x' || h[2 * k + 1 : 2 * k + 2] AS BIGINT))), lambda a, x:
-               xor(a >> 8, step[(xor(a, x) & 255) + 1])), 4294967295) AS text_crc32
-  FROM d, crc),
+         xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(h, '..'), lambda b:
+               CAST('0x' || b AS BIGINT))),
+             lambda a, x: xor(a >> 8, {_CRC_STEP})), 4294967295) AS text_crc32
+  FROM d),
 s AS (
   SELECT r, j, CAST('0x' || md5(key || ':' || j)[1:13] AS BIGINT) AS u
   FROM b, range({SHARDS + 1}) AS x(j)),
