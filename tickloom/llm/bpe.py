@@ -18,6 +18,7 @@ carried over. Texts are independent, so equal rows get equal results; there is n
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import unicodedata
 from collections.abc import Iterator, Sequence
@@ -79,6 +80,7 @@ def transition_tables() -> tuple[np.ndarray, np.ndarray]:
 
 NEXT, START = transition_tables()
 _classes: list[np.ndarray] = []
+_vocabularies: dict[str, Vocabulary] = {}
 
 
 def classes() -> np.ndarray:
@@ -194,20 +196,21 @@ class Vocabulary(dict):
 
     def merged(self, data: bytes) -> tuple[int, ...]:
         """Join the pair of lowest rank, the leftmost first, until none is left."""
-        get = self.ranks.get
+        get, none = self.ranks.get, len(self.lengths)
         parts = [data[i : i + 1] for i in range(len(data))]
-        pairs = [get(a + b) for a, b in zip(parts, parts[1:])]
+        pairs = [get(data[i : i + 2], none) for i in range(len(data) - 1)]
         while pairs:
-            low = min((p for p in pairs if p is not None), default=None)
-            if low is None:
+            low = min(pairs)
+            if low == none:
                 break
             i = pairs.index(low)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            whole = parts[i] + parts.pop(i + 1)
+            parts[i] = whole
             del pairs[i]
             if i:
-                pairs[i - 1] = get(parts[i - 1] + parts[i])
+                pairs[i - 1] = get(parts[i - 1] + whole, none)
             if i < len(pairs):
-                pairs[i] = get(parts[i] + parts[i + 1])
+                pairs[i] = get(whole + parts[i + 1], none)
         return tuple(map(self.ranks.__getitem__, parts))
 
     def merged_long(self, data: bytes) -> tuple[int, ...]:
@@ -287,15 +290,18 @@ def int_lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
 
 
 def shared_vocabulary(frame: DataFrame, path: str):
-    """The vocabulary file, about a megabyte, sent to every executor once."""
+    """The vocabulary file, about a megabyte, sent to every executor once.
+
+    A worker process keeps the vocabulary with its cached slices from task to task.
+    """
     with open(path, "rb") as file:
-        content = frame.sparkSession.sparkContext.broadcast(file.read())
-    made: list[Vocabulary] = []
+        data = file.read()
+    key, content = hashlib.sha256(data).hexdigest(), frame.sparkSession.sparkContext.broadcast(data)
 
     def get() -> Vocabulary:
-        if not made:
-            made.append(Vocabulary(content.value))
-        return made[0]
+        if key not in _vocabularies:
+            _vocabularies[key] = Vocabulary(content.value)
+        return _vocabularies[key]
 
     return get
 
