@@ -69,14 +69,15 @@ def suffixes(docs: DataFrame, row_id: str, text: str) -> DataFrame:
 def named(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose keys another suffix has too: sid, left, name (the least such sid).
 
-    Each task combines its equal keys before the shuffle; adaptive execution splits the
-    rows of a line that everybody has in the join.
+    Each task combines its equal keys before the shuffle. The classes are a table of their
+    own, so that adaptive execution can split the rows of a line that everybody has.
     """
-    classes = (
+    classes = written(
         rows.groupBy(*keys)
         .agg(F.min("sid").alias("name"), F.max("sid").alias("_last"))
         .where("name < _last")
-        .drop("_last")
+        .drop("_last"),
+        "classes",
     )
     return rows.join(classes, keys).select("sid", "left", "name")
 
