@@ -99,3 +99,13 @@ def test_fill():
     lengths = list(range(5000, 0, -1))
     got = mixing.fill(lengths, [50] * 5000, 123_456_789)
     assert sum(g * x for g, x in zip(got, lengths)) == 123_456_789
+
+
+def test_rare_lengths_share_a_large_rest():
+    # One document of each length: half of the source is more than the table holds.
+    lengths = list(range(650, 0, -1))
+    size = sum(lengths)
+    got = mixing.fit(lengths, [1] * 650, size // 2, size)
+    assert sum(g * x for g, x in zip(got, lengths)) == size // 2
+    short = sum(g * x for g, x in zip(got, lengths) if x <= 325)
+    assert short >= 0.25 * sum(range(326))

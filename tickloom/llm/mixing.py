@@ -3,8 +3,9 @@
 Each source gets a share of the budget by its weight, at most ``EPOCHS`` times its size;
 what exceeds that is shared again among the others. A source is taken whole as often as
 it fits into its target. For the rest, documents are counted by their exact length, every
-length gives its proportional number of documents, and bounded-knapsack dynamic
-programming over the counts that are left fills the remaining budget to the word, or as
+length gives its proportional number of documents, and a seeded draw over all lengths, with
+what their proportional numbers were rounded down by as chances, brings a large rest down to
+``FILL`` words. Bounded-knapsack dynamic programming over the counts that are left fills the remaining budget to the word, or as
 near below it as lengths allow. Which documents of a length are taken is decided by a
 seeded hash of id and text.
 
@@ -18,6 +19,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,21 +122,47 @@ def fill(lengths: list[int], spare: list[int], budget: int) -> list[int]:
     return taken
 
 
-def fit(lengths: list[int], counts: list[int], budget: int, size: int) -> list[int]:
+def draw(lengths: list[int], parts: list[int], budget: int, size: int, salt: str) -> list[int]:
+    """One document or none of each length, in all up to ``FILL`` words less than the budget.
+
+    ``parts`` over ``size`` is the chance of a length: lengths are taken in the order of a hash
+    between 0 and 1 over their chance.
+    """
+    order = sorted(
+        (xxhash.xxh64_intdigest(f"{salt} {length}") / (1 << 64) * size / part, i)
+        for i, (length, part) in enumerate(zip(lengths, parts, strict=True))
+        if part
+    )
+    taken = [0] * len(lengths)
+    for _, i in order:
+        if budget - FILL >= lengths[i]:
+            taken[i] = 1
+            budget -= lengths[i]
+    return taken
+
+
+def fit(
+    lengths: list[int], counts: list[int], budget: int, size: int, salt: str = f"{SEED}"
+) -> list[int]:
     """How many documents of each (descending) length make up a part of a source."""
     base = [c * budget // size for c in counts]
     left = budget - sum(n * length for n, length in zip(base, lengths, strict=True))
+    if left > 2 * FILL:
+        drawn = draw(lengths, [c * budget % size for c in counts], left, size, salt)
+        base = [n + d for n, d in zip(base, drawn, strict=True)]
+        left -= sum(d * length for d, length in zip(drawn, lengths, strict=True))
     more = fill(lengths, [c - n for c, n in zip(counts, base, strict=True)], left)
     return [n + m for n, m in zip(base, more, strict=True)]
 
 
-def fit_source(part: pd.DataFrame) -> pd.DataFrame:
+def fit_source(part: pd.DataFrame, seed: int = SEED) -> pd.DataFrame:
     """Choose the lengths of one source. A source of n words has at most sqrt(2 n) lengths."""
     part = part.sort_values("size", ascending=False)
     size, target = int(part["source_size"].iloc[0]), float(part["target"].iloc[0])
     rest = round(target - int(target // size) * size)
     lengths, counts = part["size"].tolist(), part["n"].tolist()
-    part["picks"] = fit(lengths, counts, rest, size) if rest > 0 else 0
+    salt = f"{seed} {part['_source'].iloc[0]}"
+    part["picks"] = fit(lengths, counts, rest, size, salt) if rest > 0 else 0
     return part[["_source", "size", "picks"]]
 
 
@@ -173,7 +201,7 @@ def copies(
     picks = (
         by_length.join(goals, "_source")
         .groupBy("_source")
-        .applyInPandas(fit_source, "_source string, size long, picks long")
+        .applyInPandas(lambda part: fit_source(part, seed), "_source string, size long, picks long")
     )
     before = Window.partitionBy("_source", "size").orderBy("_range").rowsBetween(
         Window.unboundedPreceding, -1
