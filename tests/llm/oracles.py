@@ -78,3 +78,11 @@ def best_sum(lengths, budget):
         reached |= reached << x
     reached &= (1 << (budget + 1)) - 1
     return reached.bit_length() - 1
+
+
+def morse(size):
+    """Two words of 2^size letters that polynomials modulo a power of two cannot tell apart."""
+    word = "a"
+    for _ in range(size):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))

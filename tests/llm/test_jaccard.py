@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pytest
 
+from oracles import morse
 from tickloom.llm import jaccard
 from tickloom.llm.queries import QUERIES
 
@@ -145,3 +146,20 @@ def test_query(spark, sf_dir):
 
 def test_empty(spark):
     assert found(jaccard.classes(spark.createDataFrame([], "doc_id long, text string"))) == []
+
+
+def test_words_of_a_regular_pattern_are_told_apart(spark):
+    for size in (5, 10, 13):
+        one, other = morse(size)
+        few = " ".join(one).replace("a", "yes").replace("b", "no")
+        many = " ".join(other).replace("a", "yes").replace("b", "no")
+        rows = [(1, one), (2, other), (3, few), (4, many)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        assert found(jaccard.classes(docs)) == brute(rows)
+
+
+def test_very_long_texts(spark):
+    base = [f"w{i % 7919}" for i in range(400_000)]
+    rows = [(1, " ".join(base)), (2, " ".join(base[:-9])), (3, "x" * 3_000_000), (4, "x" * 3_000_001)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(jaccard.classes(docs)) == brute(rows)

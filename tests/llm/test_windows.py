@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from oracles import morse
 from tickloom.llm import windows
 from tickloom.llm.queries import QUERIES
 
@@ -97,3 +98,11 @@ def test_query(spark, sf_dir):
     want = [(d, n, g, hashlib.sha256(k.encode()).hexdigest()) for d, n, g, k in brute(rows, 35)]
     got = sorted((tuple(r) for r in QUERIES["op7_windows"](spark, sf_dir).collect()), key=str)
     assert got == sorted(want, key=str)
+
+
+def test_words_of_a_regular_pattern_are_told_apart(spark):
+    one, other = morse(10)
+    common = " ".join(f"w{i}" for i in range(34))
+    rows = [(1, f"{common} {one}"), (2, f"{common} {other}"), (3, f"x {common}"), (4, f"x {common}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(windows.remove_repeats(docs)) == brute(rows, 35)

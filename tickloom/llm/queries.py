@@ -142,6 +142,9 @@ def op7_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.window_table(table(spark, sf_dir, "documents"))
 
 
+ORACLES["op7_windows"] = windows.ORACLE
+
+
 @query
 def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_slots.text_table(table(spark, sf_dir, "pages"))

@@ -14,7 +14,7 @@ one of them stays in the search for the sake of other texts.
 
 Null text counts as empty; texts with fewer than ``WINDOW`` words lose nothing. Rows with
 equal text have equal results, whatever their id. An empty table gives an empty table.
-Runs are compared by 64-bit hashes of their words.
+Runs are compared by 64-bit hashes, mixed piece by piece from their bytes.
 """
 
 from __future__ import annotations
@@ -275,3 +275,29 @@ def window_table(docs: DataFrame) -> DataFrame:
         F.aggregate(pairs, F.lit(0), lambda total, x: total + x).cast("long").alias("n_removed"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+# Words have no spaces, so joined words are equal if and only if the words are.
+ORACLE = f"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents),
+p AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+s AS MATERIALIZED (
+  SELECT r, i, array_to_string(w[i:i + {WINDOW - 1}], ' ') AS words
+  FROM (SELECT r, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM d)),
+f AS (SELECT r, i, count(*) OVER (PARTITION BY words) > 1 AS again FROM s),
+c AS (
+  SELECT r, i, word,
+         coalesce(bool_or(again) OVER (
+           PARTITION BY r ORDER BY i ROWS BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW), false) AS gone
+  FROM p LEFT JOIN f USING (r, i)),
+k AS (
+  SELECT r, count(*) FILTER (gone) AS n_removed,
+         string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept
+  FROM c GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (r)
+"""

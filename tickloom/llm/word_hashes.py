@@ -1,8 +1,9 @@
 """Vectorised hashes of words and of runs of words, inside tasks.
 
-Words are runs of bytes other than ASCII white space. A word's hash is a polynomial of its
-bytes modulo 2^64, mixed; the hash of a run of words is a polynomial of their hashes,
-mixed. Prefix sums give all of them at once.
+Words are runs of bytes other than ASCII white space. A word is read in pieces of eight
+bytes; its length and its pieces are mixed into 64 bits one after the other. A run of words
+is mixed from the hashes of its halves. Mixing is not linear, so no pattern of letters or
+words makes two different ones equal, as one does with polynomials modulo a power of two.
 """
 
 from __future__ import annotations
@@ -14,26 +15,15 @@ import pyarrow as pa
 
 # Bytes of text handled at once.
 CHUNK = 1 << 21
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-# A fixed random number for every byte.
-_BYTES = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
-    """base^0, base^1, ... modulo 2^64; the longest table needed so far is kept."""
-    have = _powers.get(name)
-    if have is None or len(have) < n:
-        have = np.full(max(n, 1024), base, np.uint64)
-        have[0] = 1
-        np.multiply.accumulate(have, out=have)
-        _powers[name] = have
-    return have[:n]
+# Keeps the first 0 to 8 bytes of a piece.
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+# Longer words are mixed in rounds of this many pieces, so that one long word does not
+# take a numpy call per piece.
+_PIECES = 64
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -43,12 +33,43 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _ranges(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Polynomial of each range of values, counted from the range's own start."""
-    n = len(values)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(values * _power("up", _BASE, n), out=total[1:])
-    return mix((total[ends] - total[starts]) * _power("down", _INVERSE, n + 1)[starts])
+def join(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The hash of two things one after the other, from theirs."""
+    return mix(mix(left + _ODD) ^ right)
+
+
+def _tree(pieces: np.ndarray) -> np.uint64:
+    """One hash of many: neighbours are joined until one is left."""
+    number = np.uint64(len(pieces))
+    while len(pieces) > 1:
+        if len(pieces) % 2:
+            pieces = np.append(pieces, number)
+        pieces = join(pieces[0::2], pieces[1::2])
+    return pieces[0]
+
+
+def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each range of bytes."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    # The eight bytes from every place on.
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    length = ends - starts
+    out = mix(length.astype(np.uint64) * _ODD + np.uint64(1))
+    active = np.flatnonzero(length > 0)
+    for k in range(_PIECES):
+        left = length[active] - 8 * k
+        active, left = active[left > 0], left[left > 0]
+        if not len(active):
+            return out
+        piece = eight[starts[active] + 8 * k] & _KEEP[np.minimum(left, 8)]
+        out[active] = join(out[active], piece)
+    for i in active[length[active] > 8 * _PIECES]:
+        places = np.arange(starts[i] + 8 * _PIECES, ends[i], 8)
+        pieces = eight[places]
+        pieces[-1] &= _KEEP[min(ends[i] - places[-1], 8)]
+        numbers = np.arange(len(pieces), dtype=np.uint64)
+        out[i] = join(out[i : i + 1], np.array([_tree(join(numbers, pieces))]))[0]
+    return out
 
 
 def _chunk_words(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -64,7 +85,7 @@ def _chunk_words(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.n
     end = ~space
     end[:-1] &= space[1:] | cut[1:-1]
     starts, ends = np.flatnonzero(start), np.flatnonzero(end) + 1
-    return _ranges(_BYTES[data], starts, ends), starts
+    return byte_hashes(data, starts, ends), starts
 
 
 def _long_words(data: np.ndarray) -> np.ndarray:
@@ -106,6 +127,14 @@ def batches_of_words(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndar
 
 
 def run_hashes(hashes: np.ndarray, length: int) -> np.ndarray:
-    """Hash of the ``length`` words from each word on, as far as there are so many."""
-    starts = np.arange(max(0, len(hashes) - length + 1))
-    return _ranges(hashes, starts, starts + length)
+    """Hash of the ``length`` words from each word on, as far as there are so many.
+
+    Runs whose length is a power of two are joined from their halves, others from a run
+    of the power below at both ends.
+    """
+    size, runs = 1, hashes
+    while 2 * size <= length:
+        runs = join(runs[: max(0, len(runs) - size)], runs[size:])
+        size *= 2
+    rest = length - size
+    return join(runs[: max(0, len(runs) - rest)], runs[rest:]) if rest else runs
