@@ -19,6 +19,7 @@ from tickloom.llm import (
     quality,
     secret_scan,
     sharding,
+    vector_codes,
     windows,
 )
 
@@ -156,3 +157,11 @@ def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op5_lines"] = line_runs.ORACLE
+
+
+@query
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.code_table(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op11_vector_codes"] = vector_codes.oracle()
