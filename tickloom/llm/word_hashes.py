@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 # Bytes of text handled at once.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 _SPACE = np.zeros(256, bool)
