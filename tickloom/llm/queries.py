@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tickloom.llm import (
     bpe,
+    collocations,
     exact,
     html_slots,
     jaccard,
@@ -165,3 +166,11 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op11_vector_codes"] = vector_codes.oracle()
+
+
+@query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_collocations"] = collocations.ORACLE
