@@ -14,6 +14,7 @@ from tickloom.llm import (
     collocations,
     exact,
     html_slots,
+    hyper_minhash,
     jaccard,
     line_runs,
     mixing,
@@ -174,3 +175,8 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op12_collocations"] = collocations.ORACLE
+
+
+@query
+def op13_near_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyper_minhash.near_duplicates(table(spark, sf_dir, "documents"))
