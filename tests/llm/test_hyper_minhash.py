@@ -146,7 +146,7 @@ def test_estimates():
         chance = (h.level_shares(np.array([n])) * h.level_shares(np.array([n]))).sum() / 1024
         assert 0 < chance < 0.01
         assert abs((agree / either - chance) / (1 - chance) - share) < 0.15
-        assert bool(h.ruled_out(agree, either, chance)) == (share < 0.5)
+        assert bool(h.ruled_out(agree, either, chance)) == (share < 0.7)
     assert h.level_shares(np.array([1, 500, 10**6])).sum(axis=1) == pytest.approx(1)
 
 
