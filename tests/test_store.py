@@ -438,3 +438,47 @@ def test_a_hot_partition_is_written_by_several_tasks(spark, root):
     sinks.write_candles(rows.limit(10).withColumn("close", F.lit("0.5")), root)
     assert store.scan_candles(spark, root).count() == 60_000
     assert store.scan_candles(spark, root).where("close = 0.5").count() == 10
+
+
+def test_the_source_is_read_once(spark, tmp_path, monkeypatch):
+    """Between verdict and write the source is gone; what was judged is what is stored."""
+    import shutil
+
+    from tickloom.plans import ingest
+
+    source, root, side = (str(tmp_path / n) for n in ("source", "store", "side"))
+    good = [{"timestamp": f"2024-01-0{d}T0{h}:00:00"} for d in (1, 2) for h in range(3)]
+    candles(spark, *good, {"symbol": "BAD", "open": "x"}).repartition(3).write.parquet(source)
+    publish = ingest.upsert
+
+    def after_the_source_is_gone(*args, **options):
+        shutil.rmtree(source)
+        return publish(*args, **options)
+
+    monkeypatch.setattr(ingest, "upsert", after_the_source_is_gone)
+    batch = spark.read.parquet(source)
+    result = validated_ingest(batch, root, CANDLE, scope=["symbol"], quarantine=side, mark=True)
+    assert (result.written, result.held_back, result.issues) == (6, 1, 1)
+    assert store.scan_candles(spark, root).count() == 6
+    assert markers.ingest_log(spark, root).first()["records"] == 6
+
+
+def test_a_set_without_a_name_is_held_back(spark, tmp_path):
+    root, side = str(tmp_path / "store"), str(tmp_path / "side")
+    batch = candles(spark, {}, {"symbol": "", "timestamp": "2024-01-01T01:00:00"})
+    batch = batch.withColumn("symbol", F.expr("nullif(symbol, '')"))
+    result = validated_ingest(batch, root, CANDLE, scope=["symbol"], quarantine=side)
+    assert (result.written, result.held_back) == (1, 1)
+    assert store.scan_candles(spark, root).where("symbol IS NULL").count() == 0
+
+
+def test_written_tables_are_removed(spark, tmp_path):
+    import os
+
+    from tickloom.session import shared_dir
+
+    folder_of = os.path.dirname(shared_dir(spark, "x"))
+    before = set(os.listdir(folder_of))
+    validated_ingest(candles(spark, {}), str(tmp_path / "store"), CANDLE)
+    left = {n.rsplit("-", 1)[0] for n in set(os.listdir(folder_of)) - before}
+    assert left <= {"touched"}

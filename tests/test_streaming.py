@@ -6,7 +6,8 @@ from helpers import as_set
 from tickloom.operators.cast import result_strings
 from tickloom.plans.ingest import incremental_backfill
 from tickloom.sources import markers, payloads, sinks, store
-from tickloom.streaming.follow import follow
+from tickloom.streaming.follow import follow, follow_since_last
+from tickloom.streaming.retries import open_failures, solved_failures
 
 S = 1704067200
 
@@ -106,3 +107,100 @@ def test_backfill_starts_after_the_stored_rows(spark, tmp_path):
         ("A/B", "2024-01-01T03:00:00", "10.0000000000"),
         ("A/B", "2024-01-01T04:00:00", "10.0000000000"),
     }
+
+
+def entries(rows):
+    return as_set(rows, "symbol", "reason", "attempts")
+
+
+def test_held_sets_are_tried_again(spark, feed):
+    side = f"{feed.base}/side"
+    feed.land(
+        ("A/B", page((0, "11"))),
+        ("BAD", page((0, "11"), (1, "99"), (2, "10"))),
+        ("DUP", page((0, "11"), (0, "11"), (1, "10"))),
+        ("ERR", json.dumps({"code": "400100"})),
+    )
+    feed()
+    assert feed.stored() == {("A/B", "00", "11.0")}
+    assert entries(open_failures(spark, side)) == {
+        ("BAD", "VALIDATION", 1), ("DUP", "VALIDATION", 1), ("ERR", "API_ERROR", 1),
+    }
+    # Nothing of the failed sets comes: they stay as they are.
+    feed.land(("A/B", page((1, "11"))))
+    feed()
+    assert open_failures(spark, side).where("attempts = 1").count() == 3
+    # Another fault, and half of a correction: both fail again, with all they have so far.
+    feed.land(("BAD", page((3, "99"))), ("BAD", page((1, "10"))), ("ERR", "[broken"))
+    feed()
+    assert entries(open_failures(spark, side)) == {
+        ("BAD", "VALIDATION", 2), ("DUP", "VALIDATION", 1), ("ERR", "INVALID_JSON", 2),
+    }
+    assert not {s for s in feed.stored() if s[0] != "A/B"}
+    # Corrections of the faulty hours alone complete the sets.
+    feed.land(("BAD", page((3, "10"))), ("DUP", page((0, "10"))), ("ERR", page((5, "10"))))
+    feed()
+    assert {s for s in feed.stored() if s[0] != "A/B"} == {
+        ("BAD", "00", "11.0"), ("BAD", "01", "10.0"), ("BAD", "02", "10.0"), ("BAD", "03", "10.0"),
+        ("DUP", "00", "10.0"), ("DUP", "01", "10.0"), ("ERR", "05", "10.0"),
+    }
+    assert open_failures(spark, side).count() == 0
+    assert entries(solved_failures(spark, side)) == {
+        ("BAD", "VALIDATION", 2), ("DUP", "VALIDATION", 1), ("ERR", "INVALID_JSON", 2),
+    }
+
+
+def test_a_repeated_batch_and_a_new_run_keep_the_ledger(spark, feed):
+    from tickloom.streaming.follow import ingest_cycle
+
+    side, root = f"{feed.base}/side", f"{feed.base}/store"
+    feed.land(("BAD", page((0, "99"), (1, "10"))))
+    landed = payloads.landed_payloads(spark, f"{feed.base}/landing")
+    for _ in range(2):
+        ingest_cycle(landed, 0, root, side, run="one")
+    assert entries(open_failures(spark, side)) == {("BAD", "VALIDATION", 1)}
+    feed.land(("BAD", page((0, "11"))))
+    fixed = payloads.landed_payloads(spark, f"{feed.base}/landing").where("body LIKE '%11%'")
+    # A new run, whose first batch runs twice, takes the open set over.
+    for _ in range(2):
+        ingest_cycle(fixed, 0, root, side, run="two")
+    assert feed.stored() == {("BAD", "00", "11.0"), ("BAD", "01", "10.0")}
+    assert open_failures(spark, side).count() == 0
+    assert solved_failures(spark, side).count() == 1
+
+
+def test_since_last_as_a_stream(spark, tmp_path):
+    from helpers import candles
+
+    base = str(tmp_path)
+    hours = [(h, "10") for h in range(6)]
+    for part in (hours[4:], hours[:2], hours[2:4]):
+        land(spark, f"{base}/landing", ("A/B", page(*part)), ("NEW", page(*part)))
+    stored = candles(spark, {"exchange": "kucoin", "source": "kucoin", "symbol": "A/B",
+                             "timestamp": "2024-01-01T02:00:00", "close": "12"})
+    sinks.write_candles(stored, f"{base}/store")
+    asked = payloads.landed_payloads(spark, f"{base}/landing").select("exchange", "symbol", "timeframe")
+
+    def run():
+        query = follow_since_last(
+            spark, asked.distinct(), f"{base}/landing", f"{base}/store", f"{base}/checkpoint",
+            f"{base}/side", max_files_per_trigger=1,
+        )
+        query.awaitTermination()
+        assert query.exception() is None
+        progress = [p for p in query.recentProgress if p["numInputRows"]]
+        return sum(p["numInputRows"] for p in progress), len(progress)
+
+    def shown():
+        rows = result_strings(store.scan_candles(spark, f"{base}/store"))
+        return {(r.symbol, r.timestamp[11:13], r.close[:4]) for r in rows.collect()}
+
+    rows, batches = run()
+    assert rows == 6 and batches > 1
+    want = {("A/B", "02", "12.0"), ("A/B", "03", "10.0"), ("A/B", "04", "10.0"), ("A/B", "05", "10.0")}
+    assert shown() == want
+    # The second start reads the one new file, and goes on behind what is stored.
+    land(spark, f"{base}/landing", ("A/B", page((5, "11"), (6, "11"))))
+    assert run() == (1, 1)
+    assert shown() == want | {("A/B", "06", "11.0")}
+    assert run() == (0, 0)

@@ -253,7 +253,7 @@ def checks_for(kind: RecordKind, storage: str | None = None) -> list[Check]:
     return rules + (storage_checks(kind, storage) if storage else [])
 
 
-_BROKEN = "_broken"
+BROKEN = "_broken"
 
 
 def _bits(checks: Sequence[Check]) -> Column:
@@ -280,18 +280,18 @@ def row_issues(
     """
     carried = list(dict.fromkeys([INDEX, *keep]))
     marked = prepare(batch, kind, carried).select(
-        *carried, *[f"_t_{f}" for f in kind.fields], _bits(checks).alias(_BROKEN)
+        *carried, *[f"_t_{f}" for f in kind.fields], _bits(checks).alias(BROKEN)
     )
     numbers = F.array(
         *[
-            F.when(F.col(_BROKEN).bitwiseAND(F.lit(1 << i).cast("long")) != 0, i)
+            F.when(F.col(BROKEN).bitwiseAND(F.lit(1 << i).cast("long")) != 0, i)
             for i in range(len(checks))
         ]
     )
     # The higher-order filter ends a compiled stage, so that the checks and the texts
     # become two methods small enough for the JVM to optimise.
     rules = F.explode(F.filter(numbers, lambda n: n.isNotNull()))
-    found = marked.where(F.col(_BROKEN) != 0).withColumn("rule_ord", rules)
+    found = marked.where(F.col(BROKEN) != 0).withColumn("rule_ord", rules)
     at = F.col("rule_ord") + 1
     values = F.array(*[_text(f) for f in kind.fields])
 
@@ -372,18 +372,31 @@ def validate_funding(batch: DataFrame) -> DataFrame:
     return validate(batch, FUNDING)
 
 
+def with_broken(batch: DataFrame, kind: RecordKind, storage: str | None = None) -> DataFrame:
+    """A batch with one more column: the bits of the checks that each record breaks."""
+    checks = checks_for(kind, storage)
+    return prepare(batch, kind, batch.columns).select(
+        *[F.col(c) for c in batch.columns], _bits(checks).alias(BROKEN)
+    )
+
+
 def batch_verdict(batch: DataFrame, kind: RecordKind, storage: str | None = None) -> DataFrame:
     """One row ``(passed, errors, issues, records)`` without building the issues.
 
-    Broken checks are counted in the scan; copies of a key are counted from the
-    per-key totals, so no join back to the batch is needed.
+    Broken checks are counted in the scan, or taken from the column of ``with_broken``;
+    copies of a key are counted from the per-key totals, so no join back to the batch is
+    needed.
     """
     checks = checks_for(kind, storage)
     error_bits = sum(1 << i for i, c in enumerate(checks) if c.severity == ERROR)
-    errors = F.col(_BROKEN).bitwiseAND(F.lit(error_bits).cast("long"))
-    in_rows = prepare(batch, kind).select(_bits(checks).alias(_BROKEN)).agg(
+    errors = F.col(BROKEN).bitwiseAND(F.lit(error_bits).cast("long"))
+    if BROKEN in batch.columns:
+        judged = batch.select(BROKEN)
+    else:
+        judged = prepare(batch, kind).select(_bits(checks).alias(BROKEN))
+    in_rows = judged.agg(
         F.sum(F.bit_count(errors)).alias("errors"),
-        F.sum(F.bit_count(F.col(_BROKEN))).alias("issues"),
+        F.sum(F.bit_count(F.col(BROKEN))).alias("issues"),
         F.count(F.lit(1)).alias("records"),
     )
     extra = F.sum(F.col("copies") - 1)

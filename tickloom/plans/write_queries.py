@@ -22,7 +22,8 @@ from tickloom.schemas import CANDLE, CANDLE_FIELDS, FUNDING, FUNDING_FIELDS
 from tickloom.session import shared_dir
 from tickloom.sources import markers, payloads, sinks, synthetic
 from tickloom.sources.store import scan, scan_candles, scan_funding
-from tickloom.streaming.follow import follow
+from tickloom.streaming.follow import follow, follow_since_last
+from tickloom.streaming.retries import open_failures, solved_failures
 
 # --- validation ------------------------------------------------------------------
 
@@ -998,3 +999,93 @@ def backfill(spark, sf_dir):
     return result_strings(scan_candles(spark, f"{base}/store").drop("date"))
 
 
+# Symbols whose fourth hours are shown with a high below the rest, where that is a fault.
+_FAULTY = """
+shown AS ({rows}),
+faulty AS (SELECT DISTINCT symbol FROM shown WHERE symbol LIKE '%.S{digit}/%'
+  AND timestamp LIKE '%T04:%' AND (open <> '0.00' OR close <> '0.00'))"""
+
+
+def _low_highs(rows: DataFrame, *symbols: str) -> DataFrame:
+    low_high = F.col("symbol").isin(*symbols) & (F.substring("timestamp", 12, 2) == "04")
+    return rows.withColumn("high", F.when(low_high, "0.00").otherwise(F.col("high")))
+
+
+def _retried(spark: SparkSession, sf_dir: str) -> str:
+    """Pages with faults in two symbols, then corrected fourth hours of one of them."""
+    base = shared_dir(spark, "retry")
+    rows = views.candles_raw(spark, sf_dir)
+    _land(render(_low_highs(rows, "S3/USDT", "S4/USDT"), "gateio"), f"{base}/landing")
+    _follow(spark, f"{base}/landing", base)
+    fourth = (F.col("symbol") == "S3/USDT") & (F.substring("timestamp", 12, 2) == "04")
+    _land(render(rows.where(fourth), "gateio"), f"{base}/landing")
+    _follow(spark, f"{base}/landing", base)
+    return base
+
+
+@query(
+    "retry_held_sets",
+    f"""
+WITH {_FAULTY.format(rows=_rendered('gateio'), digit=4)}
+SELECT {STORED_TEXT} FROM shown WHERE symbol NOT IN (SELECT symbol FROM faulty)""",
+    ("candles_raw",),
+)
+def retry_held_sets(spark, sf_dir):
+    """Held sets whose faulty hours come again are stored whole; the others stay out."""
+    base = _retried(spark, sf_dir)
+    return result_strings(scan_candles(spark, f"{base}/store").drop("date"))
+
+
+@query(
+    "retry_ledger",
+    f"""
+WITH {_FAULTY.format(rows=_rendered('gateio'), digit=4)},
+solved AS (SELECT DISTINCT symbol FROM shown WHERE symbol LIKE '%.S3/%'
+  AND timestamp LIKE '%T04:%' AND (open <> '0.00' OR close <> '0.00'))
+SELECT 'gateio' AS exchange, symbol, '1h' AS timeframe, 'VALIDATION' AS reason, 1 AS attempts,
+  'open' AS state FROM faulty
+UNION ALL
+SELECT 'gateio', symbol, '1h', 'VALIDATION', 1, 'solved' FROM solved""",
+    ("candles_raw",),
+)
+def retry_ledger(spark, sf_dir):
+    side = f"{_retried(spark, sf_dir)}/quarantine"
+    parts = [
+        rows.select("exchange", "symbol", "timeframe", "reason", "attempts", F.lit(state).alias("state"))
+        for rows, state in ((open_failures(spark, side), "open"), (solved_failures(spark, side), "solved"))
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+@query(
+    "follow_since_last",
+    f"""
+WITH shown AS ({_rendered('kucoin')}),
+last AS (SELECT symbol, MAX(timestamp) AS t FROM shown
+  WHERE timestamp < '2024-01-15' AND symbol NOT LIKE '%.S9/%' GROUP BY symbol)
+SELECT {STORED_TEXT} FROM shown WHERE symbol IN (SELECT symbol FROM last)""",
+    ("candles_raw",),
+)
+def since_last(spark, sf_dir):
+    """The backfill as a stream that is started twice, with new pages in between."""
+    base = shared_dir(spark, "since")
+    rows = views.candles_raw(spark, sf_dir)
+    early = normalise.normalise(
+        render(rows.where(~F.startswith("symbol", F.lit("S9/"))), "kucoin"), ["kucoin"]
+    )
+    sinks.write_candles(early.where(F.col("timestamp") < "2024-01-15"), f"{base}/store")
+    for days in (F.col("timestamp") < "2024-01-20", F.col("timestamp") >= "2024-01-20"):
+        _land(render(rows.where(days), "kucoin"), f"{base}/landing")
+        landed_pages = payloads.landed_payloads(spark, f"{base}/landing")
+        running = follow_since_last(
+            spark,
+            landed_pages.select("exchange", "symbol", "timeframe").distinct(),
+            f"{base}/landing",
+            f"{base}/store",
+            f"{base}/checkpoint",
+            f"{base}/quarantine",
+        )
+        running.awaitTermination()
+        if running.exception() is not None:
+            raise running.exception()
+    return result_strings(scan_candles(spark, f"{base}/store").drop("date"))

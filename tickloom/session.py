@@ -25,6 +25,7 @@ RUNTIME_SETTINGS = {
 }
 
 _local_scratch: dict[str, str] = {}
+_scratch_folders: set[str] = set()
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -51,20 +52,37 @@ def build_session(
     return configure(builder.getOrCreate())
 
 
+def _base(spark: SparkSession) -> str:
+    """The shared folder that the cluster names."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: name a folder all executors can reach")
+    if context.applicationId not in _local_scratch:
+        _local_scratch[context.applicationId] = tempfile.mkdtemp(prefix="tickloom-")
+    return _local_scratch[context.applicationId]
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh path for a written table, under the folder the cluster names.
 
     ``spark.checkpoint.dir`` is that folder. A temporary folder of this machine
-    is used only in local mode, where driver and executors are one process.
+    is used only in local mode, where driver and executors are one process. All such
+    tables of an application are in one folder, which goes when the driver ends.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        context = spark.sparkContext
-        if not context.master.startswith("local"):
-            raise RuntimeError(
-                "spark.checkpoint.dir is not set: name a folder all executors can reach"
-            )
-        base = _local_scratch.setdefault(
-            context.applicationId, tempfile.mkdtemp(prefix="tickloom-")
-        )
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    own = f"{_base(spark)}/tickloom-{spark.sparkContext.applicationId}"
+    if own not in _scratch_folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(own)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _scratch_folders.add(own)
+    return f"{own}/{purpose}-{uuid.uuid4().hex}"
+
+
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Remove a written table that nothing reads any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

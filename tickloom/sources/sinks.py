@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tickloom.operators.cast import typed_cast
 from tickloom.operators.merge import (
@@ -19,16 +18,16 @@ from tickloom.operators.merge import (
 from tickloom.schemas import CANDLE, FUNDING, RecordKind
 from tickloom.session import shared_dir
 from tickloom.sources.layout import (
-    DATE,
     MARKET_DAY,
     Layout,
     folder,
     path_exists,
-    stored_schema,
     with_date,
 )
+from tickloom.sources.staging import stage, staging
 from tickloom.sources.store import scan
 
+
 def touched_partitions(batch: DataFrame, kind: RecordKind, layout: Layout) -> DataFrame:
     return batch.select(*layout.partitions(kind)).distinct()
 
@@ -42,9 +41,15 @@ def stored_in_touched(
     markets, of which only the first and last come to the driver; a semi join keeps
     exactly the touched partitions, however many there are.
     """
-    spark = batch.sparkSession
+    return _stored_in(touched_partitions(batch, kind, layout), root, kind, layout)
+
+
+def _stored_in(
+    touched: DataFrame, root: str, kind: RecordKind, layout: Layout
+) -> tuple[DataFrame | None, bool]:
+    spark = touched.sparkSession
     columns = layout.partitions(kind)
-    bounds = batch.agg(
+    bounds = touched.agg(
         *[f(c).alias(f"{name}_{c}") for c in columns for f, name in ((F.min, "min"), (F.max, "max"))]
     ).first()
     if all(value is None for value in bounds):
@@ -55,7 +60,7 @@ def stored_in_touched(
     for c in columns:
         if bounds[f"min_{c}"] is not None:
             rows = rows.where(F.col(c).between(bounds[f"min_{c}"], bounds[f"max_{c}"]))
-    return rows.join(touched_partitions(batch, kind, layout), list(columns), "left_semi"), True
+    return rows.join(touched, list(columns), "left_semi"), True
 
 
 def write_partitions(rows: DataFrame, root: str, kind: RecordKind, layout: Layout) -> None:
@@ -83,59 +88,56 @@ def upsert(
     strategy: str = UPSERT,
     resolution: str = "s",
     incoming_unique: bool = False,
+    staged: bool = False,
 ) -> DataFrame:
     """Merge a batch of raw or typed rows into the store.
 
     Only partitions present in the batch are read and rewritten; with the
     ``changes`` strategy only those with an inserted or updated row are. Returns
     the rewritten partitions. The new files replace the old ones when the job
-    commits, so a job that dies leaves the store as it was.
+    commits, so a job that dies leaves the store as it was. One writer per store: two
+    jobs that write the same partition at a time would each keep their own version.
+
+    The typed batch is written to the shared folder first, so its source is computed once
+    for the bounds, the merge and the result; ``staged`` says that it is a written table
+    already.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy must be one of {STRATEGIES}, got {strategy!r}")
     spark = batch.sparkSession
-    columns = list(layout.partitions(kind))
     if dict(batch.dtypes)["timestamp"] == "string":
         batch = typed_cast(batch.select(*kind.fields), kind, resolution)
     incoming = with_date(batch.select(*kind.fields))
-    existing, touched_any = stored_in_touched(incoming, root, kind, layout)
-    nothing = spark.createDataFrame([], touched_partitions(incoming, kind, layout).schema)
-    if not touched_any:
-        return nothing
-    if existing is None:
-        write_partitions(incoming, root, kind, layout)
-        return touched_partitions(incoming, kind, layout)
-    key = list(kind.key)
-    if strategy == UPSERT:
-        merged = upsert_merge(existing, incoming, key, incoming_unique)
-        write_partitions(merged, root, kind, layout)
-        return touched_partitions(incoming, kind, layout)
-    return _write_changes(existing, incoming, root, kind, layout, key, columns)
+    with staging(spark) as put:
+        if not staged:
+            incoming = put(incoming, "incoming")
+        # The result outlives the staged batch.
+        touched = stage(touched_partitions(incoming, kind, layout), shared_dir(spark, "touched"))
+        existing, touched_any = _stored_in(touched, root, kind, layout)
+        if not touched_any:
+            return touched
+        if existing is None:
+            write_partitions(incoming, root, kind, layout)
+            return touched
+        key = list(kind.key)
+        if strategy == UPSERT:
+            merged = upsert_merge(existing, incoming, key, incoming_unique)
+            write_partitions(merged, root, kind, layout)
+            return touched
+        # Written before the store changes: nothing is computed from it again.
+        classified = put(classify_changes(existing, incoming, key), "classified")
+        return _write_changes(classified, root, kind, layout)
 
 
 def _write_changes(
-    existing: DataFrame,
-    incoming: DataFrame,
-    root: str,
-    kind: RecordKind,
-    layout: Layout,
-    key: list[str],
-    columns: list[str],
+    classified: DataFrame, root: str, kind: RecordKind, layout: Layout
 ) -> DataFrame:
-    spark = incoming.sparkSession
-    # Both are written before the store changes: nothing is computed from it again.
-    path = shared_dir(spark, "classified")
-    classify_changes(existing, incoming, key).write.parquet(path)
-    classified = spark.read.schema(
-        T.StructType([T.StructField("action", T.StringType()), *incoming.schema.fields])
-    ).parquet(path)
+    columns = list(layout.partitions(kind))
     names = classified.where(F.col("action").isin(INSERT, UPDATE)).select(*columns).distinct()
-    path = shared_dir(spark, "changed")
-    names.write.parquet(path)
-    changed = spark.read.schema(names.schema).parquet(path)
+    changed = stage(names, shared_dir(names.sparkSession, "changed"))
     if not changed.isEmpty():
         rows = classified.join(changed, columns, "left_semi")
-        write_partitions(rows.select(*incoming.columns), root, kind, layout)
+        write_partitions(rows.drop("action"), root, kind, layout)
     return changed
 
 
