@@ -38,6 +38,9 @@ def text_key(text: Column) -> Column:
 
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+# Rows that go to a Python worker at once: whole texts, so the default takes much memory on
+# both sides. It stays set, as results are computed after the operators return.
+BATCH_ROWS, BATCH_SETTING = 2_000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def written(frame: DataFrame, purpose: str) -> DataFrame:
@@ -49,6 +52,8 @@ def written(frame: DataFrame, purpose: str) -> DataFrame:
     """
     spark = frame.sparkSession
     path = shared_dir(spark, purpose)
+    if not 0 < int(spark.conf.get(BATCH_SETTING)) <= BATCH_ROWS:
+        spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
