@@ -28,14 +28,20 @@ UNKNOWN_EXCHANGE = "UNKNOWN_EXCHANGE"
 _LISTS = "array<array<string>>"
 
 
+def _named(*fields: str) -> str:
+    """The type of a list of rows with these fields."""
+    return "array<struct<" + ",".join(f"{f}:string" for f in fields) + ">>"
+
+
 @dataclass(frozen=True)
 class Format:
     """How one exchange lays out a page of candles.
 
     ``schema`` describes the JSON body and ``rows`` is the path of the row list in
     it. ``places`` are the list positions or field names of ``VALUES``. ``fails``
-    is an SQL predicate on the parsed body ``b`` for a reported error. ``other`` is
-    what a body of the other JSON kind means: ``fail`` or ``empty``.
+    is an SQL predicate on the parsed body ``b`` for a reported error, ``fine`` one that
+    tells from the parsed body alone that there is none, where ``fails`` reads the text. ``other``
+    is what a body of the other JSON kind means: ``fail`` or ``empty``.
     """
 
     schema: str
@@ -44,6 +50,7 @@ class Format:
     unit: str
     other: str
     fails: str | None = None
+    fine: str | None = None
     newest_first: bool = False
 
     @property
@@ -62,7 +69,7 @@ class Format:
 FORMATS = {
     "bitfinex": Format(_LISTS, "b", (0, 1, 3, 4, 2, 5), "ms", "empty"),
     "bitstamp": Format(
-        "struct<data:struct<ohlc:array<map<string,string>>>>",
+        f"struct<data:struct<ohlc:{_named('timestamp', 'open', 'high', 'low', 'close', 'volume')}>>",
         "b.data.ohlc",
         ("timestamp", "open", "high", "low", "close", "volume"),
         "s",
@@ -82,7 +89,7 @@ FORMATS = {
     "gateio": Format(_LISTS, "b", (0, 5, 3, 4, 2, 1), "s", "fail"),
     "gemini": Format(_LISTS, "b", (0, 1, 2, 3, 4, 5), "ms", "empty"),
     "htx": Format(
-        "struct<status:string,data:array<map<string,string>>>",
+        f"struct<status:string,data:{_named('id', 'open', 'high', 'low', 'close', 'amount')}>",
         "b.data",
         ("id", "open", "high", "low", "close", "amount"),
         "s",
@@ -100,6 +107,7 @@ FORMATS = {
         "empty",
         fails="coalesce(get_json_object(body, '$.error'), '') NOT IN "
         "('', '[]', '{}', 'false', '0')",
+        fine="size(b.error) = 0",
     ),
     "kucoin": Format(
         f"struct<code:string,data:{_LISTS}>",
@@ -122,63 +130,97 @@ FORMATS = {
 }
 
 
-def _picked(fmt: Format) -> str:
-    """SQL of the payload's rows as ``VALUES`` structs, oldest first."""
+def _picked(fmt: Format, listed: str) -> str:
+    """SQL of a row list as ``VALUES`` structs, oldest first."""
 
     def place(p) -> str:
-        return f"get(r, {p})" if isinstance(p, int) else f"try_element_at(r, '{p}')"
+        return f"get(r, {p})" if isinstance(p, int) else f"r.{p}"
 
     fields = ", ".join(f"'{v}', {place(p)}" for v, p in zip(VALUES, fmt.places))
-    rows = f"transform({fmt.rows}, r -> named_struct({fields}))"
+    rows = f"transform({listed}, r -> named_struct({fields}))"
     return f"reverse({rows})" if fmt.newest_first else rows
 
 
-def _outcome(fmt: Format, last_only: bool) -> Column:
-    """``struct<reason, rows>`` of a body in this format.
+_NO_ROWS = f"CAST(array() AS array<{_ROW}>)"
 
-    All its rows have to be complete, or with ``last_only`` the one listed last.
-    """
-    no_rows = f"CAST(array() AS array<{_ROW}>)"
 
-    def done(reason: str | None, rows: str) -> str:
-        text = f"'{reason}'" if reason else "CAST(NULL AS STRING)"
-        return f"named_struct('reason', {text}, 'rows', {rows})"
+def _done(reason: str | None, rows: str = _NO_ROWS) -> str:
+    text = f"'{reason}'" if reason else "CAST(NULL AS STRING)"
+    return f"named_struct('reason', {text}, 'rows', {rows})"
+
 
+def _judged(fmt: Format, listed: str, last_only: bool) -> str:
+    """SQL of the outcome of a row list: all its rows, or a reject if one is not complete."""
+    complete = " AND ".join(["try_cast(x.t AS DECIMAL(38,6)) IS NOT NULL"] + [
+        f"x.{v} IS NOT NULL" for v in VALUES[1:]
+    ])
+    # Rows are in the order of time by now, so the last one listed may be the first.
+    judged = f"slice(rows, {1 if fmt.newest_first else -1}, 1)" if last_only else "rows"
+    checked = (
+        f"CASE WHEN forall({judged}, x -> {complete}) THEN {_done(None, 'rows')} "
+        f"ELSE {_done(BAD_ROW)} END"
+    )
+    # transform() over a one-element array binds a name without evaluating twice.
+    return f"transform(array(coalesce({_picked(fmt, listed)}, {_NO_ROWS})), rows -> {checked})[0]"
+
+
+def _explained(fmt: Format, last_only: bool) -> str:
+    """SQL of the outcome of any body, however wrong; it reads the body several times."""
     # Spark's parsers stop after the first value; followed by another one inside a list, a
     # body with anything behind its value is no list of the two.
     alone = "get_json_object(concat('[', body, ',\"~end~\"]'), '$[1]') <=> '~end~'"
     is_array = f"json_array_length(body) IS NOT NULL AND {alone}"
     is_object = f"json_object_keys(body) IS NOT NULL AND {alone}"
     expected, other = (is_array, is_object) if fmt.is_list else (is_object, is_array)
-    otherwise = done(API_ERROR, no_rows) if fmt.other == "fail" else done(None, no_rows)
-    if fmt.rows == "b" and fmt.other == "empty":
-        # An object may still report an error (bitfinex); without one the page is empty.
+    otherwise = _done(API_ERROR if fmt.other == "fail" else None)
+    if fmt is FORMATS["bitfinex"]:
+        # An object may still report an error; without one the page is empty.
         otherwise = (
             f"CASE WHEN array_contains(json_object_keys(body), 'error') "
-            f"THEN {done(API_ERROR, no_rows)} ELSE {otherwise} END"
-            if fmt is FORMATS["bitfinex"]
-            else otherwise
+            f"THEN {_done(API_ERROR)} ELSE {otherwise} END"
         )
-    complete = " AND ".join(["try_cast(x.t AS DECIMAL(38,6)) IS NOT NULL"] + [
-        f"x.{v} IS NOT NULL" for v in VALUES[1:]
-    ])
-    # Rows are in the order of time by now, so the last one listed may be the first.
-    judged = f"slice(rows, {1 if fmt.newest_first else -1}, 1)" if last_only else "rows"
-    checked = (
-        f"CASE WHEN forall({judged}, x -> {complete}) THEN {done(None, 'rows')} "
-        f"ELSE {done(BAD_ROW, no_rows)} END"
-    )
-    # transform() over a one-element array binds a name without evaluating twice.
-    inner = f"transform(array(coalesce({_picked(fmt)}, {no_rows})), rows -> {checked})[0]"
+    inner = _judged(fmt, fmt.rows, last_only)
     # A list with an element that is no row parses to null, as does what is no list.
     lost = "b IS NULL" if fmt.is_list else f"{fmt.rows} IS NULL AND {fmt.list_text} LIKE '[%'"
-    inner = f"CASE WHEN {lost} THEN {done(BAD_ROW, no_rows)} ELSE {inner} END"
+    inner = f"CASE WHEN {lost} THEN {_done(BAD_ROW)} ELSE {inner} END"
     if fmt.fails:
-        inner = f"CASE WHEN {fmt.fails} THEN {done(API_ERROR, no_rows)} ELSE {inner} END"
+        inner = f"CASE WHEN {fmt.fails} THEN {_done(API_ERROR)} ELSE {inner} END"
     parsed = f"transform(array(from_json(body, '{fmt.schema}')), b -> {inner})[0]"
-    return F.expr(
+    return (
         f"CASE WHEN {expected} THEN {parsed} WHEN {other} THEN {otherwise} "
-        f"ELSE {done(INVALID_JSON, no_rows)} END"
+        f"ELSE {_done(INVALID_JSON)} END"
+    )
+
+
+def _outcome(fmt: Format, last_only: bool) -> Column:
+    """``struct<reason, rows>`` of a body in this format.
+
+    All its rows have to be complete, or with ``last_only`` the one listed last.
+
+    A body is parsed once, as the first of two elements of a list: the second one shows that
+    the body was one whole JSON value of the expected kind. Only bodies that are not, that
+    report an error or lack their row list are looked at again, for the reason.
+    """
+    if fmt.is_list:
+        tail, schema, end = '[["~end~"]]', fmt.schema, "get(get(get(w, 1), 0), 0) <=> '~end~'"
+    else:
+        tail = '{"~end~":"~end~"}'
+        schema = fmt.schema.removesuffix(">") + ",`~end~`:string>"
+        end = "get(w, 1).`~end~` <=> '~end~' AND get(w, 0).`~end~` IS NULL"
+    no_failure = fmt.fine or (f"NOT ({fmt.fails})" if fmt.fails else "TRUE")
+    explained = _explained(fmt, last_only)
+    rows = (
+        f"transform(array({fmt.rows}), listed -> CASE WHEN listed IS NULL THEN {explained} "
+        f"ELSE {_judged(fmt, 'listed', last_only)} END)[0]"
+    )
+    fast = f"transform(array(get(w, 0)), b -> CASE WHEN {no_failure} THEN {rows} ELSE {explained} END)[0]"
+    whole = (
+        f"from_json(concat('[', body, ',{tail}]'), 'array<{schema}>', "
+        "map('allowNonNumericNumbers', 'false'))"
+    )
+    return F.expr(
+        f"transform(array({whole}), w -> CASE WHEN size(w) = 2 AND {end} THEN {fast} "
+        f"ELSE {explained} END)[0]"
     )
 
 
