@@ -87,9 +87,9 @@ def sample():
 
 
 @pytest.mark.parametrize("blocks", [None, 7])
-@pytest.mark.parametrize("rounds", [0, 2])
-def test_families(spark, monkeypatch, blocks, rounds):
-    monkeypatch.setattr(h, "ROUNDS", rounds)
+@pytest.mark.parametrize("stars", [False, True])
+def test_families(spark, monkeypatch, blocks, stars):
+    monkeypatch.setattr(h, "STARS", stars)
     if blocks:
         monkeypatch.setattr(h, "BLOCK_ROWS", blocks)
         monkeypatch.setattr(h, "BLOCK_REGISTERS", blocks)

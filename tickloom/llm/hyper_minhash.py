@@ -9,12 +9,12 @@ least value as the number of leading zeros and the ``MANTISSA`` bits behind them
    For banding, empty registers take the value of another one, chosen by a fixed
    order of all registers, so that small sets are as hard to confuse as large ones. Nodes meet
    in buckets of equal bands.
-2. In a few rounds every bucket compares its members with one of them, drawn anew in each
-   round: linear work, after which large groups of near copies are mostly one component.
-3. Of buckets with several components left, all members outside the largest one are compared
-   with all members by their registers, in blocks. What the estimate does not rule out
-   is connected into groups, and verified in blocks, again without the pairs inside a
-   component. Pairs are never put out, only the components they connect.
+2. Every bucket compares its members with one of them: linear work, after which the members of
+   large groups of near copies mostly share a label that says they are connected.
+3. Of buckets whose other members still have several labels, all members outside the most
+   common label are compared with all members by their registers, in blocks. What the estimate
+   does not rule out is connected into groups, and verified in blocks, again without the pairs
+   inside a label. Pairs are never put out, only the components they connect.
 
 The estimate subtracts the expected number of registers that agree by chance, and rules a
 pair out only ``DEVIATIONS`` standard deviations below the threshold. Links are decided on
@@ -31,7 +31,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -52,8 +51,10 @@ RECALL = 0.999999
 REGISTERS = 256
 MANTISSA = 10
 DEVIATIONS = 6
-# Rounds in which buckets are compared with one member.
-ROUNDS = 2
+# Whether buckets are compared with one member first; it changes the work, not the result.
+STARS = True
+# How often a label is replaced by its own label.
+JUMPS = 2
 # Members of a block, of their sets in bytes, and of their registers.
 BLOCK_ROWS, BLOCK_BYTES, BLOCK_REGISTERS = 256, 16 << 20, 1_000
 
@@ -254,21 +255,20 @@ def dealt(tasks: DataFrame, rows: int, size: int) -> DataFrame:
         blocks(F.col("minor")).alias("_ni"), blocks(F.lit(True)).alias("_nj")
     )
     number = F.xxhash64("node")
-    placed = tasks.join(sizes, "group")
-    as_member = placed.select(
-        "*",
-        F.lit(False).alias("_role"),
-        F.pmod(number, F.col("_nj")).cast("int").alias("j"),
-        F.explode(F.sequence(F.lit(0), F.col("_ni") - 1)).alias("i"),
-    )
-    as_minor = placed.where("minor").select(
-        "*",
-        F.lit(True).alias("_role"),
-        F.pmod(number, F.col("_ni")).cast("int").alias("i"),
-        F.explode(F.sequence(F.lit(0), F.col("_nj") - 1)).alias("j"),
-    )
-    both = as_member.unionByName(as_minor).drop("minor", "_ni", "_nj")
-    return both.withColumnRenamed("_role", "minor")
+    own_i, own_j = (F.pmod(number, F.col(c)).cast("int") for c in ("_ni", "_nj"))
+
+    def blocks_of(minor: bool, count: str, i, j) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), F.col(count) - 1),
+            lambda x: F.struct(F.lit(minor).alias("minor"), i(x).alias("i"), j(x).alias("j")),
+        )
+
+    as_member = blocks_of(False, "_ni", lambda x: x, lambda x: own_j)
+    as_minor = blocks_of(True, "_nj", lambda x: own_i, lambda x: x)
+    places = F.when(F.col("minor"), F.concat(as_member, as_minor)).otherwise(as_member)
+    placed = tasks.join(sizes, "group").withColumn("_place", F.explode(places))
+    kept = [c for c in tasks.columns if c != "minor"]
+    return placed.select(*kept, "_place.minor", "_place.i", "_place.j")
 
 
 def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -394,7 +394,15 @@ def links(tasks: DataFrame, sets: DataFrame, elements: DataFrame) -> DataFrame:
     return written(found.distinct(), "links")
 
 
-def star_tasks(buckets: DataFrame, sets: DataFrame, labels: DataFrame | None, seed: int) -> DataFrame:
+def drawn_members(buckets: DataFrame) -> DataFrame:
+    """One member of each bucket, the same in buckets with the same members."""
+    order = F.struct(F.xxhash64("node"), "node")
+    return buckets.groupBy("bucket").agg(F.min(order).alias("_p")).select(
+        "bucket", F.col("_p.node").alias("drawn")
+    )
+
+
+def star_tasks(buckets: DataFrame, sets: DataFrame) -> DataFrame:
     """Every bucket's drawn member with the members it may be similar to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -407,17 +415,9 @@ def star_tasks(buckets: DataFrame, sets: DataFrame, labels: DataFrame | None, se
             good = pa.array(~ruled_out(agree, either, chance))
             yield pa.RecordBatch.from_arrays(batch.columns[:3], ["group", "node", "label"]).filter(good)
 
-    members = named(buckets.select("bucket", "node"), labels)
-    drawn = members.groupBy("bucket").agg(
-        F.min(F.struct(F.xxhash64("node", F.lit(seed)), "node", "label")).alias("_p"),
-        F.min("label").alias("_a"),
-        F.max("label").alias("_b"),
-    )
-    drawn = drawn.where("_a < _b").select(
-        "bucket", F.col("_p.node").alias("group"), F.col("_p.label").alias("_own")
-    )
-    edges = members.join(drawn, "bucket").where("label != _own")
-    edges = edges.select("group", "node", "label").distinct()
+    drawn = drawn_members(buckets).withColumnRenamed("drawn", "group")
+    edges = buckets.join(drawn, "bucket").where(F.col("node") != F.col("group"))
+    edges = edges.select("group", "node").distinct()
     sketches = sets.select("node", "sketch", "n")
     other = sets.select(
         F.col("node").alias("group"), F.col("sketch").alias("_sketch"), F.col("n").alias("_n")
@@ -425,16 +425,30 @@ def star_tasks(buckets: DataFrame, sets: DataFrame, labels: DataFrame | None, se
     near = written(
         edges.join(sketches, "node")
         .join(other, "group")
-        .select("group", "node", "label", "sketch", "_sketch", "n", "_n")
+        .select("group", "node", F.col("node").alias("label"), "sketch", "_sketch", "n", "_n")
         .mapInArrow(run, "group long, node long, label long"),
         "near",
     )
-    centres = named(near.select("group").distinct().withColumn("node", F.col("group")), labels)
+    centres = near.select("group").distinct().select(
+        "group", F.col("group").alias("node"), F.col("group").alias("label")
+    )
     return near.withColumn("minor", F.lit(False)).unionByName(
         centres.withColumn("minor", F.lit(True))
     )
 
 
+def pointers(links: DataFrame) -> DataFrame:
+    """A label for linked nodes: nodes of one label are connected, if not the other way round."""
+    low = links.groupBy("a").agg(F.min("b").alias("label")).withColumnRenamed("a", "node")
+    for _ in range(JUMPS):
+        low = written(low, "labels")
+        step = low.select(F.col("node").alias("label"), F.col("label").alias("_next"))
+        low = low.join(step, "label", "left").select(
+            "node", F.coalesce("_next", "label").alias("label")
+        )
+    return written(low, "labels")
+
+
 def with_minors(rows: DataFrame) -> DataFrame:
     """Members of groups with several components; minor are those outside the largest one."""
     counts = rows.groupBy("group", "label").agg(F.count(F.lit(1)).alias("_n"))
@@ -446,8 +460,14 @@ def with_minors(rows: DataFrame) -> DataFrame:
 
 
 def group_tasks(buckets: DataFrame, sets: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Groups of nodes whose registers leave a link between two components possible."""
-    rows = with_minors(named(buckets.withColumnRenamed("bucket", "group"), labels))
+    """Groups of nodes whose registers leave a link between two labels possible.
+
+    With labels, a bucket's drawn member has been compared with all others already.
+    """
+    members = buckets
+    if labels is not None:
+        members = members.join(drawn_members(buckets), "bucket").where("node != drawn").drop("drawn")
+    rows = with_minors(named(members.withColumnRenamed("bucket", "group"), labels))
     blocks = dealt(rows.withColumn("bytes", F.lit(0)), BLOCK_REGISTERS, BLOCK_BYTES)
     near = (
         blocks.drop("bytes")
@@ -463,13 +483,12 @@ def near_sets(docs: DataFrame, sets: DataFrame, row_id: str, text: str) -> DataF
     """Nodes that are linked, directly or not: node, label (the least node)."""
     buckets = bucket_table(sets)
     elements = element_table(docs, sets, buckets.select("node"), row_id, text)
-    found: list[DataFrame] = []
-    labels = None
-    for seed in range(ROUNDS):
-        found.append(links(star_tasks(buckets, sets, labels, seed), sets, elements))
-        labels = written(components(reduce(DataFrame.unionByName, found)), "labels")
-    found.append(links(written(group_tasks(buckets, sets, labels), "tasks"), sets, elements))
-    return components(reduce(DataFrame.unionByName, found))
+    if not STARS:
+        rest = written(group_tasks(buckets, sets, None), "tasks")
+        return components(links(rest, sets, elements))
+    first = links(star_tasks(buckets, sets), sets, elements)
+    rest = group_tasks(buckets, sets, pointers(first))
+    return components(first.unionByName(links(written(rest, "tasks"), sets, elements)))
 
 
 def near_duplicates(docs: DataFrame, row_id: str = "doc_id", text: str = "text") -> DataFrame:
