@@ -46,7 +46,7 @@ LONGEST, LEAST, TOP = 3, 10, 2_000
 # A phrase goes if a longer one has at least this share of its occurrences, in per cent.
 INSIDE = 50
 # Bytes of text of a pack; larger packs shuffle fewer fingerprints and take more memory.
-PACK = 2 << 20
+PACK = 1 << 20
 # Entries that a bucket should have.
 BUCKET = 1 << 20
 SALTS = 64
