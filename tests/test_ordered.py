@@ -19,9 +19,9 @@ def data(spark):
     return ids.select(key.alias("key"), (F.col("id") * 3).alias("at"), value.alias("v")).cache()
 
 
-@pytest.mark.parametrize("steps", [1, 1 << 16])
-def test_running_sum_position_and_previous(data, monkeypatch, steps):
-    monkeypatch.setattr(ordered, "STEPS", steps)
+@pytest.mark.parametrize("rows", [1 << 20, 1_000, 50])
+def test_running_sum_position_and_previous(data, monkeypatch, rows):
+    monkeypatch.setattr(ordered, "SLICE_ROWS", rows)
     window = Window.partitionBy("key").orderBy("at")
     upto = window.rowsBetween(Window.unboundedPreceding, 0)
     expected = data.select(
@@ -40,27 +40,58 @@ def test_running_sum_position_and_previous(data, monkeypatch, steps):
     assert expected.exceptAll(got).count() == 0
 
 
-def test_slices_divide_a_hot_key(data):
-    sliced = ordered.add_slice(data, "at")
-    largest = sliced.groupBy("key", "_slice").count().agg(F.max("count")).first()[0]
-    assert largest <= 2
+@pytest.mark.parametrize("values", ["at", "microseconds of an hour", "far apart"])
+def test_slices_divide_a_hot_key(data, monkeypatch, values):
+    monkeypatch.setattr(ordered, "SLICE_ROWS", 100)
+    at = {
+        "at": F.col("at"),
+        "microseconds of an hour": F.lit(1_704_067_200_000_000) + F.col("at") * 60_000,
+        "far apart": F.pow(F.lit(1.01), F.col("at") % 30_000) * 1e-80,
+    }[values]
+    sliced = ordered.divide(data.withColumn("at", at), ["key"], "at")
+    sizes = sliced.where("key = 'hot'").groupBy("_slice").count()
+    assert sizes.count() > 50 and sizes.agg(F.max("count")).first()[0] <= 250
+    # Slices follow one another in the order of the values.
+    edges = sliced.groupBy("key", "_slice").agg(F.min("at").alias("low"), F.max("at").alias("high"))
+    before = F.lag("high").over(Window.partitionBy("key").orderBy("_slice"))
+    assert edges.withColumn("before", before).where("before >= low").count() == 0
 
 
-def test_slices_follow_the_order(spark):
-    values = [float("-inf"), -1e300, -3.0, -2.9999, -1e-320, 0.0, 5e-324, 0.1, 1.0, 1.5, 2.0,
-              2.0000001, 7e15, 7e15 + 1, float("inf"), float("nan")]
-    frame = spark.createDataFrame([(None, 0), *[(v, i + 1) for i, v in enumerate(values)]], "v double, i int")
-    got = [r["s"] for r in frame.select("i", ordered.slice_of(F.col("v")).alias("s")).orderBy("i").collect()]
-    assert got == sorted(got) and len(set(got)) > 10
+def test_no_large_key_needs_no_slices(data):
+    assert ordered.divide(data, ["key"], "at") is None
 
 
-def test_null_keys_are_one_group(spark):
+def test_slice_numbers(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "MOST_SLICES", 9)
+    cuts = [float(i * i) for i in range(11)]
+    values = [None, float("-inf"), -1.0, 0.0, 0.5, 1.0, 48.9, 49.0, 99.0, 100.0, float("inf"), float("nan")]
+    frame = spark.createDataFrame([(cuts, v, i) for i, v in enumerate(values)], "c array<double>, v double, i int")
+    number = ordered.slice_number(F.col("c"), F.col("v"))
+    got = [r["n"] for r in frame.select("i", number.alias("n")).orderBy("i").collect()]
+    assert got == [0, 0, 0, 1, 1, 2, 7, 8, 10, 11, 11, 11]
+    assert frame.limit(1).select(ordered.slice_number(F.lit(None).cast("array<double>"), F.lit(1.0))).first()[0] == 0
+
+
+def test_ends_of_the_order(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "SLICE_ROWS", 4)
+    values = [None, float("-inf"), -2.0, -1.5, 0.0, 1e-300, 1.0, 2.0, 7e15, float("inf"), float("nan")]
+    frame = spark.createDataFrame([("k", v) for v in values], "k string, v double")
+    got = ordered.position(frame, ["k"], "v", "pos").orderBy("pos").collect()
+    assert [r["pos"] for r in got] == list(range(1, 12))
+    assert [str(r["v"]) for r in got] == [str(v) for v in values]
+
+
+@pytest.mark.parametrize("rows", [10, 1_000])
+def test_null_keys_are_one_group(spark, monkeypatch, rows):
+    monkeypatch.setattr(ordered, "SLICE_ROWS", rows)
     df = spark.createDataFrame([(None, i) for i in range(100)], "key string, at long")
     got = ordered.position(df, ["key"], "at", "pos")
     assert [r["pos"] for r in got.orderBy("at").collect()] == list(range(1, 101))
 
 
-def test_exact_median(spark):
+@pytest.mark.parametrize("rows", [50, 1 << 20])
+def test_exact_median(spark, monkeypatch, rows):
+    monkeypatch.setattr(ordered, "SLICE_ROWS", rows)
     values = [((i * 7919) % 997) / 4 for i in range(1501)]
     rows = [("hot", v) for v in values] + [("one", 5.0), ("two", 1.0), ("two", 4.0), ("two", None)]
     rows += [("nan", v) for v in (10.0, 20.0, 30.0, float("nan"))]

@@ -1,65 +1,98 @@
 """Row numbers, running sums and previous values within keys of any size.
 
 A window over a key runs in one task, which fails when the key holds a third of
-a large table. Here the rows of a key are cut into slices along the order column. The
-slice is a fixed function of the value, the logarithm in steps, so it needs no look at
-the data: every power of two has ``STEPS`` slices, wherever the values are. The heavy
-window runs per ``(key, slice)``; only one row per key and slice enters the second window
-that carries values across slices. The order column must be numeric and distinct within
-a key. There is one path at any size.
+a large table. Here keys with more than ``SLICE_ROWS`` rows are cut into slices along the
+order column, at quantiles of the key's own values: one pass counts the rows per key, one more
+sketches the quantiles of the large keys, which are written, so that every use cuts alike.
+So slices are even however the values lie. The heavy window runs per ``(key, slice)``;
+only one row per key and slice enters the second window that carries values across slices.
+Without a large key a plain window does it. The order column must be numeric and distinct
+within a key; nulls come first and NaN last.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Slices per power of two. Doubles span about 2,100 powers on either side of zero.
-STEPS = 1 << 16
-_END = 1 << 28
-
-_SLICE = "_slice"
-
-
-def slice_of(value: Column) -> Column:
-    """A number that never falls as the value grows; null is the least, NaN the largest."""
-    number = value.cast("double")
-    size = F.abs(number)
-    step = F.floor(F.log2(F.when((size > 0) & (size < float("inf")), size)) * STEPS)
-    step = F.coalesce(step, F.lit(_END)) + _END
-    return (
-        F.when(number.isNull(), -4 * _END)
-        .when(F.isnan(number), 4 * _END)
-        .when(number == 0, 0)
-        .otherwise(F.when(number > 0, step).otherwise(-step))
-        .cast("long")
-    )
+from tickloom.session import shared_dir
+from tickloom.sources.staging import stage, staging
+
+# Rows of a slice, and the most slices of a key.
+SLICE_ROWS = 1 << 20
+MOST_SLICES = 1 << 12
 
+_SLICE, _CUTS = "_slice", "_cuts"
 
-def add_slice(df: DataFrame, order: str) -> DataFrame:
-    return df.withColumn(_SLICE, slice_of(F.col(order)))
 
+def quantile_cuts(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame | None:
+    """Values that cut the large keys into even slices: keys and an ascending list; or None.
 
-def _attach(sliced: DataFrame, carried: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Left join the per-slice rows; both sides have at most one slice per task."""
-    right = carried.select(
-        *[F.col(k).alias(f"_r_{k}") for k in [*keys, _SLICE]],
-        *[c for c in carried.columns if c not in (*keys, _SLICE)],
+    There are no more large keys than ``SLICE_ROWS`` goes into the number of rows.
+    """
+    spark = df.sparkSession
+    with staging(spark) as put:
+        counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+        large = put(counted.where(F.col("_rows") > SLICE_ROWS), "large-keys")
+        most = large.agg(F.max("_rows")).first()[0]
+        if most is None:
+            return None
+        slices = min(MOST_SLICES, math.ceil(most / SLICE_ROWS))
+        shares = F.array(*[F.lit(i / slices) for i in range(1, slices)])
+        rows = _same(df.select(*keys, order), large.drop("_rows"), keys, "left_semi")
+        cuts = F.percentile_approx(order, shares, F.lit(10 * slices))
+        found = rows.groupBy(*keys).agg(F.sort_array(F.array_distinct(cuts)).alias(_CUTS))
+        return stage(found, shared_dir(spark, "cuts"))
+
+
+def slice_number(cuts: Column, value: Column) -> Column:
+    """How many cuts are not above a value; 0 without cuts. Looks at blocks of cuts first."""
+    block = max(2, math.isqrt(MOST_SLICES))
+
+    def passed(some: Column) -> Column:
+        return F.size(F.filter(some, lambda cut: cut <= value))
+
+    blocks = F.ceil(F.size(cuts) / block).cast("int")
+    # The first cut of each block; those not above the value, but the last, are passed whole.
+    heads = F.transform(F.sequence(F.lit(0), blocks - 1), lambda i: F.get(cuts, i * block))
+    whole = F.greatest(passed(heads) - 1, F.lit(0)) * block
+    number = whole + passed(F.slice(cuts, whole + 1, block))
+    return F.when(F.size(cuts) > 0, number).otherwise(0).cast("long")
+
+
+def divide(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame | None:
+    """The rows with the number of their slice; None if no key needs more than one."""
+    cuts = quantile_cuts(df, keys, order)
+    if cuts is None:
+        return None
+    joined = _same(df, cuts, keys, "left")
+    return joined.withColumn(_SLICE, slice_number(F.col(_CUTS), F.col(order))).drop(_CUTS)
+
+
+def _same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Join on equal keys, in which nulls are equal; the right keys go."""
+    named = right.select(
+        *[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys]
     )
     condition = None
-    for k in [*keys, _SLICE]:
+    for k in keys:
         part = F.col(k).eqNullSafe(F.col(f"_r_{k}"))
         condition = part if condition is None else condition & part
-    return sliced.join(right, condition, "left").drop(*[f"_r_{k}" for k in [*keys, _SLICE]])
+    return left.join(named, condition, how).drop(*[f"_r_{k}" for k in keys])
 
 
 def running_sum(
     df: DataFrame, keys: Sequence[str], order: str, value: Column, name: str
 ) -> DataFrame:
     """Sum over the rows of the key up to and including this one."""
-    sliced = add_slice(df, order)
+    sliced = divide(df, keys, order)
+    if sliced is None:
+        upto = Window.partitionBy(*keys).orderBy(order)
+        upto = upto.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.withColumn(name, F.sum(value).over(upto))
     totals = sliced.groupBy(*keys, _SLICE).agg(F.sum(value).alias("_total"))
     before = Window.partitionBy(*keys).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select(*keys, _SLICE, F.sum("_total").over(before).alias("_before"))
@@ -68,7 +101,8 @@ def running_sum(
         .orderBy(order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    joined = _attach(sliced.withColumn("_local", F.sum(value).over(local)), carried, keys)
+    here = sliced.withColumn("_local", F.sum(value).over(local))
+    joined = _same(here, carried, [*keys, _SLICE], "left")
     here, earlier = F.col("_local"), F.col("_before")
     done = joined.withColumn(name, F.coalesce(here + earlier, here, earlier))
     return done.drop(_SLICE, "_local", "_before")
@@ -91,7 +125,13 @@ def previous(
 
     With ``position_name`` also the 1-based position, at no further shuffle.
     """
-    sliced = add_slice(df, order)
+    sliced = divide(df, keys, order)
+    if sliced is None:
+        by_order = Window.partitionBy(*keys).orderBy(order)
+        done = df.withColumn(name, F.lag(value).over(by_order))
+        if position_name:
+            done = done.withColumn(position_name, F.row_number().over(by_order).cast("long"))
+        return done
     last = sliced.groupBy(*keys, _SLICE).agg(
         F.max_by(F.struct(F.col(value).alias("v")), F.col(order)).alias("_last"),
         F.count(F.lit(1)).alias("_rows"),
@@ -108,11 +148,11 @@ def previous(
     columns = {"_prev": F.lag(F.struct(F.col(value).alias("v"))).over(local)}
     if position_name:
         columns["_at"] = F.row_number().over(local).cast("long")
-    joined = _attach(sliced.withColumns(columns), carried, keys)
+    joined = _same(sliced.withColumns(columns), carried, [*keys, _SLICE], "left")
     done = joined.withColumn(name, F.coalesce(F.col("_prev"), F.col("_carried"))["v"])
     if position_name:
         done = done.withColumn(position_name, F.col("_at") + F.col("_offset"))
     return done.drop("_prev", "_carried", "_offset", "_at", _SLICE)
 
 
-__all__ = ["add_slice", "position", "previous", "running_sum", "slice_of"]
+__all__ = ["divide", "position", "previous", "quantile_cuts", "running_sum", "slice_number"]
