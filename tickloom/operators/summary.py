@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.schemas import CANDLE, FUNDING, RecordKind
+from tickloom.sources.catalogue import known_datasets
 from tickloom.sources.layout import folder, path_exists, stored_schema
 from tickloom.sources.store import list_files
 
@@ -35,7 +36,8 @@ def dataset_rows(df: DataFrame, kind: RecordKind) -> DataFrame:
 def dataset_summary(spark: SparkSession, root: str) -> DataFrame:
     """``(type, exchange, symbol, timeframe, files, rows)`` of the whole store.
 
-    The scan reads key columns only, and an unreadable file does not fail the others: files
+    It comes from the catalogue that the writes keep. Where that does not cover the files
+    that are there, the store is counted: the scan reads key columns only, and an unreadable file does not fail the others: files
     that give no row are counted with 0 rows, under what their folders tell about them.
     Counting per file first keeps the shuffle at one row per dataset and file.
     """
@@ -44,6 +46,10 @@ def dataset_summary(spark: SparkSession, root: str) -> DataFrame:
         base = folder(root, kind)
         if not path_exists(spark, base):
             continue
+        known = known_datasets(spark, root, kind)
+        if known is not None:
+            parts.append(known.select(F.lit(kind.name).alias("type"), *known.columns))
+            continue
         stored = (
             spark.read.schema(stored_schema(kind)).option("ignoreCorruptFiles", True).parquet(base)
         )

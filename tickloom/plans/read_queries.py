@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.operators import charts, coverage, select, summary
+from tickloom.operators import charts, coverage, merge, select, summary
 from tickloom.operators.cast import display_strings, result_strings, schema_align, typed_cast
 from tickloom.plans import views
 from tickloom.plans.catalog import (
@@ -18,6 +18,7 @@ from tickloom.plans.catalog import (
 from tickloom.plans.sql import raw_sql
 from tickloom.schemas import CANDLE, CANDLE_FIELDS, FUNDING, FUNDING_FIELDS
 from tickloom.session import shared_dir
+from tickloom.sources import catalogue, sinks
 from tickloom.sources import store as files
 from tickloom.sources.layout import SYMBOL_DAY, folder
 from tickloom.sources.sinks import upsert
@@ -425,6 +426,27 @@ def dataset_summary(spark, sf_dir):
     return summary.dataset_summary(spark, store(spark, sf_dir))
 
 
+@query(
+    "catalogue_after_writes",
+    f"{_DATASET_FILES.replace('candles_raw', 'merged')}",
+    ("candles_raw", "funding_raw", "merged"),
+)
+def catalogue_after_writes(spark, sf_dir):
+    """Datasets as the catalogue knows them after a merge of both strategies."""
+    root = shared_dir(spark, "catalogued")
+    sinks.write_candles(views.candles_raw(spark, sf_dir), root)
+    incoming = views.candles_incoming(spark, sf_dir)
+    even = F.substring("timestamp", 9, 2).cast("int") % 2 == 0
+    sinks.write_candles(incoming.where(even), root)
+    sinks.write_candles(incoming.where(~even), root, strategy=merge.CHANGES)
+    sinks.write_funding(views.funding_raw(spark, sf_dir), root)
+    parts = [
+        catalogue.known_datasets(spark, root, kind).withColumn("type", F.lit(kind.name))
+        for kind in (CANDLE, FUNDING)
+    ]
+    return parts[0].unionByName(parts[1])
+
+
 @query(
     "list_datasets",
     """
@@ -435,7 +457,7 @@ SELECT DISTINCT 'funding_rate', concat(exchange, '/', symbol, '/funding_rate') F
     ("candles_raw", "funding_raw"),
 )
 def list_datasets(spark, sf_dir):
-    return summary.list_datasets(files.discover_datasets(spark, store(spark, sf_dir)))
+    return summary.list_datasets(summary.dataset_summary(spark, store(spark, sf_dir)))
 
 
 def _stat(name: str, decimal: bool) -> str:
@@ -481,7 +503,7 @@ UNION ALL SELECT DISTINCT 'timeframe', timeframe FROM candles_raw
     ("candles_raw",),
 )
 def facet_values(spark, sf_dir):
-    found = files.discover_datasets(spark, store(spark, sf_dir))
+    found = summary.dataset_summary(spark, store(spark, sf_dir))
     datasets = found.where(F.col("type") == "candle")
     return select.facet_values(datasets, "view", "S1/USDT")
 

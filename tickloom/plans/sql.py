@@ -134,10 +134,13 @@ def raw_sql(
     """SQL over ``candles``, ``funding_rates`` and ``dataset_summary`` of a store."""
 
     def views(session: SparkSession) -> dict[str, DataFrame]:
-        return {
+        found = {
             "candles": scan(session, root, CANDLE),
             "funding_rates": scan(session, root, FUNDING),
-            "dataset_summary": dataset_summary(session, root),
         }
+        # The summary lists the store's files, which is not worth it for other statements.
+        if "dataset_summary" in sql.lower():
+            found["dataset_summary"] = dataset_summary(session, root)
+        return found
 
     return raw_sql_over(spark, sql, views, limit)

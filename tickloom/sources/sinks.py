@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ from tickloom.operators.merge import (
 )
 from tickloom.schemas import CANDLE, FUNDING, RecordKind
 from tickloom.session import shared_dir
+from tickloom.sources.catalogue import catalogued_write
 from tickloom.sources.layout import (
     MARKET_DAY,
     Layout,
@@ -44,23 +47,40 @@ def stored_in_touched(
     return _stored_in(touched_partitions(batch, kind, layout), root, kind, layout)
 
 
-def _stored_in(
+def _near(
     touched: DataFrame, root: str, kind: RecordKind, layout: Layout
-) -> tuple[DataFrame | None, bool]:
-    spark = touched.sparkSession
-    columns = layout.partitions(kind)
+) -> Callable[[], DataFrame | None] | None:
+    """A function that scans the store from the first to the last touched partition.
+
+    None if nothing is touched. The function returns None while there is no store.
+    """
+    spark, columns = touched.sparkSession, layout.partitions(kind)
     bounds = touched.agg(
         *[f(c).alias(f"{name}_{c}") for c in columns for f, name in ((F.min, "min"), (F.max, "max"))]
     ).first()
     if all(value is None for value in bounds):
-        return None, False
-    if not path_exists(spark, folder(root, kind)):
-        return None, True
-    rows = scan(spark, root, kind)
-    for c in columns:
-        if bounds[f"min_{c}"] is not None:
-            rows = rows.where(F.col(c).between(bounds[f"min_{c}"], bounds[f"max_{c}"]))
-    return rows.join(touched, list(columns), "left_semi"), True
+        return None
+
+    def near() -> DataFrame | None:
+        if not path_exists(spark, folder(root, kind)):
+            return None
+        rows = scan(spark, root, kind)
+        for c in columns:
+            if bounds[f"min_{c}"] is not None:
+                rows = rows.where(F.col(c).between(bounds[f"min_{c}"], bounds[f"max_{c}"]))
+        return rows
+
+    return near
+
+
+def _stored_in(
+    touched: DataFrame, root: str, kind: RecordKind, layout: Layout
+) -> tuple[DataFrame | None, bool]:
+    near = _near(touched, root, kind, layout)
+    rows = near() if near else None
+    if rows is None:
+        return None, near is not None
+    return rows.join(touched, list(layout.partitions(kind)), "left_semi"), True
 
 
 def write_partitions(rows: DataFrame, root: str, kind: RecordKind, layout: Layout) -> None:
@@ -113,31 +133,38 @@ def upsert(
             incoming = put(incoming, "incoming")
         # The result outlives the staged batch.
         touched = stage(touched_partitions(incoming, kind, layout), shared_dir(spark, "touched"))
-        existing, touched_any = _stored_in(touched, root, kind, layout)
-        if not touched_any:
-            return touched
-        if existing is None:
-            write_partitions(incoming, root, kind, layout)
+        near = _near(touched, root, kind, layout)
+        if near is None:
             return touched
-        key = list(kind.key)
-        if strategy == UPSERT:
-            merged = upsert_merge(existing, incoming, key, incoming_unique)
-            write_partitions(merged, root, kind, layout)
+        key, columns = list(kind.key), list(layout.partitions(kind))
+        rows = near()
+        existing = None if rows is None else rows.join(touched, columns, "left_semi")
+        if existing is None or strategy == UPSERT:
+            merged = incoming
+            if existing is not None:
+                merged = upsert_merge(existing, incoming, key, incoming_unique)
+            with catalogued_write(near, root, kind, touched, columns):
+                write_partitions(merged, root, kind, layout)
             return touched
         # Written before the store changes: nothing is computed from it again.
         classified = put(classify_changes(existing, incoming, key), "classified")
-        return _write_changes(classified, root, kind, layout)
+        return _write_changes(classified, near, root, kind, layout)
 
 
 def _write_changes(
-    classified: DataFrame, root: str, kind: RecordKind, layout: Layout
+    classified: DataFrame,
+    near: Callable[[], DataFrame | None],
+    root: str,
+    kind: RecordKind,
+    layout: Layout,
 ) -> DataFrame:
-    columns = list(layout.partitions(kind))
+    spark, columns = classified.sparkSession, list(layout.partitions(kind))
     names = classified.where(F.col("action").isin(INSERT, UPDATE)).select(*columns).distinct()
-    changed = stage(names, shared_dir(names.sparkSession, "changed"))
+    changed = stage(names, shared_dir(spark, "changed"))
     if not changed.isEmpty():
         rows = classified.join(changed, columns, "left_semi")
-        write_partitions(rows.drop("action"), root, kind, layout)
+        with catalogued_write(near, root, kind, changed, columns):
+            write_partitions(rows.drop("action"), root, kind, layout)
     return changed
 
 
