@@ -482,3 +482,60 @@ def test_written_tables_are_removed(spark, tmp_path):
     validated_ingest(candles(spark, {}), str(tmp_path / "store"), CANDLE)
     left = {n.rsplit("-", 1)[0] for n in set(os.listdir(folder_of)) - before}
     assert left <= {"touched"}
+
+
+@pytest.mark.parametrize("order", ["ASC", "DESC"])
+def test_deep_pages(spark, monkeypatch, order):
+    monkeypatch.setattr(select, "TOP_ROWS", 40)
+    monkeypatch.setattr(select, "RANGES", 8)
+    # A third of the rows have one time, and times are uneven.
+    hour = F.when(F.col("id") % 3 == 0, 5_000).otherwise(F.col("id") * F.col("id") % 7_919)
+    rows = spark.range(700).select(
+        F.timestamp_seconds(F.lit(1_704_067_200) + hour * 60).cast("timestamp_ntz").alias("timestamp"),
+        F.format_string("S%03d", F.col("id")).alias("symbol"),
+    )
+    rows = rows.withColumn("date", F.date_format("timestamp", "yyyy-MM-dd"))
+    whole = rows.orderBy(*select.time_order(rows, order)).collect()
+    for number, size in ((1, 20), (3, 20), (7, 50), (14, 50), (15, 50), (70, 10), (71, 10), (2, 350)):
+        got = select.page(rows, number, size, order).collect()
+        assert got == whole[(number - 1) * size : number * size], (number, size)
+    assert select.page(rows.limit(0), 9, 10, order).count() == 0
+
+
+@pytest.mark.parametrize("layout", [MARKET_DAY, SYMBOL_DAY])
+def test_a_read_lists_what_is_asked(spark, tmp_path, layout):
+    root = str(tmp_path)
+    rows = [
+        {"exchange": e, "symbol": s, "timestamp": f"2024-01-{d:02d}T0{h}:00:00"}
+        for e in ("x", "y") for s in ("BTC/USDT", "ETH") for d in range(1, 13) for h in (1, 2)
+    ]
+    sinks.write_candles(candles(spark, *rows), root, layout=layout)
+    everything = store.scan_candles(spark, root)
+    base = folder(root, CANDLE)
+    for asked in (
+        {"exchange": "x", "symbol": "BTC/USDT", "timeframe": "1h", "start": "2024-01-05", "end": "2024-01-05T02:00:00"},
+        {"exchange": "y", "start": "2024-01-11"},
+        {"symbol": "ETH", "end": "2024-01-02T01:30:00"},
+        {"exchange": "none"}, {"timeframe": "4h"}, {},
+    ):
+        wanted = store.Asked.of(**asked)
+        read = store.scan(spark, root, CANDLE, wanted)
+        got = select.get_candles(read, **asked, limit=1000).collect()
+        assert got == select.get_candles(everything, **asked, limit=1000).collect(), asked
+        folders = store.asked_folders(spark, base, wanted)
+        if "exchange" in asked and asked["exchange"] == "x":
+            assert len(folders) == 1 and "date=2024-01-05" in folders[0]
+            assert len(read.inputFiles()) == 1
+        if asked.get("exchange") == "none":
+            assert folders == []
+
+
+def test_wide_levels_are_left_to_spark(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "MOST_FOLDERS", 3)
+    root = str(tmp_path)
+    rows = [{"timestamp": f"2024-01-{d:02d}T01:00:00"} for d in range(1, 9)]
+    sinks.write_candles(candles(spark, *rows), root)
+    asked = store.Asked.of(exchange="x", start="2024-01-02")
+    assert len(store.asked_folders(spark, folder(root, CANDLE), asked)) == 1
+    read = store.scan(spark, root, CANDLE, asked)
+    assert select.filter_time_range(read, "2024-01-02").count() == 7

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.times import bound_literal, check_bound
+from tickloom.operators.ordered import slice_number
 
 # Time order is not unique, so these decide among rows with the same time.
 TIE_BREAKERS = ("exchange", "symbol", "timeframe", "source")
@@ -15,6 +16,8 @@ ORDERS = ("ASC", "DESC")
 DEFAULT_LIMIT = 100
 # Most rows that one typed read returns.
 LARGEST_LIMIT = 10_000
+# Pages among so many rows are taken from the top; further down ranges of time are counted.
+TOP_ROWS, RANGES = 100_000, 256
 
 
 def filter_exchange(df: DataFrame, exchange: str | None) -> DataFrame:
@@ -115,10 +118,54 @@ def newest_per(df: DataFrame, keys: Sequence[str], oldest: bool = False) -> Data
 
 
 def page(df: DataFrame, number: int, size: int, order: str = "DESC") -> DataFrame:
-    """Rows of a 1-based page in time order."""
+    """Rows of a 1-based page in time order.
+
+    Pages among the first ``TOP_ROWS`` rows are taken from the top. For one further down, rows
+    are counted per range of time, the ranges being cut at quantiles, and again inside the
+    ranges that hold the page, until these have few rows; only they are ordered. So no
+    task sees the rows of earlier pages, whatever the page's number.
+    """
     if number < 1 or size < 1:
         raise ValueError("page number and size start at 1")
-    return df.orderBy(*time_order(df, order)).offset((number - 1) * size).limit(size)
+    skipped = (number - 1) * size
+    if skipped + size > TOP_ROWS:
+        df, skipped = around_page(df, skipped, size, order == "DESC")
+    return df.orderBy(*time_order(df, order)).offset(skipped).limit(size)
+
+
+def around_page(
+    df: DataFrame, skipped: int, size: int, descending: bool
+) -> tuple[DataFrame, int]:
+    """Rows of the times of a page, and how many of them come before it.
+
+    Rows without a time have no page here. The driver sees ``RANGES`` counts a round.
+    """
+    rows = df.where(F.col("timestamp").isNotNull())
+    while True:
+        micros = F.unix_micros(F.col("timestamp").cast("timestamp"))
+        times = rows.select("timestamp", micros.alias("_t"))
+        shares = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
+        cuts = times.agg(F.percentile_approx("_t", shares, F.lit(10 * RANGES))).first()[0]
+        cuts = F.array(*[F.lit(c) for c in sorted(set(cuts or ()))]).cast("array<bigint>")
+        counts = times.groupBy(slice_number(cuts, F.col("_t")).alias("_range")).agg(
+            F.count(F.lit(1)).alias("n"), F.min("timestamp").alias("low"), F.max("timestamp").alias("high")
+        )
+        before, kept = 0, []
+        ranges = counts.collect()
+        for found in sorted(ranges, key=lambda r: r["low"], reverse=descending):
+            if before < skipped + size and before + found["n"] > skipped:
+                kept.append((before, found))
+            before += found["n"]
+        if not kept:
+            return rows.limit(0), 0
+        skipped -= kept[0][0]
+        low, high = min(r["low"] for _, r in kept), max(r["high"] for _, r in kept)
+        rows = rows.where(F.col("timestamp").between(low, high))
+        if "date" in df.columns:
+            days = [t.strftime("%Y-%m-%d") for t in (low, high)]
+            rows = rows.where(F.col("date").between(*days))
+        if len(kept) == len(ranges) or sum(r["n"] for _, r in kept) <= TOP_ROWS:
+            return rows, skipped
 
 
 def page_after(

@@ -317,6 +317,22 @@ def largest_dataset(spark, sf_dir):
     return _text(charts.largest_dataset(_candles(spark, sf_dir)))
 
 
+@query(
+    "read_asked_days",
+    f"""
+SELECT {CANDLE_TEXT} FROM candles WHERE exchange = 'view' AND timeframe = '1h'
+  AND timestamp >= TIMESTAMP '2024-01-05 00:00:00' AND timestamp < TIMESTAMP '2024-01-08 12:00:00'""",
+    ("candles",),
+)
+def read_asked_days(spark, sf_dir):
+    """Some days of a market, from their folders alone."""
+    bounds = {"start": "2024-01-05", "end": "2024-01-08T12:00:00"}
+    asked = files.Asked.of(exchange="view", timeframe="1h", **bounds)
+    rows = files.scan(spark, store(spark, sf_dir), CANDLE, asked)
+    rows = select.filter_timeframe(select.filter_exchange(rows, "view"), "1h")
+    return _text(select.filter_time_range(rows, **bounds))
+
+
 # --- ordering and paging ---------------------------------------------------------
 
 
@@ -377,6 +393,23 @@ def page(spark, sf_dir):
     return _text(select.page(_candles(spark, sf_dir), 3, 50))
 
 
+@query(
+    "deep_page",
+    f"""
+SELECT {CANDLE_TEXT} FROM (
+  SELECT *, row_number() OVER (ORDER BY timestamp DESC, exchange, symbol, timeframe, source) AS pos,
+    count(*) OVER () AS n FROM candles) t
+WHERE (pos - 1) // greatest(1, n // 7) = 4""",
+    ("candles",),
+)
+def deep_page(spark, sf_dir):
+    """The fifth of pages that hold a seventh of all rows, found by counting ranges of time."""
+    rows = _candles(spark, sf_dir)
+    size = max(1, rows.count() // 7)
+    around, skipped = select.around_page(rows, 4 * size, size, descending=True)
+    return _text(around.orderBy(*select.time_order(around)).offset(skipped).limit(size))
+
+
 @query(
     "page_after",
     f"""

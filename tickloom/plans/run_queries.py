@@ -323,7 +323,7 @@ FROM (
 
 @query(
     "rule_changes",
-    f"WITH outcomes AS ({_outcomes(_DEFAULT)}) {_RULE_CHANGES}",
+    f"WITH outcomes AS MATERIALIZED ({_outcomes(_DEFAULT)}) {_RULE_CHANGES}",
     ("run_totals", "run_pairs"),
 )
 def rule_changes(spark, sf_dir):
@@ -334,7 +334,7 @@ def rule_changes(spark, sf_dir):
 @query(
     "final_verdict",
     f"""
-WITH outcomes AS ({_outcomes(_DEFAULT)}),
+WITH outcomes AS MATERIALIZED ({_outcomes(_DEFAULT)}),
 verdicts AS (SELECT pair_id, verdict FROM ({_CHANGES}) m
   UNION ALL SELECT pair_id, verdict FROM ({_RULE_CHANGES}) r)
 SELECT pair_id, CASE MAX({_SEVERITY.format('verdict')}) WHEN 2 THEN 'FAIL' WHEN 1 THEN 'WARN'
@@ -490,7 +490,7 @@ def logged_compare(spark, sf_dir):
 
 @query(
     "logged_rule_changes",
-    f"WITH outcomes AS ({_outcomes(_RATINGS)}) {_RULE_CHANGES}",
+    f"WITH outcomes AS MATERIALIZED ({_outcomes(_RATINGS)}) {_RULE_CHANGES}",
     ("run_totals", "run_pairs"),
 )
 def logged_rule_changes(spark, sf_dir):

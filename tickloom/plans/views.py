@@ -450,6 +450,10 @@ _NEEDS = {
 }
 
 
+# Views that statements use many times, each of which would compute them anew.
+_SHARED = ("run_stages", "run_totals")
+
+
 def sql_over(views: tuple[str, ...], body: str) -> str:
     """A complete statement: the views it needs as CTEs, then the body."""
     ordered: list[str] = []
@@ -464,7 +468,10 @@ def sql_over(views: tuple[str, ...], body: str) -> str:
         add(view)
     if not ordered:
         return body.strip()
-    ctes = ",\n".join(f"{name} AS ({SQL_VIEWS[name].strip()})" for name in ordered)
+    ctes = ",\n".join(
+        f"{name} AS {'MATERIALIZED ' if name in _SHARED else ''}({SQL_VIEWS[name].strip()})"
+        for name in ordered
+    )
     body = body.strip()
     if body.upper().startswith("WITH "):
         return f"WITH {ctes},\n{body[5:]}"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from urllib.parse import unquote, urlparse
 
 import pandas as pd
@@ -15,12 +16,103 @@ from tickloom.schemas import CANDLE, FUNDING, RecordKind
 from tickloom.sources.layout import DATE, MARKET_DAY, Layout, folder, path_exists, stored_schema
 
 
-def scan(spark: SparkSession, root: str, kind: RecordKind) -> DataFrame:
-    """All stored rows of a kind, with the ``date`` partition column; empty if none."""
+# Folders of one level that a pruned read names at most; above, Spark lists what is below.
+MOST_FOLDERS = 10_000
+
+
+@dataclass(frozen=True)
+class Asked:
+    """What a read asks for: null bounds mean everything. Days are the first and the last."""
+
+    exchange: str | None = None
+    symbol: str | None = None
+    timeframe: str | None = None
+    first_day: str | None = None
+    last_day: str | None = None
+
+    @staticmethod
+    def of(
+        exchange: str | None = None,
+        symbol: str | None = None,
+        timeframe: str | None = None,
+        start: str | None = None,
+        end: str | None = None,
+    ) -> Asked:
+        """From the arguments of a typed read, with ``start <= time < end``."""
+        days = [check_bound(t, n)[:10] if t else None for t, n in ((start, "start"), (end, "end"))]
+        return Asked(exchange or None, symbol or None, timeframe or None, *days)
+
+    def exact(self, column: str) -> str | None:
+        return getattr(self, column) if column in ("exchange", "symbol", "timeframe") else None
+
+    def holds(self, column: str, value: str) -> bool:
+        if column != DATE:
+            return self.exact(column) in (None, value)
+        return (self.first_day or value) <= value <= (self.last_day or value)
+
+
+def asked_folders(spark: SparkSession, base: str, asked: Asked) -> list[str]:
+    """The folders below ``base`` that can hold what is asked for.
+
+    Level by level, only folders that match are looked into: a named exchange, symbol or
+    timeframe is one folder, which is not even listed among its neighbours. A level with more than
+    ``MOST_FOLDERS`` matching folders is left to Spark, whose partition filters cut it.
+    """
+    jvm = spark._jvm
+    top = jvm.org.apache.hadoop.fs.Path(base)
+    files = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    escape = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    unescape = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+
+    def children(path, column: str | None):
+        """The partition folders of a folder, one by one."""
+        entries = files.listStatusIterator(path)
+        while entries.hasNext():
+            entry = entries.next()
+            name = entry.getPath().getName()
+            if entry.isDirectory() and "=" in name and (column is None or name.startswith(f"{column}=")):
+                yield name
+
+    level = [top]
+    while True:
+        found = []
+        for path in level:
+            first = next(children(path, None), None)
+            if first is None:
+                # Below are files.
+                return [p.toString() for p in level]
+            column = unescape(first.split("=", 1)[0])
+            exact = asked.exact(column)
+            if exact is not None:
+                child = jvm.org.apache.hadoop.fs.Path(path, f"{column}={escape(exact)}")
+                found += [child] if files.exists(child) else []
+                continue
+            for name in children(path, column):
+                if asked.holds(column, unescape(name.split("=", 1)[1])):
+                    found.append(jvm.org.apache.hadoop.fs.Path(path, name))
+                if len(found) > MOST_FOLDERS:
+                    return [p.toString() for p in level]
+        level = found
+        if not level:
+            return []
+
+
+def scan(
+    spark: SparkSession, root: str, kind: RecordKind, asked: Asked | None = None
+) -> DataFrame:
+    """All stored rows of a kind, with the ``date`` partition column; empty if none.
+
+    With ``asked`` the read lists the folders that can hold it, whatever else the store has; rows
+    in them that were not asked for are left to filters.
+    """
     base, schema = folder(root, kind), stored_schema(kind)
     if not path_exists(spark, base):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(base).select(*schema.names)
+    paths = asked_folders(spark, base, asked) if asked else [base]
+    if not paths:
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(schema).option("basePath", base).parquet(*paths)
+    return rows.select(*schema.names)
 
 
 def scan_candles(spark: SparkSession, root: str) -> DataFrame:
@@ -213,6 +305,8 @@ def file_footers(spark: SparkSession, root: str) -> DataFrame:
 
 
 __all__ = [
+    "Asked",
+    "asked_folders",
     "MARKET_DAY",
     "Layout",
     "dataset_of_path",
