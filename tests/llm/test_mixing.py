@@ -109,3 +109,24 @@ def test_rare_lengths_share_a_large_rest():
     assert sum(g * x for g, x in zip(got, lengths)) == size // 2
     short = sum(g * x for g, x in zip(got, lengths) if x <= 325)
     assert short >= 0.25 * sum(range(326))
+
+
+@pytest.mark.parametrize("most", [300, 900])
+def test_one_document_of_each_length_gives_even_bands(most):
+    """Some 45,000 and 400,000 words: every band of lengths gives about its half."""
+    lengths = list(range(most, 0, -1))
+    size = sum(lengths)
+    shares = []
+    for seed in range(8):
+        got = mixing.fit(lengths, [1] * most, size // 2, size, f"{seed}")
+        assert sum(g * x for g, x in zip(got, lengths)) == size // 2
+        bands = [got[k * most // 5 : (k + 1) * most // 5] for k in range(5)]
+        shares.append([sum(b) / len(b) for b in bands])
+    for band in zip(*shares):
+        assert 0.35 < sum(band) / len(band) < 0.65
+
+
+def test_very_long_texts(spark):
+    rows = [(1, "w " * 300_000, "a"), (2, "w " * 100_001, "a"), (3, "w" * 2_000_000, "a"), (4, "w " * 7, "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    check(rows, mixing.mix_table(docs).collect())

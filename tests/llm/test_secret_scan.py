@@ -72,6 +72,14 @@ def test_owners_tell_examples_from_live_values(spark, monkeypatch):
     assert all((got[i].n_live, got[i].n_example) == (0, 1) for i in range(40))
     assert all((got[i].n_live, got[i].n_example) == (1, 0) for i in (40, 41))
     assert all(got[i].spans == "owned:0:27" for i in (42, 43, 44))
+    # However many repositories an owner has it in.
     many = docs.withColumn("lang", F.col("doc_id").cast("string"))
     got = {r.doc_id: r for r in secret_scan.secret_table(many).collect()}
-    assert all(got[i].spans == "" for i in (42, 43, 44))
+    assert all(got[i].spans == "owned:0:27" for i in (42, 43, 44))
+    # Two owners are few enough, three are not: one rule for base and added spans.
+    for owners, spans, live in ((2, "owned:0:27", 1), (3, "", 0)):
+        spread = docs.withColumn(
+            "source", F.when(F.col("doc_id") >= 42, (F.col("doc_id") % owners).cast("string"))
+        )
+        got = {r.doc_id: r for r in secret_scan.secret_table(spread).collect()}
+        assert all((got[i].spans, got[i].n_live) == (spans, live) for i in (42, 43, 44))

@@ -2,12 +2,14 @@
 
 Each source gets a share of the budget by its weight, at most ``EPOCHS`` times its size;
 what exceeds that is shared again among the others. A source is taken whole as often as
-it fits into its target. For the rest, documents are counted by their exact length, every
-length gives its proportional number of documents, and a seeded draw over all lengths, with
-what their proportional numbers were rounded down by as chances, brings a large rest down to
-``FILL`` words. Bounded-knapsack dynamic programming over the counts that are left fills the remaining budget to the word, or as
-near below it as lengths allow. Which documents of a length are taken is decided by a
-seeded hash of id and text.
+it fits into its target. For the rest, documents are counted by their exact length, and every
+length gives its proportional number of documents. What these numbers were rounded down by
+are the lengths' chances in a seeded order. One more document of each length is taken in
+this order while more than ``FILL`` words are missing; then bounded-knapsack dynamic programming
+over the counts that are left, in the same order, fills the remaining budget to the word, or
+as near below it as lengths allow. So which lengths are mixed depends on the seed at any
+size of the source. Which documents of a length are taken is decided by a seeded hash of id
+and text.
 
 Null sources form one source, last in order; null text has no words. Rows without a word
 are neither needed nor in the way: they are taken as often as their whole source. Rows
@@ -75,43 +77,48 @@ def targets(totals: DataFrame, weights: Sequence[float], share: float, epochs: i
     )
 
 
-def fill(lengths: list[int], spare: list[int], budget: int) -> list[int]:
+def fill(
+    lengths: list[int], spare: list[int], budget: int, order: list[int] | None = None
+) -> list[int]:
     """How many documents of each length to take so that they sum up to the budget.
 
-    Lengths descend. Long budgets are first brought down to ``FILL`` words from the longest
-    length on; then a table of reachable sums, built from groups of 1, 2, 4... documents
-    of a length, gives the largest sum that is not above the rest.
+    Lengths descend; ``order`` says which come first, all of them one document each, then the
+    others in groups of 1, 2, 4... A table of reachable sums gives the largest one that is
+    not above the budget, and sums are made of what came first. Budgets above twice ``FILL``
+    words are brought down to that many words by whole lengths before.
     """
     import numpy as np
 
+    order = list(range(len(lengths))) if order is None else order
     taken = [0] * len(lengths)
     for keep in (FILL, 0):
         if budget <= 2 * FILL:
             break
-        for i, length in enumerate(lengths):
-            if budget - keep >= length:
-                n = min(spare[i] - taken[i], (budget - keep) // length)
+        for i in order:
+            if budget - keep >= lengths[i]:
+                n = min(spare[i] - taken[i], (budget - keep) // lengths[i])
                 taken[i] += n
-                budget -= n * length
+                budget -= n * lengths[i]
     if budget <= 0 or budget > 2 * FILL:
         return taken
+    left = [min(s - t, budget // length) for s, t, length in zip(spare, taken, lengths, strict=True)]
+    groups = [(i, 1) for i in order if left[i] > 0]
+    for i in order:
+        rest, size = left[i] - 1, 1
+        while rest > 0:
+            groups.append((i, min(size, rest)))
+            rest -= size
+            size *= 2
     # For each sum, the group of documents that reached it first.
     first = np.full(budget + 1, -1, dtype=np.int64)
     reached = np.zeros(budget + 1, dtype=bool)
     reached[0] = True
-    groups: list[tuple[int, int]] = []
-    for i, length in enumerate(lengths):
-        left, size = spare[i] - taken[i], 1
-        left = min(left, budget // length)
-        while left > 0 and not reached[budget]:
-            n = min(size, left)
-            step = n * length
+    for g, (i, n) in enumerate(groups):
+        step = n * lengths[i]
+        if step <= budget:
             fresh = np.flatnonzero(reached[:-step] & ~reached[step:]) + step
-            first[fresh] = len(groups)
+            first[fresh] = g
             reached[fresh] = True
-            groups.append((i, n))
-            left -= n
-            size *= 2
         if reached[budget]:
             break
     total = int(np.flatnonzero(reached)[-1])
@@ -122,37 +129,29 @@ def fill(lengths: list[int], spare: list[int], budget: int) -> list[int]:
     return taken
 
 
-def draw(lengths: list[int], parts: list[int], budget: int, size: int, salt: str) -> list[int]:
-    """One document or none of each length, in all up to ``FILL`` words less than the budget.
-
-    ``parts`` over ``size`` is the chance of a length: lengths are taken in the order of a hash
-    between 0 and 1 over their chance.
-    """
-    order = sorted(
-        (xxhash.xxh64_intdigest(f"{salt} {length}") / (1 << 64) * size / part, i)
+def seeded_order(lengths: list[int], parts: list[int], size: int, salt: str) -> list[int]:
+    """Places of lengths, by a hash between 0 and 1 over the chance of each (a part of size)."""
+    known = [
+        (xxhash.xxh64_intdigest(f"{salt} {length}") / (1 << 64) * size / max(part, 0.5), i)
         for i, (length, part) in enumerate(zip(lengths, parts, strict=True))
-        if part
-    )
-    taken = [0] * len(lengths)
-    for _, i in order:
-        if budget - FILL >= lengths[i]:
-            taken[i] = 1
-            budget -= lengths[i]
-    return taken
+    ]
+    return [i for _, i in sorted(known)]
 
 
 def fit(
     lengths: list[int], counts: list[int], budget: int, size: int, salt: str = f"{SEED}"
 ) -> list[int]:
     """How many documents of each (descending) length make up a part of a source."""
-    base = [c * budget // size for c in counts]
-    left = budget - sum(n * length for n, length in zip(base, lengths, strict=True))
-    if left > 2 * FILL:
-        drawn = draw(lengths, [c * budget % size for c in counts], left, size, salt)
-        base = [n + d for n, d in zip(base, drawn, strict=True)]
-        left -= sum(d * length for d, length in zip(drawn, lengths, strict=True))
-    more = fill(lengths, [c - n for c, n in zip(counts, base, strict=True)], left)
-    return [n + m for n, m in zip(base, more, strict=True)]
+    taken = [c * budget // size for c in counts]
+    left = budget - sum(n * length for n, length in zip(taken, lengths, strict=True))
+    parts = [c * budget % size for c in counts]
+    order = seeded_order(lengths, parts, size, salt)
+    for i in order:
+        if left - FILL >= lengths[i] and parts[i]:
+            taken[i] += 1
+            left -= lengths[i]
+    more = fill(lengths, [c - n for c, n in zip(counts, taken, strict=True)], left, order)
+    return [n + m for n, m in zip(taken, more, strict=True)]
 
 
 def fit_source(part: pd.DataFrame, seed: int = SEED) -> pd.DataFrame:

@@ -4,7 +4,8 @@ Candidates are found in whole texts by patterns of four kinds. The first three m
 base. The hash of every candidate's value is counted over the corpus by distinct
 repositories and owners: a value that many owners have is a widely copied example, one
 that few have looks like a live credential. Candidates of the fourth kind, long mixed
-tokens outside the base spans, become spans only if one owner alone has them.
+tokens outside the base spans, become spans only if fewer than ``EXAMPLE_OWNERS`` owners
+have them. Where two kinds start at one place, the one listed first comes first.
 
 Null text counts as empty; null owners and repositories are one owner and repository of
 their own. Equal rows get equal results. Positions are code points, ends exclusive.
@@ -56,8 +57,6 @@ MIXED = (r"[0-9]", r"[A-Za-z]")
 
 # From so many owners on a value is a widely copied example.
 EXAMPLE_OWNERS = 3
-# Long mixed tokens count if one owner has them in at most so many repositories.
-OWNED_REPOSITORIES = 2
 
 
 def candidates(text: Column, kind: Kind) -> Column:
@@ -162,7 +161,7 @@ def scan(
     judged = spread_join(
         found, written(ownership(found), "ownership"), "value_sha256", "n_rows", ["_row", "start"]
     )
-    own = (F.col("n_owners") == 1) & (F.col("n_repositories") <= OWNED_REPOSITORIES)
+    own = F.col("n_owners") < EXAMPLE_OWNERS
     per_row = (
         judged.where(F.col("_base") | own)
         .groupBy("_row")
@@ -241,7 +240,7 @@ o AS (SELECT value, count(DISTINCT coalesce(owner, '') || (owner IS NULL)) AS n_
              count(DISTINCT (coalesce(owner, '') || (owner IS NULL), repository)) AS n_repositories
       FROM s GROUP BY value),
 j AS (SELECT * FROM s JOIN o USING (value)
-      WHERE rank < {base} OR (n_owners = 1 AND n_repositories <= {OWNED_REPOSITORIES})),
+      WHERE rank < {base} OR n_owners < {EXAMPLE_OWNERS}),
 g AS (SELECT r, {counts},
              string_agg(concat_ws(':', kind, start::BIGINT, "end"::BIGINT), ',' ORDER BY start, rank)
                FILTER (rank < {base}) AS base,
