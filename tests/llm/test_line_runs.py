@@ -6,10 +6,11 @@ import re
 import pytest
 
 from tickloom.llm import line_runs
+from tickloom.operators import ordered
 
 
 def brute(rows, least):
-    """Per distinct (id, text): lines, removed lines, longest shared power of two, kept text."""
+    """Per distinct (id, text): lines, removed lines, longest shared run, kept text."""
     docs = []
     for doc, text in rows:
         if (doc, text or "") not in docs:
@@ -21,17 +22,13 @@ def brute(rows, least):
         suffixes += [(n, worded[k:]) for k in range(len(worded))]
     removed = [set() for _ in docs]
     longest = [0] * len(docs)
-    size = 1
-    while size <= len(suffixes):
-        seen = {}
-        for n, s in suffixes:
-            if len(s) >= size:
-                seen.setdefault(tuple(x for _, x in s[:size]), []).append(n)
-        for places in seen.values():
-            if len(places) > 1:
-                for n in places:
-                    longest[n] = size
-        size *= 2
+    runs = [[x for _, x in s] for _, s in suffixes]
+    for i, (n, _) in enumerate(suffixes):
+        for j, other in enumerate(runs):
+            if i != j:
+                same = next((k for k, (x, y) in enumerate(zip(runs[i], other)) if x != y),
+                            min(len(runs[i]), len(other)))
+                longest[n] = max(longest[n], same)
     first = set()
     for n, s in suffixes:
         if len(s) >= least:
@@ -51,7 +48,7 @@ def found(frame):
     return sorted(((r.doc_id, r.n_lines, r.removed, r.longest, r.kept) for r in frame.collect()), key=str)
 
 
-@pytest.mark.parametrize("least", [2, 3, 4])
+@pytest.mark.parametrize("least", [1, 2, 3, 4])
 def test_random_texts(spark, least):
     pick = random.Random(least)
     parts = ["\n".join(f"l{pick.randrange(30)}" for _ in range(n)) for n in (1, 2, 3, 5, 9, 17)]
@@ -68,8 +65,38 @@ def test_random_texts(spark, least):
 def test_edges(spark):
     rows = [(1, "a\nb", 1), (2, "x\na\nb\ny", 2), (3, "z" * 300_000, 3)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, sid long")
-    got = found(line_runs.remove_copies(docs))
-    assert [(d, r) for d, _, r, _, _ in got] == [(1, []), (2, [1, 2]), (3, [])]
+    for least in (1, 2):
+        got = found(line_runs.remove_copies(docs, least=least))
+        assert [(d, r) for d, _, r, _, _ in got] == [(1, []), (2, [1, 2]), (3, [])]
     assert found(line_runs.remove_copies(docs.limit(0))) == []
     alone = spark.createDataFrame([(1, "a\nb\nc")], "doc_id long, text string")
     assert found(line_runs.remove_copies(alone)) == [(1, 3, [], 0, "a\nb\nc")]
+
+
+def test_single_lines_go_too(spark):
+    rows = [(1, "Accept cookies"), (2, "Accept cookies"), (3, "a\nAccept cookies\n\nb")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(d, r, n) for d, _, r, n, _ in found(line_runs.remove_copies(docs))]
+    assert got == [(1, [], 1), (2, [0], 1), (3, [1], 1)]
+
+
+@pytest.mark.parametrize("rows_of_a_slice", [10, 1 << 20])
+def test_maximal_runs(spark, monkeypatch, rows_of_a_slice):
+    monkeypatch.setattr(ordered, "SLICE_ROWS", rows_of_a_slice)
+    pick = random.Random(9)
+    texts = ["\n".join(pick.choice("abc") for _ in range(pick.randrange(1, 14))) for _ in range(25)]
+    texts += ["x\ny\nz", "q\nx\ny\nz\nx\ny", "only"]
+    docs = list(dict.fromkeys((i, t) for i, t in enumerate(texts)))
+    runs = [(i, k, t.split("\n")[k:]) for i, t in docs for k in range(t.count("\n") + 1)]
+
+    def same(a, b):
+        return next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+    shared = {
+        (i, k): max(same(s, o) for j, m, o in runs if (j, m) != (i, k)) for i, k, s in runs
+    }
+    want = sorted(
+        (i, k, n) for (i, k), n in shared.items() if n and shared.get((i, k - 1), 0) <= n
+    )
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert sorted(tuple(r) for r in line_runs.maximal_runs(frame).collect()) == want

@@ -1,20 +1,25 @@
 """Line dedup with a suffix array over line-ID sequences, by distributed prefix doubling.
 
 Documents in the order of their ids form one long sequence of lines; a suffix starts at
-every line that has a word (others are passed over and always stay). Round by round, the
-suffixes that share their first 1, 2, 4, 8... lines with another one of their length are
-found: a suffix's class at twice the length is the pair of its class and of the class that
-many lines further on. A class is named by its first suffix, which sorts classes and shows at
-once who is a later copy. Each class is an interval of the suffix array whose members
-have that many lines in common; a suffix whose interval has no other member leaves, so
-rounds soon work on repeated runs alone and end when no interval is left.
-
-Runs of at least ``LEAST`` lines of a document that also start earlier are deleted: all
-lines in them go, the first copy stays. Copies may overlap, and a run never crosses from
-one document into the next.
+every line that has a word (others are passed over and always stay) and ends with its document.
+
+* Doubling. Suffixes with equal first lines are a class (``head``, its first suffix). A place
+  ``pos`` in it orders suffixes by their first 1, 2, 4, 8... lines: a class of equal places
+  is divided by the places that many lines further on, and each part moves up by the
+  number of suffixes in the parts before it. Parts of one suffix, and suffixes that have ended,
+  are final; rounds work on the others alone and end when there are none.
+* Suffix array and LCP. Final places, ties by suffix, order the suffixes of a head. Neighbours
+  are compared by the classes of all rounds, the longest first, which gives the number of
+  lines they have in common: their LCP. The larger one with either neighbour is the length of
+  the longest run that starts at a suffix and also anywhere else.
+* Maximal runs. An interval of the suffix array with this LCP is a repeated run; it is maximal
+  if the suffix before is not in a longer one. Runs of at least ``LEAST`` lines that also
+  start earlier are deleted: all lines in them go, the first copy stays. Copies may overlap,
+  and a run never crosses from one document into the next.
 
 Null text counts as empty, which is one empty line; null ids come last. Rows equal in id
-and text are one document and share its result. An empty table gives an empty table.
+and text are one document and share its result. Texts of any length are read whole. An empty
+table gives an empty table. Input columns are chosen by name, others may have any name.
 """
 
 from __future__ import annotations
@@ -26,10 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.support import whole, written
+from tickloom.operators.ordered import position, previous, running_sum
 
 # Shortest run of lines that counts as copied.
-LEAST = 2
+LEAST = 1
 LAST_ID = (1 << 63) - 1
+# Puts the head and the place of a suffix into one number, in their order.
+_PLACES = 1 << 62
 
 
 def suffixes(docs: DataFrame, row_id: str, text: str) -> DataFrame:
@@ -66,62 +74,148 @@ def suffixes(docs: DataFrame, row_id: str, text: str) -> DataFrame:
     )
 
 
-def named(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows whose keys another suffix has too: sid, left, name (the least such sid).
+def first_classes(lines: DataFrame) -> DataFrame:
+    """All suffixes with the class of their first line: sid, left, head, pos, n (its size).
 
-    Each task combines its equal keys before the shuffle. The classes are a table of their
-    own, so that adaptive execution can split the rows of a line that everybody has.
+    The classes are a table of their own, so that adaptive execution can split the rows of a
+    line that everybody has.
     """
     classes = written(
-        rows.groupBy(*keys)
-        .agg(F.min("sid").alias("name"), F.max("sid").alias("_last"))
-        .where("name < _last")
-        .drop("_last"),
+        lines.groupBy("line").agg(F.min("sid").alias("head"), F.count(F.lit(1)).alias("n")),
         "classes",
     )
-    return rows.join(classes, keys).select("sid", "left", "name")
+    return written(
+        lines.select("sid", "left", "line")
+        .join(classes, "line")
+        .select("sid", "left", "head", F.lit(0).cast("long").alias("pos"), "n"),
+        "places",
+    )
 
 
-def extended(interval: DataFrame, ahead: int) -> DataFrame:
-    """Classes of suffixes that agree here and also ``ahead`` lines further on.
+def divided(places: DataFrame, length: int) -> DataFrame:
+    """Places by the first ``2 * length`` lines, from those by the first ``length``.
 
-    ``interval`` is read twice and should be a written table.
+    ``open`` tells which suffixes have that many lines and are not alone with them.
     """
-    there = interval.select(F.col("sid").alias("_there"), F.col("name").alias("then"))
-    pairs = interval.where(F.col("left") >= ahead).join(
-        there, F.col("sid") + ahead == F.col("_there")
+    key = F.col("head").cast("decimal(38,0)") * _PLACES + F.col("pos")
+    there = places.select(F.col("sid").alias("_there"), key.cast("decimal(38,0)").alias("_next"))
+    # What ends before its next lines comes before what does not.
+    active = places.where("open").withColumn("_there", F.when(F.col("left") >= length, F.col("sid") + length))
+    active = written(
+        active.join(there, "_there", "left")
+        .withColumn("next", F.coalesce("_next", F.lit(-1).cast("decimal(38,0)")))
+        .drop("_there", "_next"),
+        "active",
+    )
+    parts = active.groupBy("head", "pos", "next").agg(F.count(F.lit(1)).alias("_n"))
+    ranked = running_sum(written(parts, "parts"), ["head", "pos"], "next", F.col("_n"), "_upto")
+    moved = active.join(written(ranked, "ranks"), ["head", "pos", "next"]).select(
+        "sid", "left", "head", (F.col("pos") + F.col("_upto") - F.col("_n")).alias("pos"),
+        F.col("_n").alias("n"),
+        ((F.col("_n") > 1) & (F.col("left") >= 2 * length - 1)).alias("open"),
     )
-    return named(pairs.select("sid", "left", F.col("name").alias("now"), "then"), ["now", "then"])
+    return written(places.where("NOT open").unionByName(moved), "places")
 
 
-def intervals(lines: DataFrame) -> Iterator[tuple[int, DataFrame]]:
-    """Length and classes (sid, left, name), for lengths 1, 2, 4... while there are any."""
-    length, found = 1, written(named(lines.select("sid", "left", "line"), ["line"]), "intervals")
-    while not found.isEmpty():
-        yield length, found
-        found = written(extended(found, length), "intervals")
+def doubled(lines: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Final places of all suffixes, and per round k the classes of 2^k equal lines.
+
+    Classes have sid, head and pos; only suffixes that share them are there.
+    """
+    places = first_classes(lines).withColumn("open", F.col("n") > 1)
+    length, levels = 1, []
+    while True:
+        level = places.where("open").select("sid", "left", "head", "pos")
+        if level.isEmpty():
+            return places, levels
+        levels.append(level)
+        places = divided(places, length)
         length *= 2
 
 
-def repeats(lines: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """Where copied runs of ``least`` lines start (sid), and sid with its longest interval."""
-    copies, longest, before = None, None, None
-    for length, found in intervals(lines):
-        if length <= least:
-            before = length, found
-        level = found.select("sid", F.lit(length).alias("shared"))
-        longest = level if longest is None else longest.unionByName(level)
-    if before is None:
-        none = lines.where("false")
-        return none.select("sid"), none.select("sid", F.lit(0).alias("shared"))
-    length, found = before
-    if length == least:
-        copies = found
-    elif 2 * length > least:
-        copies = extended(found, least - length)
-    else:  # no interval is long enough
-        copies = found.where("false")
-    return copies.where("name < sid").select("sid"), longest
+def neighbours(places: DataFrame) -> DataFrame:
+    """Each suffix with the one before it in the suffix array, among those of its first line."""
+    shared = places.where("pos > 0 OR n > 1 OR head <> sid").select("sid", "left", "head", "pos")
+    tied = position(shared, ["head", "pos"], "sid", "_tie")
+    indexed = written(tied.withColumn("_at", F.col("pos") + F.col("_tie")), "suffix-array")
+    entry = indexed.withColumn("_me", F.struct("sid", "left"))
+    found = previous(entry, ["head"], "_at", "_me", "_before").where("_before IS NOT NULL")
+    return found.select(
+        "sid", "left", F.col("_before.sid").alias("before"), F.col("_before.left").alias("before_left")
+    )
+
+
+def common_lines(pairs: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """LCP of neighbours: sid, before, lcp."""
+    pairs = written(pairs.withColumn("lcp", F.lit(0).cast("long")), "neighbours")
+    for k in reversed(range(len(levels))):
+        sides = []
+        for side in ("x", "y"):
+            sides.append(
+                levels[k].select(
+                    F.col("sid").alias(f"_{side}"), F.struct("head", "pos").alias(f"_c{side}")
+                )
+            )
+
+        def at(start: str, left: str):
+            return F.when(F.col("lcp") <= F.col(left), F.col(start) + F.col("lcp"))
+
+        joined = (
+            pairs.withColumns({"_x": at("sid", "left"), "_y": at("before", "before_left")})
+            .join(sides[0], "_x", "left")
+            .join(sides[1], "_y", "left")
+        )
+        longer = F.when(F.col("_cx") == F.col("_cy"), 1 << k).otherwise(0)
+        joined = joined.withColumn("lcp", F.col("lcp") + F.coalesce(longer, F.lit(0)))
+        pairs = written(joined.select(*pairs.columns), "neighbours")
+    return pairs
+
+
+def run_lengths(lines: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Per suffix of a repeated line, the lines of its longest run: sid, shared; and the classes."""
+    places, levels = doubled(lines)
+    if not levels:
+        none = lines.where("false").select("sid", F.lit(0).cast("long").alias("shared"))
+        return none, levels
+    pairs = common_lines(neighbours(places), levels)
+    both = pairs.select("sid", "lcp").unionByName(pairs.select(F.col("before").alias("sid"), "lcp"))
+    return written(both.groupBy("sid").agg(F.max("lcp").alias("shared")), "runs"), levels
+
+
+def maximal_runs(docs: DataFrame, row_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Repeated runs that no longer one contains at the same place: id, at, lines.
+
+    ``at`` is the number of the run's first line in the text.
+    """
+    lines = suffixes(docs, row_id, text)
+    shared, _ = run_lengths(lines)
+    known = shared.join(lines.select("sid", "id", "small", "at"), "sid")
+    longer = shared.select((F.col("sid") + 1).alias("sid"), F.col("shared").alias("_longer"))
+    starts = lines.groupBy("id", "small").agg(F.min("sid").alias("_first"))
+    found = known.join(longer, "sid", "left").join(starts, ["id", "small"])
+    inside = (F.col("sid") > F.col("_first")) & (F.col("_longer") > F.col("shared"))
+    return found.where(~F.coalesce(inside, F.lit(False))).select(
+        F.when(F.col("id") != LAST_ID, F.col("id")).alias("id"), "at", F.col("shared").alias("lines")
+    )
+
+
+def copied(levels: list[DataFrame], least: int) -> DataFrame | None:
+    """Where runs of ``least`` lines start that also start earlier: sid; None if nowhere."""
+    k = least.bit_length() - 1
+    if k >= len(levels):
+        return None
+    level, ahead = levels[k], least - (1 << k)
+    keys = ["head", "pos"]
+    if ahead:
+        there = levels[k].select(
+            F.col("sid").alias("_there"), F.struct("head", "pos").alias("then")
+        )
+        level = level.where(F.col("left") >= least - 1).join(
+            there, F.col("sid") + ahead == F.col("_there")
+        )
+        keys = [*keys, "then"]
+    classes = level.groupBy(*keys).agg(F.min("sid").alias("_first"))
+    return level.join(written(classes, "classes"), keys).where("_first < sid").select("sid")
 
 
 def remove_copies(
@@ -129,17 +223,18 @@ def remove_copies(
 ) -> DataFrame:
     """Per document: doc_id, n_lines, removed (numbers of lines from 0), longest, kept.
 
-    ``longest`` is the largest power of two so that the document shares a run of so many
-    lines with another place, 0 if it shares no line. ``kept`` is the text that stays.
+    ``longest`` is the most lines in a row that the document shares with another place, 0 if
+    it shares no line. ``kept`` is the text that stays.
     """
     lines = suffixes(docs, row_id, text)
-    starts, shared = repeats(lines, least)
+    shared, levels = run_lengths(lines)
+    starts = copied(levels, least)
+    starts = lines.where("false").select("sid") if starts is None else starts
     gone = starts.select(F.explode(F.sequence("sid", F.col("sid") + least - 1)).alias("sid"))
     marks = gone.distinct().select("sid", F.lit(True).alias("gone"))
-    levels = shared.groupBy("sid").agg(F.max("shared").alias("shared"))
     per_doc = (
         lines.join(marks, "sid", "left")
-        .join(levels, "sid", "left")
+        .join(shared, "sid", "left")
         .where("gone OR shared > 0")
         .groupBy("id", "small")
         .agg(
@@ -157,7 +252,7 @@ def remove_copies(
     judged = rows.join(per_doc, ["id", "small"], "left").select(
         "doc_id",
         F.coalesce("removed", F.array().cast("array<int>")).alias("removed"),
-        F.coalesce("longest", F.lit(0)).alias("longest"),
+        F.coalesce("longest", F.lit(0)).cast("long").alias("longest"),
         "text",
     )
 
@@ -181,7 +276,7 @@ def remove_copies(
             )
 
     return judged.mapInArrow(
-        cut, "doc_id long, n_lines long, removed array<int>, longest int, kept string"
+        cut, "doc_id long, n_lines long, removed array<int>, longest long, kept string"
     )
 
 
@@ -191,38 +286,40 @@ def line_table(docs: DataFrame) -> DataFrame:
         "doc_id",
         "n_lines",
         F.size("removed").cast("long").alias("n_removed"),
-        F.col("longest").cast("long").alias("longest"),
+        "longest",
         F.sha2("kept", 256).alias("kept_sha256"),
     )
 
 
 ORACLE = r"""
-WITH RECURSIVE split AS MATERIALIZED (
+WITH split AS MATERIALIZED (
   SELECT doc_id, line, place FROM (
     SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
            generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS place
     FROM documents)),
 lines AS MATERIALIZED (
-  SELECT doc_id, place, line, row_number() OVER (ORDER BY doc_id, place) AS sid,
-         count(*) OVER (PARTITION BY doc_id ORDER BY place DESC) - 1 AS rest
+  SELECT doc_id, place, row_number() OVER (ORDER BY doc_id, place) AS sid,
+         dense_rank() OVER (ORDER BY line) AS n,
+         min((doc_id, place)) OVER (PARTITION BY line) < (doc_id, place) AS again
   FROM split WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
-a AS (
-  SELECT length, sid, rest, name FROM (
-    SELECT 1::BIGINT AS length, sid, rest, min(sid) OVER (PARTITION BY line) AS name,
-           count(*) OVER (PARTITION BY line) AS n FROM lines) WHERE n > 1
-  UNION ALL
-  SELECT length, sid, rest, name FROM (
-    SELECT 2 * x.length AS length, x.sid, x.rest,
-           min(x.sid) OVER (PARTITION BY x.name, y.name) AS name,
-           count(*) OVER (PARTITION BY x.name, y.name) AS n
-    FROM a AS x JOIN a AS y ON y.sid = x.sid + x.length WHERE x.rest >= x.length) WHERE n > 1),
-gone AS (
-  SELECT DISTINCT unnest([sid, sid + 1]) AS sid FROM a WHERE length = 2 AND name < sid),
-longest AS (SELECT sid, max(length) AS shared FROM a GROUP BY sid)
-SELECT doc_id, count(*) AS n_lines, count(g.sid) AS n_removed,
+suffixes AS MATERIALIZED (
+  SELECT sid, doc_id, list(n) OVER (
+    PARTITION BY doc_id ORDER BY place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS s
+  FROM lines),
+sorted AS (
+  SELECT sid, s, lag(s) OVER (ORDER BY s, sid) AS before, lead(s) OVER (ORDER BY s, sid) AS after
+  FROM suffixes),
+common AS (
+  SELECT sid, greatest(
+    CASE WHEN before IS NULL THEN 0 WHEN s = before THEN len(s) ELSE list_position(list_transform(
+      list_zip(s, before), lambda x: x[1] IS NOT DISTINCT FROM x[2]), false) - 1 END,
+    CASE WHEN after IS NULL THEN 0 WHEN s = after THEN len(s) ELSE list_position(list_transform(
+      list_zip(s, after), lambda x: x[1] IS NOT DISTINCT FROM x[2]), false) - 1 END) AS shared
+  FROM sorted)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (again) AS n_removed,
        coalesce(max(shared), 0) AS longest,
        sha256(coalesce(string_agg(split.line, chr(10) ORDER BY split.place)
-                FILTER (g.sid IS NULL), '')) AS kept_sha256
-FROM split LEFT JOIN lines USING (doc_id, place) LEFT JOIN gone AS g USING (sid)
-LEFT JOIN longest USING (sid) GROUP BY doc_id
+                FILTER (NOT coalesce(again, false)), '')) AS kept_sha256
+FROM split LEFT JOIN lines USING (doc_id, place) LEFT JOIN common USING (sid)
+GROUP BY doc_id
 """
