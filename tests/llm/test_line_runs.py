@@ -73,6 +73,13 @@ def test_edges(spark):
     assert found(line_runs.remove_copies(alone)) == [(1, 3, [], 0, "a\nb\nc")]
 
 
+def test_a_line_that_two_places_go_on_from_differently(spark):
+    rows = [(1, "b\nx\nc"), (2, "a\nx\nd"), (3, "own")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(d, r, n) for d, _, r, n, _ in found(line_runs.remove_copies(docs))]
+    assert got == [(1, [], 1), (2, [1], 1), (3, [], 0)]
+
+
 def test_single_lines_go_too(spark):
     rows = [(1, "Accept cookies"), (2, "Accept cookies"), (3, "a\nAccept cookies\n\nb")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")

@@ -75,7 +75,7 @@ def suffixes(docs: DataFrame, row_id: str, text: str) -> DataFrame:
 
 
 def first_classes(lines: DataFrame) -> DataFrame:
-    """All suffixes with the class of their first line: sid, left, head, pos, n (its size).
+    """All suffixes with the class of their first line: sid, left, head, pos, repeated.
 
     The classes are a table of their own, so that adaptive execution can split the rows of a
     line that everybody has.
@@ -87,7 +87,9 @@ def first_classes(lines: DataFrame) -> DataFrame:
     return written(
         lines.select("sid", "left", "line")
         .join(classes, "line")
-        .select("sid", "left", "head", F.lit(0).cast("long").alias("pos"), "n"),
+        .select(
+            "sid", "left", "head", F.lit(0).cast("long").alias("pos"), (F.col("n") > 1).alias("repeated")
+        ),
         "places",
     )
 
@@ -111,7 +113,7 @@ def divided(places: DataFrame, length: int) -> DataFrame:
     ranked = running_sum(written(parts, "parts"), ["head", "pos"], "next", F.col("_n"), "_upto")
     moved = active.join(written(ranked, "ranks"), ["head", "pos", "next"]).select(
         "sid", "left", "head", (F.col("pos") + F.col("_upto") - F.col("_n")).alias("pos"),
-        F.col("_n").alias("n"),
+        "repeated",
         ((F.col("_n") > 1) & (F.col("left") >= 2 * length - 1)).alias("open"),
     )
     return written(places.where("NOT open").unionByName(moved), "places")
@@ -122,7 +124,7 @@ def doubled(lines: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
 
     Classes have sid, head and pos; only suffixes that share them are there.
     """
-    places = first_classes(lines).withColumn("open", F.col("n") > 1)
+    places = first_classes(lines).withColumn("open", F.col("repeated"))
     length, levels = 1, []
     while True:
         level = places.where("open").select("sid", "left", "head", "pos")
@@ -135,7 +137,7 @@ def doubled(lines: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
 
 def neighbours(places: DataFrame) -> DataFrame:
     """Each suffix with the one before it in the suffix array, among those of its first line."""
-    shared = places.where("pos > 0 OR n > 1 OR head <> sid").select("sid", "left", "head", "pos")
+    shared = places.where("repeated").select("sid", "left", "head", "pos")
     tied = position(shared, ["head", "pos"], "sid", "_tie")
     indexed = written(tied.withColumn("_at", F.col("pos") + F.col("_tie")), "suffix-array")
     entry = indexed.withColumn("_me", F.struct("sid", "left"))
