@@ -539,3 +539,15 @@ def test_wide_levels_are_left_to_spark(spark, tmp_path, monkeypatch):
     assert len(store.asked_folders(spark, folder(root, CANDLE), asked)) == 1
     read = store.scan(spark, root, CANDLE, asked)
     assert select.filter_time_range(read, "2024-01-02").count() == 7
+
+
+def test_counts_from_footers(spark, tmp_path):
+    root = str(tmp_path)
+    rows = [{"symbol": "B"}, {"symbol": "C", "close": None}, {"timestamp": "2024-02-01T00:00:00"}]
+    assert summary.footer_counts(spark, root, CANDLE).where("rows > 0").count() == 0
+    sinks.write_candles(candles(spark, *rows), root)
+    found = summary.footer_counts(spark, root, CANDLE)
+    got = {r["name"]: (r["nulls"], r["rows"]) for r in found.collect()}
+    assert got["close"] == (1, 3) and got["open"] == (0, 3) and "exchange" not in got
+    plan = found._jdf.queryExecution().toString()
+    assert "PushedAggregation: [COUNT(*)" in plan

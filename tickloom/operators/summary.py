@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from tickloom.schemas import CANDLE, FUNDING, RecordKind
 from tickloom.sources.catalogue import known_datasets
-from tickloom.sources.layout import folder, path_exists, stored_schema
+from tickloom.sources.layout import DATE, folder, path_exists, stored_schema
 from tickloom.sources.store import list_files
 
 DATASET = ("type", "exchange", "symbol", "timeframe")
@@ -143,6 +143,47 @@ def column_stats(df: DataFrame) -> DataFrame:
     return df.agg(*aggregates).select(F.explode(F.array(*entries)).alias("s")).select("s.*")
 
 
+def footer_counts(spark: SparkSession, root: str, kind: RecordKind) -> DataFrame:
+    """``(name, nulls, rows)`` per column in the store's files, from their footers alone.
+
+    Spark pushes these counts down into the file metadata, so no row group is read. That
+    takes its newer Parquet reader, which a session of its own uses. Columns that are
+    folders have no nulls and are not listed.
+    """
+    session = spark.newSession()
+    session.conf.set("spark.sql.sources.useV1SourceList", "")
+    session.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    base = folder(root, kind)
+    schema = stored_schema(kind)
+    if path_exists(spark, base):
+        rows = session.read.schema(schema).parquet(base)
+        folders = set(_folder_columns(spark, base))
+    else:
+        rows, folders = session.createDataFrame([], schema), {DATE}
+    names = [f.name for f in schema if f.name not in folders]
+    counts = rows.agg(
+        F.count(F.lit(1)).alias("rows"), *[F.count(c).alias(f"_{i}") for i, c in enumerate(names)]
+    )
+    entries = [
+        F.struct(F.lit(c).alias("name"), (F.col("rows") - F.col(f"_{i}")).alias("nulls"), "rows")
+        for i, c in enumerate(names)
+    ]
+    return counts.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
+
+
+def _folder_columns(spark: SparkSession, base: str) -> list[str]:
+    """The columns that are folders below a table's base."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    files, found = path.getFileSystem(spark._jsc.hadoopConfiguration()), []
+    while True:
+        names = [s.getPath().getName() for s in files.listStatus(path) if s.isDirectory()]
+        names = [n for n in names if "=" in n]
+        if not names:
+            return found
+        found.append(names[0].split("=", 1)[0])
+        path = spark._jvm.org.apache.hadoop.fs.Path(path, names[0])
+
+
 def row_count(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("rows"))
 

@@ -512,6 +512,20 @@ def column_stats(spark, sf_dir):
     return summary.column_stats(_candles(spark, sf_dir).drop("date"))
 
 
+@query(
+    "footer_counts",
+    " UNION ALL ".join(
+        f"SELECT '{name}' AS name, COUNT(*) FILTER (WHERE {name} IS NULL) AS nulls, COUNT(*) AS rows "
+        "FROM candles"
+        for name in CANDLE_FIELDS
+        if name not in ("exchange", "timeframe")
+    ),
+    ("candles",),
+)
+def footer_counts(spark, sf_dir):
+    return summary.footer_counts(spark, store(spark, sf_dir), CANDLE)
+
+
 @query("row_count", "SELECT COUNT(*) AS rows FROM candles_raw", ("candles_raw",))
 def row_count(spark, sf_dir):
     return summary.row_count(_candles(spark, sf_dir))
