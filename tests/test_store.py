@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import as_set, candles, rates
-from tickloom.operators import cast, coverage, select, summary
+from tickloom.operators import coverage, select, summary
 from tickloom.operators.cast import result_strings, typed_cast
 from tickloom.operators.merge import CHANGES, UPSERT
 from tickloom.plans.ingest import IngestRejected, validated_ingest
@@ -544,7 +544,7 @@ def test_wide_levels_are_left_to_spark(spark, tmp_path, monkeypatch):
 def test_counts_from_footers(spark, tmp_path):
     root = str(tmp_path)
     rows = candles(spark, {"symbol": "B"}, {"symbol": "C"}, {"timestamp": "2024-02-01T00:00:00"})
-    typed = cast.typed_cast(rows.drop("record_index"), CANDLE)
+    typed = typed_cast(rows.drop("record_index"), CANDLE)
     assert summary.footer_counts(spark, root, CANDLE).where("rows > 0").count() == 0
     sinks.write_candles(typed.withColumn("close", F.expr("CASE WHEN symbol <> 'C' THEN close END")), root)
     found = summary.footer_counts(spark, root, CANDLE)
