@@ -48,7 +48,7 @@ def test_equals_a_recount_after_mixed_writes(spark, tmp_path, monkeypatch, layou
         if i % 3 == 0:
             assert known(spark, root) == recount(spark, root, CANDLE)
     assert known(spark, root) == recount(spark, root, CANDLE)
-    names = os.listdir(f"{root}/catalogue/{CANDLE.folder}")
+    names = os.listdir(f"{root}/_catalogue/{CANDLE.folder}")
     assert len([n for n in names if not n.startswith(".")]) <= 5
     write_funding(rates(spark, {}, {"symbol": "ETH"}), root)
     assert known(spark, root, FUNDING) == recount(spark, root, FUNDING)
@@ -105,7 +105,7 @@ def test_a_store_without_a_catalogue_gets_one(spark, tmp_path):
 
     root = str(tmp_path)
     write_candles(candles(spark, {}), root)
-    shutil.rmtree(f"{root}/catalogue")
+    shutil.rmtree(f"{root}/_catalogue")
     assert catalogue.known_datasets(spark, root, CANDLE) is None
     upsert(candles(spark, {"symbol": "B"}), root, CANDLE)
     assert known(spark, root) == recount(spark, root, CANDLE)

@@ -34,7 +34,8 @@ _BASE, _CHANGE, _PENDING = "base-", "change-", "pending-"
 
 
 def _home(root: str, kind: RecordKind) -> str:
-    return f"{root.rstrip('/')}/catalogue/{kind.folder}"
+    """A folder that reads of the whole tree pass over, as its name begins with ``_``."""
+    return f"{root.rstrip('/')}/_catalogue/{kind.folder}"
 
 
 def _names(spark: SparkSession, path: str) -> list[str]:
