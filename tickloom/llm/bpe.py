@@ -12,7 +12,8 @@ of digits and of other signs with one leading space each, and white space, of wh
 last sign before a word stands apart.
 
 Null text counts as empty and has no ids. Long texts are scanned in pieces with the state
-carried over. Texts are independent, so equal rows get equal results; there is no shuffle.
+carried over. Texts are independent, so equal rows get equal results; there is no shuffle. An
+empty table gives an empty table.
 """
 
 from __future__ import annotations

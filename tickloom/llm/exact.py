@@ -7,7 +7,8 @@ that merely share a digest are never merged.
 Null text counts as empty. Of equal texts the row with the largest id stays; a null id is
 smaller than any other. Rows that repeat the id and the text of the row that stays share
 its verdict in ``classify``; ``keep_one`` returns exactly one row per text.
-An empty table gives an empty table.
+Texts of any length are compared whole. An empty table gives an empty table. Input columns are
+chosen by name; others may have any name and are carried along by ``keep_one``.
 """
 
 from __future__ import annotations

@@ -12,7 +12,10 @@ themselves are never put out, only the sums and the classes that they form.
 
 Null text counts as empty. A text without a word has no n-grams, no links, and is a class
 of its own. Equal texts are linked with each other. Rows of one null or repeated id are
-separate documents if their texts differ. An empty table gives an empty table.
+separate documents if their texts differ. Texts of any length are read whole. N-grams and texts
+are told apart by hashes of 64 and 128 bits, which are mixed, not added up, so that no pattern
+of words makes them equal. An empty table gives an empty table. Input columns are chosen by
+name, others may have any name.
 """
 
 from __future__ import annotations

@@ -13,7 +13,9 @@ and text.
 
 Null sources form one source, last in order; null text has no words. Rows without a word
 are neither needed nor in the way: they are taken as often as their whole source. Rows
-equal in id and text are interchangeable. An empty table gives an empty table.
+equal in id and text are interchangeable. Texts of any length are counted whole. An empty
+table gives an empty table. Input columns are chosen by name; others may have any name and are
+carried along by ``mixed``.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ The corpus counts cover every document. The target is a bounded sample of labell
 documents: the ``TRUSTED`` of them with the smallest hash of their id, fewer if there are
 fewer. Null text counts as empty; a text without a word has zero counts, no score, and
 fails the base rule. Without any trusted document all scores are 0. Equal rows get equal
-verdicts.
+verdicts, and a score equal to the threshold passes. Texts of any length are read whole. An
+empty table gives an empty table. Input columns are chosen by name, others may have any name.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ have them. Where two kinds start at one place, the one listed first comes first.
 
 Null text counts as empty; null owners and repositories are one owner and repository of
 their own. Equal rows get equal results. Positions are code points, ends exclusive.
-An empty table gives an empty table.
+Texts of any length are read whole. An empty table gives an empty table. Input columns are
+chosen by name, others may have any name.
 """
 
 from __future__ import annotations

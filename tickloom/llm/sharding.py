@@ -7,7 +7,9 @@ system can repeat it.
 
 A null key counts as the text "null"; null text is empty. Records of equal key share a
 shard; equal rows are interchangeable. Slots number the records of a shard from 0, in
-the order of a hash of key, checksum and size. An empty table gives an empty table.
+the order of a hash of key, checksum and size; of equal scores the lower shard wins. Texts of any
+length are read whole. An empty table gives an empty table. Input columns are chosen by name,
+others may have any name.
 """
 
 from __future__ import annotations
