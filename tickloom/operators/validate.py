@@ -42,7 +42,8 @@ ISSUE_COLUMNS = (INDEX, "severity", "code", "field", "message", "rule_ord")
 class Check:
     """One condition on one record; ``broken`` is true where an issue is due.
 
-    ``template`` is the message, with ``%s`` for the values of the ``shown`` fields.
+    ``template`` is the message, with ``%s`` for the values of the ``shown`` fields. Fixed values:
+    the messages of all rules.
     """
 
     code: str
