@@ -38,7 +38,7 @@ PERCENT = 80
 RECALL = 0.9999
 # At most so many MinHash values per text.
 HASHES = 256
-BLOCK_ROWS, BLOCK_BYTES = 1_000, 16 << 20
+BLOCK_ROWS, BLOCK_BYTES = 500, 8 << 20
 
 
 def band_counts(threshold: float, recall: float, hashes: int) -> tuple[int, int]:
