@@ -185,3 +185,26 @@ def test_runs():
     assert html_slots.in_runs(marks, 1) == [True, False, True, True, *last]
     assert html_slots.in_runs(marks, 2) == [False, False, True, True, *last]
     assert html_slots.in_runs(marks, 3) == [False, False, False, False, *last]
+
+
+def test_every_page_shows_the_words_to_count(spark, monkeypatch):
+    """A word of the template is counted whichever pages have it, however many the host has."""
+
+    def page(n):
+        letter = "Get our letter every single week"
+        return f"<div><div>{own_words(n, 20)}</div><div>{letter if n % 2 else own_words(n + 200, 6)}</div></div>"
+
+    rows = [("h", str(n), page(n), 130, False) for n in range(130)]
+    pages = spark.createDataFrame(rows, "host string, key string, html string, pages long, marked boolean")
+    found = html_slots.likely_words(pages).first()["words"]
+    assert set(found.values()) == {"Get", "our", "letter", "every", "single", "week"}
+    looked_at = spark.sparkContext.accumulator(0)
+    likely = html_slots.likely
+
+    def counted(texts, *more):
+        looked_at.add(len(texts))
+        return likely(texts, *more)
+
+    monkeypatch.setattr(html_slots, "likely", counted)
+    html_slots.likely_words(pages).collect()
+    assert looked_at.value == len(rows)

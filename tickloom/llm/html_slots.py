@@ -17,10 +17,11 @@ of the text outside boilerplate.
 Equal vectors are no chance if they are so often: a run of words is the template's if its words
 times the host's pages are at least ``EVIDENCE``. So one word is enough on hosts of twelve
 pages, and on two pages it takes six in a row. On hosts with fewer pages that mark their
-articles by name (``article``, ``main``), the marks alone decide. Only words that are in the
-template of some ``SAMPLE`` pages of the host are counted on all its pages. As equal
-vectors are equal on any pages, this passes over a word of the template only if no page
-of the sample has it.
+articles by name (``article``, ``main``), the marks alone decide. All pages of a host, dealt
+into parts of about ``PART`` pages, show which words to count on all its pages: those that at
+least half of a part's pages have, with the vector of an element around them or in a row with
+one vector there. What half of a host's pages have, half of some part's pages have, and vectors
+that are equal on all pages are equal in every part, so no word of the template is passed over.
 
 A page's text is what its host's region holds, without menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles and comments. Class words do not make boilerplate
@@ -42,7 +43,8 @@ import html as references
 import re
 from collections import Counter, defaultdict
 from collections.abc import Collection, Iterable, Iterator, Mapping, Sequence
-from itertools import groupby
+from functools import lru_cache
+from itertools import compress, groupby, repeat
 
 import pyarrow as pa
 import xxhash
@@ -60,8 +62,8 @@ MASS = 0.6
 EVIDENCE = 12
 # Words in a row with one vector that are a class without an element's vector.
 CLASS_WORDS = 3
-# About so many pages of a host show which words to count.
-SAMPLE = 32
+# A host's pages are looked at in parts of about so many for the words to count.
+PART = 32
 
 # Elements and class words of what is not the article. Class words say nothing
 # about the elements in SPARED, nor about a place that holds MASS of a host's text.
@@ -110,6 +112,7 @@ def place(parent: int, name: str, marks: str) -> int:
     return found
 
 
+@lru_cache(1 << 16)
 def marked(attributes: str) -> str:
     """The words of class, id and role of a tag, without digits, sorted."""
     if "=" not in attributes:
@@ -118,6 +121,7 @@ def marked(attributes: str) -> str:
     return " ".join(sorted(set(re.findall(r"[a-z]+", found.lower()))))
 
 
+@lru_cache(1 << 16)
 def hit(name: str, marks: str) -> bool:
     """Whether the class words of an element call it boilerplate."""
     return name not in SPARED and not BOILERPLATE_WORDS.isdisjoint(marks.split())
@@ -156,7 +160,9 @@ def walk(
         if not name:
             continue
         if tag[1]:
-            if any(name == s[0] for s in stack[1:]):
+            if stack[-1][0] == name:
+                yield pop()
+            elif any(name == s[0] for s in stack[1:]):
                 while stack[-1][0] != name:
                     yield pop()
                 yield pop()
@@ -285,10 +291,13 @@ def token_counts(pages: DataFrame) -> DataFrame:
                 tokens, bulk, mass, known = page_counts(text, dict((words and words[0]) or ()))
                 tokens[0, "page"] = 1
                 known[0] = ("", 0, False, False)
+                chances: dict[int, int] = {}
                 for (own, kind), n in tokens.items():
                     name, up, dull, found = known[own]
+                    chance = chances.get(n)
+                    if chance is None:
+                        chance = chances[n] = xxhash.xxh64_intdigest(f"{key} {n}")
                     s = sums[where, signed(own), kind, name, signed(up), dull, found]
-                    chance = xxhash.xxh64_intdigest(f"{key} {n}")
                     s[0] += 1
                     s[1] += n
                     s[2] += chance & 0xFFFFFFFF
@@ -307,66 +316,83 @@ def token_counts(pages: DataFrame) -> DataFrame:
     )
 
 
-def likely(pages: Sequence[str]) -> dict[int, str]:
+def likely(pages: Sequence[str], part: bool = False) -> dict[int, str]:
     """Words of the template of these pages.
 
-    Their vector is that of an element around them, or they stand in a row of ``CLASS_WORDS`` words
-    with one vector, which at least ``SUPPORT`` of the pages have.
+    At least ``SUPPORT`` of the pages have them. Their vector is that of an element around them,
+    or they stand in a row of ``CLASS_WORDS`` words with one vector; if the pages are not just
+    ``part`` of their host's, at least two of them have such a row.
     """
-    elements, words = defaultdict(Counter), defaultdict(Counter)
-    parents, texts, rows = {}, {}, []
+    elements, words = defaultdict(list), defaultdict(list)
+    parents, rows, n_pages = {}, [], Counter()
     for number, page in enumerate(pages):
+        opened, found = Counter(), []
         for kind, value, own, up, dull, _, before in placed(walk(page)):
             if kind == "open":
-                elements[own][number] += 1
+                opened[own] += 1
                 parents[own] = up
             elif kind == "text" and not dull & TAGGED:
-                row = list(word_places(own, before, value))
-                for at, word in row:
-                    words[at][number] += 1
-                    texts[at] = word, own
-                rows.append([at for at, _ in row])
-    out = {}
-    for at, (word, own) in texts.items():
+                texts = WORD.findall(value)
+                if texts:
+                    found.append(list(zip(repeat(own), [before, *texts], texts)))
+        for key, n in opened.items():
+            elements[key].append((number, n))
+        n_pages.update(set().union(*found))
+        rows.append(found)
+    often = {key for key, n in n_pages.items() if n >= SUPPORT * len(pages)}
+    runs = []
+    for number, found in enumerate(rows if often else ()):
+        counts = Counter()
+        for row in found:
+            known = list(map(often.__contains__, row))
+            if True in known:
+                counts.update(compress(row, known))
+                runs.append((row, known))
+        for key, n in counts.items():
+            words[key].append((number, n))
+    out = set()
+    for key in often:
+        own = key[0]
         while own in parents:
-            if elements[own] == words[at]:
-                out[at] = word
+            if elements[own] == words[key]:
+                out.add(key)
                 break
             own = parents[own]
-    often = {at for at, found in words.items() if len(found) > 1 and len(found) >= SUPPORT * len(pages)}
-    for row in rows:
-        for known, run in groupby(row, often.__contains__):
-            run = list(run)
-            for _, same in groupby(run, lambda at: sorted(words[at].items())) if known else ():
-                same = list(same)
-                if len(same) >= CLASS_WORDS:
-                    out.update((at, texts[at][0]) for at in same)
-    return out
-
-
-WORDS = pa.map_(pa.int64(), pa.string())
+    for row, known in runs:
+        at = 0
+        for vector, same in groupby(words[key] if here else None for key, here in zip(row, known)):
+            n = len(list(same))
+            if vector and n >= CLASS_WORDS and (part or len(vector) > 1):
+                out.update(row[at : at + n])
+            at += n
+    return {word_place(*key): key[2] for key in out}
 
 
 def likely_words(pages: DataFrame) -> DataFrame:
-    """One row per host with several pages: host, words.
+    """One row per host with several pages and words to count: host, words.
 
     From pages of (host, key, html, pages, marked). Small hosts with marked articles are left out.
     """
-    chance = F.shiftright(F.xxhash64("key"), 40) + (1 << 23)
     several = (F.col("pages") >= EVIDENCE) | ((F.col("pages") > 1) & ~F.col("marked"))
-    sample = pages.where(several & (chance * F.col("pages") < SAMPLE * (1 << 24)))
-    schema = pa.schema([("host", pa.string()), ("words", WORDS)])
+    parts = F.greatest(F.lit(1), F.floor(F.col("pages") / PART))
+    dealt = pages.where(several).select(
+        "host", "html", "pages", F.pmod(F.xxhash64("key"), parts).alias("part")
+    )
+    schema = pa.schema([("host", pa.string()), ("place", pa.int64()), ("word", pa.string())])
 
     def run(part: pa.Table) -> pa.Table:
-        found = likely([value.as_py() for value in part.column("html")])
-        row = {"host": part.column("host")[0].as_py(), "words": sorted(found.items())}
-        return pa.Table.from_pylist([row], schema=schema)
+        several = part.column("pages")[0].as_py() > len(part)
+        found = likely([value.as_py() for value in part.column("html")], several)
+        hosts = [part.column("host")[0].as_py()] * len(found)
+        return pa.Table.from_arrays(
+            [pa.array(c, f.type) for c, f in zip((hosts, found.keys(), found.values()), schema)],
+            schema=schema,
+        )
 
-    return (
-        sample.select("host", "html")
-        .groupBy("host")
-        .applyInArrow(run, "host string, words map<bigint,string>")
-    )
+    found = dealt.groupBy("host", "part").applyInArrow(run, "host string, place long, word string")
+    each = found.groupBy("host", "place").agg(F.min("word").alias("word"))
+    entries = F.map_from_entries(F.collect_list(F.struct("place", "word")))
+    return each.groupBy("host").agg(entries.alias("words"))
 
 
 def spare(tokens: list[dict], bulk: int) -> dict[int, dict]:
@@ -452,6 +478,8 @@ def nest(
     return out, [best["place"]], sorted(spared), fixed
 
 
+WORDS = pa.map_(pa.int64(), pa.string())
+
 TEMPLATE = (
     "host string, pages long, "
     "template array<struct<place:long,parent:long,number:int,name:string>>, "
