@@ -209,3 +209,20 @@ def test_run_log_round_trip(spark, sf_dir, tmp_path):
     assert runlog.stage_rows(read).count() == (
         views.run_stages(spark, sf_dir).where("runner in ('r1', 'r2')").count()
     )
+
+
+def test_records_are_written_compressed(spark, sf_dir, tmp_path):
+    from tickloom.plans import views
+
+    log = views.run_log(spark, sf_dir)
+    runlog.append_runs(log, str(tmp_path / "log"))
+    log.write.json(str(tmp_path / "plain"))
+
+    def size(name):
+        return sum(p.stat().st_size for p in (tmp_path / name).glob("part-*"))
+
+    assert size("log") < size("plain") / 4
+    read = [runlog.scan_runs(spark, str(tmp_path / name)) for name in ("log", "plain")]
+    assert read[0].count() == log.count()
+    rows = [as_set(r, "git_sha", "timestamp", F.to_json("stage_breakdown")) for r in read]
+    assert rows[0] == rows[1]
