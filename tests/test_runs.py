@@ -226,3 +226,34 @@ def test_records_are_written_compressed(spark, sf_dir, tmp_path):
     assert read[0].count() == log.count()
     rows = [as_set(r, "git_sha", "timestamp", F.to_json("stage_breakdown")) for r in read]
     assert rows[0] == rows[1]
+
+
+def test_parts_of_a_shuffle_stay_small(spark):
+    from tickloom.session import LEAST_PARTITIONS, PARTITIONS, configure
+
+    session = spark.newSession()
+    session.conf.set("spark.sql.shuffle.partitions", "12")
+    assert int(configure(session).conf.get(PARTITIONS)) == LEAST_PARTITIONS
+    session.conf.set("spark.sql.shuffle.partitions", "3000")
+    assert configure(session).conf.get(PARTITIONS) == "3000"
+    # 48 MB that compress little came to one task with the session's one part.
+    session.conf.set("spark.sql.shuffle.partitions", "1")
+    configure(session)
+    rows = session.range(0, 48_000, 1, 8).select("id", F.randstr(1000, 7).alias("text"))
+    assert rows.groupBy("id").agg(F.max("text")).rdd.getNumPartitions() > 2
+
+
+def test_metrics_become_rows_after_the_aggregate(spark):
+    values = {m: float(i) for i, m in enumerate(runs.METRICS)}
+    sides = spark.createDataFrame(
+        [{"pair_id": 1, "newer": False, **values}, {"pair_id": 1, "newer": False, **values, "cpu_ms": 5.0},
+         {"pair_id": 2, "newer": True, **{m: v + 1 for m, v in values.items()}},
+         {"pair_id": None, "newer": True, **dict.fromkeys(values), "gc_g2": 3.0}]
+    )
+    found = runs.old_and_new(sides)
+    want = {(1, m, v, 0.0) for m, v in values.items() if m != "cpu_ms"} | {(1, "cpu_ms", 5.0, 0.0)}
+    want |= {(2, m, 0.0, v + 1) for m, v in values.items()}
+    want |= {(None, m, 0.0, 3.0 if m == "gc_g2" else 0.0) for m in values}
+    assert as_set(found, "pair_id", "metric", "old", "new") == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Expand") < plan.index("Aggregate")
