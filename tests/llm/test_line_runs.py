@@ -6,6 +6,7 @@ import re
 import pytest
 
 from tickloom.llm import line_runs
+from tickloom.llm.support import written
 from tickloom.operators import ordered
 
 
@@ -107,3 +108,28 @@ def test_maximal_runs(spark, monkeypatch, rows_of_a_slice):
     )
     frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     assert sorted(tuple(r) for r in line_runs.maximal_runs(frame).collect()) == want
+
+
+def test_a_round_is_one_table(spark, monkeypatch):
+    tables = []
+
+    def counted(frame, purpose):
+        tables.append(purpose)
+        return written(frame, purpose)
+
+    monkeypatch.setattr(line_runs, "written", counted)
+    text = "\n".join(f"l{i}" for i in range(20))
+    rows = [(1, text), (2, text), (3, "l3\nl4\nother")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(line_runs.remove_copies(docs)) == brute(rows, 1)
+    # Rounds for 1, 2, 4, 8 and 16 lines, and the places before the first one.
+    assert tables.count("places") == 6 and not {"active", "parts", "ranks"} & set(tables)
+
+
+@pytest.mark.parametrize("rows_of_a_slice", [2, 5])
+def test_classes_of_any_size(spark, monkeypatch, rows_of_a_slice):
+    monkeypatch.setattr(ordered, "SLICE_ROWS", rows_of_a_slice)
+    pick = random.Random(3)
+    rows = [(i, "\n".join(pick.choice("ab") for _ in range(pick.randrange(1, 12)))) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert found(line_runs.remove_copies(docs)) == brute(rows, 1)

@@ -27,10 +27,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.llm.support import whole, written
+from tickloom.operators import ordered
 from tickloom.operators.ordered import position, previous, running_sum
 
 # Shortest run of lines that counts as copied.
@@ -74,17 +75,18 @@ def suffixes(docs: DataFrame, row_id: str, text: str) -> DataFrame:
     )
 
 
-def first_classes(lines: DataFrame) -> DataFrame:
+def first_classes(lines: DataFrame) -> tuple[DataFrame, bool]:
     """All suffixes with the class of their first line: sid, left, head, pos, repeated.
 
-    The classes are a table of their own, so that adaptive execution can split the rows of a
-    line that everybody has.
+    And whether every class is small enough for a window of its own. The classes are a table
+    of their own, so that adaptive execution can split the rows of a line that everybody has.
     """
     classes = written(
         lines.groupBy("line").agg(F.min("sid").alias("head"), F.count(F.lit(1)).alias("n")),
         "classes",
     )
-    return written(
+    small = (classes.agg(F.max("n")).first()[0] or 0) <= ordered.SLICE_ROWS
+    places = written(
         lines.select("sid", "left", "line")
         .join(classes, "line")
         .select(
@@ -92,57 +94,75 @@ def first_classes(lines: DataFrame) -> DataFrame:
         ),
         "places",
     )
+    return places, small
 
 
-def divided(places: DataFrame, length: int) -> DataFrame:
+def divided(places: DataFrame, length: int, small: bool) -> DataFrame:
     """Places by the first ``2 * length`` lines, from those by the first ``length``.
 
-    ``open`` tells which suffixes have that many lines and are not alone with them.
+    ``open`` tells which suffixes have that many lines and are not alone with them. Parts of
+    ``small`` classes are numbered in one window, others are counted first.
     """
     key = F.col("head").cast("decimal(38,0)") * _PLACES + F.col("pos")
-    there = places.select(F.col("sid").alias("_there"), key.cast("decimal(38,0)").alias("_next"))
+    # Numbers ascend by one in a document, and a suffix and what is left give its last one.
+    document = Window.partitionBy(F.col("sid") + F.col("left")).orderBy("sid")
+    there = F.lead(key.cast("decimal(38,0)"), length).over(document)
     # What ends before its next lines comes before what does not.
-    active = places.where("open").withColumn("_there", F.when(F.col("left") >= length, F.col("sid") + length))
-    active = written(
-        active.join(there, "_there", "left")
-        .withColumn("next", F.coalesce("_next", F.lit(-1).cast("decimal(38,0)")))
-        .drop("_there", "_next"),
-        "active",
-    )
-    parts = active.groupBy("head", "pos", "next").agg(F.count(F.lit(1)).alias("_n"))
-    ranked = running_sum(written(parts, "parts"), ["head", "pos"], "next", F.col("_n"), "_upto")
-    moved = active.join(written(ranked, "ranks"), ["head", "pos", "next"]).select(
-        "sid", "left", "head", (F.col("pos") + F.col("_upto") - F.col("_n")).alias("pos"),
+    there = F.coalesce(there, F.lit(-1).cast("decimal(38,0)"))
+    active = places.withColumn("next", there).where("open")
+    if small:
+        parts = Window.partitionBy("head", "pos").orderBy("next")
+        ranked = active.withColumns(
+            {
+                "_before": F.rank().over(parts).cast("long") - 1,
+                "_n": F.count(F.lit(1)).over(parts.rangeBetween(0, 0)),
+            }
+        )
+    else:
+        active = written(active, "active")
+        parts = active.groupBy("head", "pos", "next").agg(F.count(F.lit(1)).alias("_n"))
+        counted = running_sum(written(parts, "parts"), ["head", "pos"], "next", F.col("_n"), "_upto")
+        before = (F.col("_upto") - F.col("_n")).alias("_before")
+        ranks = written(counted.select("head", "pos", "next", "_n", before), "ranks")
+        ranked = active.join(ranks, ["head", "pos", "next"])
+    moved = ranked.select(
+        "sid", "left", "head", (F.col("pos") + F.col("_before")).alias("pos"),
         "repeated",
         ((F.col("_n") > 1) & (F.col("left") >= 2 * length - 1)).alias("open"),
     )
     return written(places.where("NOT open").unionByName(moved), "places")
 
 
-def doubled(lines: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+def doubled(lines: DataFrame) -> tuple[DataFrame, list[DataFrame], bool]:
     """Final places of all suffixes, and per round k the classes of 2^k equal lines.
 
-    Classes have sid, head and pos; only suffixes that share them are there.
+    Classes have sid, head and pos; only suffixes that share them are there. And whether all
+    classes are small.
     """
-    places = first_classes(lines).withColumn("open", F.col("repeated"))
+    places, small = first_classes(lines)
+    places = places.withColumn("open", F.col("repeated"))
     length, levels = 1, []
     while True:
         level = places.where("open").select("sid", "left", "head", "pos")
         if level.isEmpty():
-            return places, levels
+            return places, levels, small
         levels.append(level)
-        places = divided(places, length)
+        places = divided(places, length, small)
         length *= 2
 
 
-def neighbours(places: DataFrame) -> DataFrame:
+def neighbours(places: DataFrame, small: bool) -> DataFrame:
     """Each suffix with the one before it in the suffix array, among those of its first line."""
     shared = places.where("repeated").select("sid", "left", "head", "pos")
-    tied = position(shared, ["head", "pos"], "sid", "_tie")
-    indexed = written(tied.withColumn("_at", F.col("pos") + F.col("_tie")), "suffix-array")
-    entry = indexed.withColumn("_me", F.struct("sid", "left"))
-    found = previous(entry, ["head"], "_at", "_me", "_before").where("_before IS NOT NULL")
-    return found.select(
+    entry = F.struct("sid", "left")
+    if small:
+        array = Window.partitionBy("head").orderBy("pos", "sid")
+        found = shared.withColumn("_before", F.lag(entry).over(array))
+    else:
+        tied = position(shared, ["head", "pos"], "sid", "_tie")
+        indexed = written(tied.withColumn("_at", F.col("pos") + F.col("_tie")), "suffix-array")
+        found = previous(indexed.withColumn("_me", entry), ["head"], "_at", "_me", "_before")
+    return found.where("_before IS NOT NULL").select(
         "sid", "left", F.col("_before.sid").alias("before"), F.col("_before.left").alias("before_left")
     )
 
@@ -175,11 +195,11 @@ def common_lines(pairs: DataFrame, levels: list[DataFrame]) -> DataFrame:
 
 def run_lengths(lines: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """Per suffix of a repeated line, the lines of its longest run: sid, shared; and the classes."""
-    places, levels = doubled(lines)
+    places, levels, small = doubled(lines)
     if not levels:
         none = lines.where("false").select("sid", F.lit(0).cast("long").alias("shared"))
         return none, levels
-    pairs = common_lines(neighbours(places), levels)
+    pairs = common_lines(neighbours(places, small), levels)
     both = pairs.select("sid", "lcp").unionByName(pairs.select(F.col("before").alias("sid"), "lcp"))
     return written(both.groupBy("sid").agg(F.max("lcp").alias("shared")), "runs"), levels
 
