@@ -3,6 +3,8 @@
 import pytest
 from oracles import base_counts, quality as brute_ratios
 
+from pyspark.sql import functions as F
+
 from tickloom.llm import quality
 from tickloom.llm.queries import QUERIES
 
@@ -72,3 +74,20 @@ def test_repeated_words_of_long_text(spark):
     docs = spark.createDataFrame([(1, text + " " + text)], "doc_id long, text string")
     row = quality.base_counts(docs).first()
     assert (row.n_words, row.n_repeat_words) == (300_000, 300_000)
+
+
+def test_texts_are_read_once(spark, tmp_path):
+    spark.createDataFrame(ROWS, "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    judged = quality.judge(docs, labels)
+    assert not any(str(tmp_path) in path for path in judged.inputFiles())
+    check(ROWS, {1}, judged.collect())
+
+
+def test_window_hashes_tell_windows_apart(spark):
+    texts = ["a b c d e f g h " * 2, "a b c d e f g h i a b c d e f g", "1 2 3 4 5 6 7 8 9"]
+    docs = spark.createDataFrame([(t.split(),) for t in texts], "w array<string>")
+    for row in docs.select("w", quality.window_hashes(F.col("w")).alias("h")).collect():
+        windows = [tuple(row.w[i : i + 8]) for i in range(len(row.w) - 7)]
+        assert len(row.h) == len(windows) and len(set(row.h)) == len(set(windows))
