@@ -3,8 +3,11 @@
 import html
 import re
 
+import pyarrow as pa
+
 from tickloom.llm import html_slots
 from tickloom.llm.queries import QUERIES
+from tickloom.llm.support import settings, written
 
 
 def cut(page):
@@ -208,3 +211,33 @@ def test_every_page_shows_the_words_to_count(spark, monkeypatch):
     monkeypatch.setattr(html_slots, "likely", counted)
     html_slots.likely_words(pages).collect()
     assert looked_at.value == len(rows)
+
+
+def test_pages_of_a_host_share_their_words():
+    hosts = ["a", "b", "a", "a", "c"]
+    words = pa.array([[(1, "x")], [(2, "y")], [(1, "x")], [(1, "x")], None], html_slots.WORDS)
+    found = list(html_slots.words_by_host(hosts, words, {}))
+    assert found == [{1: "x"}, {2: "y"}, {1: "x"}, {1: "x"}, {}]
+    assert found[0] is found[2] is found[3]
+    held = {str(i): {} for i in range(html_slots.HOSTS)}
+    assert list(html_slots.words_by_host(["a"], words, held)) == [{1: "x"}]
+    assert list(held) == ["a"]
+
+
+def test_tables_of_hosts_have_few_files(spark, monkeypatch):
+    files = {}
+
+    def counted(frame, purpose):
+        table = written(frame, purpose)
+        files[purpose] = len(table.inputFiles())
+        return table
+
+    monkeypatch.setattr(html_slots, "written", counted)
+    page = "<body><nav>menu {0}</nav><article><p>text {0} of its own</p></article></body>"
+    rows = [(i, f"http://h{i % 40}.org/{i}", page.format(i)) for i in range(120)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    keys = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    with settings(spark, keys):
+        texts = {r.page_id: r.text for r in html_slots.page_texts(pages).collect()}
+    assert texts == {i: f"text {i} of its own" for i in range(120)}
+    assert files["templates"] == 1 and files["hosts"] == 1 and "words" not in files

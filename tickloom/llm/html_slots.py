@@ -64,6 +64,8 @@ EVIDENCE = 12
 CLASS_WORDS = 3
 # A host's pages are looked at in parts of about so many for the words to count.
 PART = 32
+# Hosts of a part file of the tables with a row per host, and hosts whose words a task holds.
+HOSTS = 64
 
 # Elements and class words of what is not the article. Class words say nothing
 # about the elements in SPARED, nor about a place that holds MASS of a host's text.
@@ -275,6 +277,18 @@ def signed(number: int) -> int:
     return number - (1 << 64) if number >= 1 << 63 else number
 
 
+def words_by_host(
+    hosts: Iterable[str], words: pa.Array, known: dict[str, dict]
+) -> Iterator[dict]:
+    """The words of each row. Rows of a host share one map, which ``known`` holds."""
+    for at, name in enumerate(hosts):
+        if name not in known:
+            if len(known) >= HOSTS:
+                known.clear()
+            known[name] = dict(words[at].as_py() or ())
+        yield known[name]
+
+
 def token_counts(pages: DataFrame) -> DataFrame:
     """Sums over pages of (host, key, html), combined per batch before the shuffle.
 
@@ -284,11 +298,14 @@ def token_counts(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [part.split()[0] for part in COUNTS.split(", ")]
+        held: dict[str, dict] = {}
         for batch in batches:
             sums: dict[tuple, list[int]] = defaultdict(lambda: [0, 0, 0, 0, 0, 0])
-            for row in zip(*(batch.column(i) for i in range(len(columns)))):
-                where, key, text, *words = (value.as_py() for value in row)
-                tokens, bulk, mass, known = page_counts(text, dict((words and words[0]) or ()))
+            hosts = batch.column(0).to_pylist()
+            words = words_by_host(hosts, batch.column(3), held) if len(columns) > 3 else repeat({})
+            for where, key, text, counted in zip(hosts, *batch.columns[1:3], words):
+                key, text = key.as_py(), text.as_py()
+                tokens, bulk, mass, known = page_counts(text, counted)
                 tokens[0, "page"] = 1
                 known[0] = ("", 0, False, False)
                 chances: dict[int, int] = {}
@@ -657,22 +674,28 @@ def page_texts(
         "hosts",
     )
     spread = ["page_id", "url"]
-    words = written(likely_words(spread_join(rows, sizes, "host", "pages", spread)), "words")
-    worded = written(sizes.join(words, "host", "left"), "hosts")
+    parts = max(1, -(-sizes.count() // HOSTS))
+    words = likely_words(spread_join(rows, sizes, "host", "pages", spread))
+    worded = written(sizes.join(words, "host", "left").coalesce(parts), "hosts")
     counts = written(token_counts(spread_join(rows, worded, "host", "pages", spread)), "tokens")
     found = templates(counts).select("host", "pages", "regions", "spared", "words")
-    known = written(found.join(sizes.select("host", "marked"), "host"), "templates")
+    known = written(found.join(sizes.select("host", "marked"), "host").coalesce(parts), "templates")
     joined = spread_join(rows, known, "host", "pages", spread)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, dict] = {}
         for batch in batches:
+            hosts, where, kept, n, marked = (
+                batch.column(i).to_pylist() for i in (8, 3, 4, 6, 7)
+            )
+            fixed = words_by_host(hosts, batch.column(5), held)
             texts = [
                 main_text(
-                    page, where or (), kept or (), dict(fixed or ()),
+                    page.as_py(), where or (), kept or (), fixed,
                     -(-EVIDENCE // (n or 1)), 0.5 if marked else 1.0,
                 )
                 for page, where, kept, fixed, n, marked in zip(
-                    *(batch.column(i).to_pylist() for i in (2, 3, 4, 5, 6, 7))
+                    batch.column(2), where, kept, fixed, n, marked
                 )
             ]
             yield pa.RecordBatch.from_arrays(
@@ -680,7 +703,9 @@ def page_texts(
                 ["page_id", "url", "text"],
             )
 
-    wanted = joined.select("page_id", "url", "html", "regions", "spared", "words", "pages", "marked")
+    wanted = joined.select(
+        "page_id", "url", "html", "regions", "spared", "words", "pages", "marked", "host"
+    )
     schema = rows.select("page_id", "url", F.col("html").alias("text")).schema
     return wanted.mapInArrow(run, schema)
 
